@@ -9,19 +9,21 @@ HOT_KEYS = 1000  # at most this many keys are broadcast, so the broadcast size i
 SALTS = 64
 
 
-def lookup_by_key(left: DataFrame, counts: DataFrame, key: str, value: str, spread: str) -> DataFrame:
-    """Adds `value` of `counts` (one row per key, larger value = more rows) to each left row.
+def lookup_by_key(left: DataFrame, table: DataFrame, key: str, weight: str, spread: str) -> DataFrame:
+    """Left join with a table of one row per key, whose `weight` is the key's row count in `left`.
 
-    The HOT_KEYS most frequent keys are answered from a broadcast of that fixed
+    The HOT_KEYS heaviest keys are answered from a broadcast of that fixed
     size. Their rows are spread over the cluster by `spread` and find nothing
     in the shuffled join, which serves all other keys; no other key can hold
     more than 1/HOT_KEYS of the rows.
     """
-    hot = counts.orderBy(F.col(value).desc(), F.col(key)).limit(HOT_KEYS)
-    hot = hot.select(F.col(key), F.col(value).alias("_hot"))
+    values = [c for c in table.columns if c != key]
+    packed = table.select(key, F.col(weight).alias("_w"), F.struct(*values).alias("_value"))
+    hot = packed.orderBy(F.col("_w").desc(), F.col(key)).limit(HOT_KEYS).select(key, F.col("_value").alias("_hot"))
+    spread_out = F.pmod(F.xxhash64(spread), F.lit(SALTS)) + 1
     marked = left.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread), F.lit(SALTS)) + 1)
+        "_salt", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(spread_out).cast("long")
     )
-    cold = counts.withColumn("_salt", F.lit(0).cast("long")).withColumnRenamed(value, "_cold")
-    joined = marked.withColumn("_salt", F.col("_salt").cast("long")).join(cold, [key, "_salt"], "left")
-    return joined.withColumn(value, F.coalesce("_hot", "_cold")).drop("_hot", "_cold", "_salt")
+    cold = packed.select(key, F.lit(0).cast("long").alias("_salt"), F.col("_value").alias("_cold"))
+    joined = marked.join(cold, [key, "_salt"], "left").withColumn("_value", F.coalesce("_hot", "_cold"))
+    return joined.select(*left.columns, *[F.col(f"_value.{v}").alias(v) for v in values])
