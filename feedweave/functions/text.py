@@ -12,6 +12,15 @@ WS = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 CJK = r"[\u3040-\u30ff\u4e00-\u9fff]"
 
 
+def bind(c: Column, use) -> Column:
+    """use(c) with c evaluated once per row, however often `use` mentions it.
+
+    Lambda bodies are not searched for common parts, so a long expression
+    mentioned n times inside one would run n times.
+    """
+    return F.transform(F.array(c), lambda v: use(v))[0]
+
+
 def trim_ws(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")
 
@@ -135,7 +144,6 @@ def chunk_text(c: Column, n: int) -> Column:
     One pass per row over its own paragraphs; returns an array of chunks.
     """
     text = trim_ws(F.replace(c, F.lit("\r\n"), F.lit("\n")))
-    paras = F.filter(F.transform(F.split(text, r"\n{2,}"), trim_ws), lambda p: p != "")
     empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
 
     def cut(p: Column) -> Column:
@@ -157,5 +165,8 @@ def chunk_text(c: Column, n: int) -> Column:
             .otherwise(F.struct(flushed(acc).alias("done"), p.alias("cur")))
         )
 
-    packed = F.aggregate(paras, empty, step, flushed)
-    return F.when(F.length(text) <= n, F.array(text)).otherwise(packed)
+    def pack(text: Column) -> Column:
+        paras = F.filter(F.transform(F.split(text, r"\n{2,}"), trim_ws), lambda p: p != "")
+        return F.when(F.length(text) <= n, F.array(text)).otherwise(F.aggregate(paras, empty, step, flushed))
+
+    return bind(text, pack)
