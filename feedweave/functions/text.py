@@ -9,6 +9,9 @@ from feedweave import config
 
 # White space as browsers see it; Java's \s covers only the ASCII part.
 WS = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+# The same without the ASCII space.
+WS_ODD = r"[\t\n\x0b\f\r\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+WS_CHARS = "\t\n\x0b\f\r \u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200B)))
 CJK = r"[\u3040-\u30ff\u4e00-\u9fff]"
 
 
@@ -22,12 +25,12 @@ def bind(c: Column, use) -> Column:
 
 
 def trim_ws(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")
+    return F.trim(c, F.lit(WS_CHARS))
 
 
 def collapse(c: Column) -> Column:
-    """Runs of white space become one space; ends trimmed."""
-    return F.trim(F.regexp_replace(c, WS + "+", " "))
+    """Runs of white space become one space; ends trimmed. Single spaces are left untouched, not replaced."""
+    return F.trim(F.regexp_replace(c, f"{WS_ODD}{WS}*| {WS}+", " "))
 
 
 def clamp(c: Column, n: int) -> Column:
@@ -48,21 +51,32 @@ def normalize_text(c: Column) -> Column:
 
 
 def dedup_key(c: Column) -> Column:
-    base = F.regexp_replace(F.coalesce(c, F.lit("")), r"[\[\]【】()（）「」『』《》〈〉〔〕\u3000]", " ")
-    base = F.lower(F.trim(F.regexp_replace(base, r"[^A-Za-z0-9\u3040-\u30ff\u4e00-\u9fff]+", " ")))
-    words = F.filter(F.split(base, " "), lambda w: w != "")
-    kept = F.filter(words, lambda w: ~w.isin(*config.NOISE_TOKENS))
-    return F.array_join(F.slice(F.when(F.size(kept) > 0, kept).otherwise(words), 1, 12), "-")
+    """First 12 words (letters, digits, kana, kanji) joined by hyphens, noise words left out unless nothing else is there.
+
+    Everything else, brackets included, separates words; single spaces are left untouched, not replaced.
+    """
+    keep = r"A-Za-z0-9\u3040-\u30ff\u4e00-\u9fff"
+    base = F.regexp_replace(F.coalesce(c, F.lit("")), f"[^{keep} ][^{keep}]*| [^{keep}]+", " ")
+    noise = "|".join(config.NOISE_TOKENS)
+
+    def first_words(base: Column) -> Column:
+        noisy = base.rlike(f"(?:^| )(?:{noise})(?: |$)")
+        kept = F.trim(F.regexp_replace(F.concat(F.lit(" "), base, F.lit(" ")), f"(?: (?:{noise}))+(?= )", ""))
+        words = F.when(noisy & (kept != ""), kept).otherwise(base)
+        return F.lower(F.replace(F.substring_index(words, " ", 12), F.lit(" "), F.lit("-")))
+
+    return bind(F.trim(base), first_words)
 
 
 def read_minutes(c: Column) -> Column:
-    raw = trim_ws(F.coalesce(c, F.lit("")))
+    raw = F.coalesce(c, F.lit(""))
     minutes = F.greatest(
-        F.regexp_count(raw, F.lit(CJK)) / F.lit(420.0),
+        F.length(F.regexp_replace(raw, f"[^{CJK[1:-1]}]+", "")) / F.lit(420.0),
         F.regexp_count(raw, F.lit("[A-Za-z0-9]+")) / F.lit(200.0),
         F.lit(0.6),
     )
-    return F.when(raw == "", F.lit(1)).otherwise(F.least(F.lit(20), F.greatest(F.lit(1), F.ceil(minutes)))).cast("int")
+    # ceil of at least 0.6 is at least 1, also for blank text
+    return F.least(F.lit(20), F.ceil(minutes)).cast("int")
 
 
 def derive_tags(title: Column, summary: Column, category: Column, rules=config.TAG_RULES, limit: int = 6) -> Column:

@@ -17,7 +17,7 @@ def best_title() -> Column:
 def with_duplicate_counts(posts: DataFrame) -> DataFrame:
     """Duplicate key of the best title (id when empty) and how many items share it."""
     key = text.dedup_key(best_title())
-    keyed = posts.withColumn("dedup_key", F.when(key != "", key).otherwise(F.col("id")))
+    keyed = posts.withColumn("dedup_key", text.bind(key, lambda k: F.coalesce(F.nullif(k, F.lit("")), F.col("id"))))
     counts = keyed.groupBy("dedup_key").agg(F.count(F.lit(1)).alias("duplicate_count"))
     return lookup_by_key(keyed, counts, "dedup_key", "duplicate_count", "id")
 

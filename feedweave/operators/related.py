@@ -9,7 +9,7 @@ from feedweave.functions.dates import DAY_MS
 from feedweave.operators import ordering
 
 RADIUS = 40
-BLOCK = 2048  # rows per window group, so no group grows with the category
+BLOCK = 512  # rows per window group, so no group grows with the category
 
 
 def _ordered(posts: DataFrame, columns: list[str]) -> DataFrame:

@@ -43,10 +43,10 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def spread_few_files(df: DataFrame) -> DataFrame:
-    """For Python-heavy work on a handful of unsplittable files, which would leave most cores idle.
+def spread_few_files(df: DataFrame, key: str) -> DataFrame:
+    """For heavy work per row on a handful of unsplittable files, which would leave most cores idle.
 
     Input with at least as many files as cores, as any large table has, is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+    return df.repartition(cores, key) if 0 < len(df.inputFiles()) < cores else df

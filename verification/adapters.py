@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedweave.operators import merge
-from feedweave.session import prepare
+from feedweave.session import prepare, spread_few_files
 
 NOW = "2024-01-31 00:00:00"
 BEFORE = "2024-01-21 00:00:00"  # clock of the previous snapshot
@@ -20,13 +20,15 @@ def now():
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf}/{name}.parquet")
+    """A driver table. The text-heavy ones come as one file, so small folders are spread over the cores."""
+    df = prepare(spark).read.parquet(f"{sf}/{name}.parquet")
+    return spread_few_files(df, "doc_id") if name == "documents" else df
 
 
 def posts(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").selectExpr(
         "*",
-        r"trim(regexp_replace(text, '[ \\t\\r\\n\\f]+', ' ')) as compact",
+        r"trim(regexp_replace(text, '[\\t\\r\\n\\f][ \\t\\r\\n\\f]*| [ \\t\\r\\n\\f]+', ' ')) as compact",
         "concat('https://', source, '.example.com/', lang, '/', doc_id) as u",
     )
     return d.selectExpr(
