@@ -5,32 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from feedweave.functions.text import trim_ws
+from feedweave.functions.text import bind, trim_ws
 
 HOUR_MS = 3_600_000
 DAY_MS = 24 * HOUR_MS
 
-# Date texts accepted besides ISO 8601 (the weekday is removed first).
+ISO = r"^\d{4}(-\d{1,2}(-\d{1,2}([T ]\d.*)?)?)?$"
+# Date texts accepted besides ISO 8601 (the weekday is removed first): shape and format.
+# Each text is parsed with the one format its shape asks for.
+DAY = r"^\d{1,2} [A-Za-z]{3} \d{4}"
 DATE_FORMATS = (
-    "d MMM yyyy HH:mm:ss z",
-    "d MMM yyyy HH:mm:ss xx",
-    "d MMM yyyy HH:mm z",
-    "d MMM yyyy HH:mm xx",
-    "d MMM yyyy HH:mm:ss",
-    "d MMM yyyy",
-    "MMM d, yyyy HH:mm:ss",
-    "MMM d, yyyy",
-    "yyyy/M/d HH:mm:ss",
-    "yyyy/M/d",
+    (DAY + r" \d\d:\d\d:\d\d [+-]\d{4}$", "d MMM yyyy HH:mm:ss xx"),
+    (DAY + r" \d\d:\d\d:\d\d [A-Za-z]+$", "d MMM yyyy HH:mm:ss z"),
+    (DAY + r" \d\d:\d\d [+-]\d{4}$", "d MMM yyyy HH:mm xx"),
+    (DAY + r" \d\d:\d\d [A-Za-z]+$", "d MMM yyyy HH:mm z"),
+    (DAY + r" \d\d:\d\d:\d\d$", "d MMM yyyy HH:mm:ss"),
+    (DAY + "$", "d MMM yyyy"),
+    (r"^[A-Za-z]{3} \d{1,2}, \d{4} \d\d:\d\d:\d\d$", "MMM d, yyyy HH:mm:ss"),
+    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
+    (r"^\d{4}/\d{1,2}/\d{1,2} \d\d:\d\d:\d\d$", "yyyy/M/d HH:mm:ss"),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
 )
-ISO = r"^\d{4}(-\d{1,2}(-\d{1,2}([T ]\d.*)?)?)?$"
 
 
 def parse_published(c: Column) -> Column:
     """Text to timestamp, null when no format fits; a wrong weekday is ignored."""
-    text = F.regexp_replace(trim_ws(c), r"^[A-Za-z]{3,9},?\s+(?=\d)", "")
-    iso = F.when(text.rlike(ISO), F.try_to_timestamp(text))
-    return F.coalesce(iso, *[F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS])
+
+    def parse(t: Column) -> Column:
+        out = F.when(t.rlike(ISO), F.try_to_timestamp(t))
+        for shape, fmt in DATE_FORMATS:
+            out = out.when(t.rlike(shape), F.try_to_timestamp(t, F.lit(fmt)))
+        return out
+
+    return bind(F.regexp_replace(trim_ws(c), r"^(?i:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", ""), parse)
 
 
 def to_iso(ts: Column) -> Column:

@@ -43,7 +43,8 @@ def is_stable(level: Column) -> Column:
 
 def pulse_score(at: Column, tags: Column, cover: Column, summary: Column, preview: Column, health: Column, now: Column) -> Column:
     age = (F.unix_millis(now) - F.unix_millis(at)) / F.lit(float(HOUR_MS))
-    age = F.coalesce(F.greatest(F.lit(0.0), age), F.lit(999.0))
+    # greatest() ignores nulls, so an unknown date is handled first
+    age = F.when(age.isNull(), F.lit(999.0)).otherwise(F.greatest(F.lit(0.0), age))
     recency = F.greatest(F.lit(0.0), F.lit(100.0) - age * 4)
     tag_boost = F.least(F.lit(18), F.coalesce(F.size(tags), F.lit(0)) * 3)
     cover_boost = F.when(F.coalesce(cover, F.lit("")) != "", F.lit(6)).otherwise(F.lit(0))

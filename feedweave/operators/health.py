@@ -104,7 +104,7 @@ def problem_sources(runs: DataFrame) -> DataFrame:
 
 def success_pct(ok: Column, total: Column) -> Column:
     pct = F.greatest(F.lit(0), F.least(F.lit(100), scores.round_half_up(ok * 100.0 / F.nullif(total, F.lit(0)))))
-    return F.coalesce(pct, F.lit(0)).cast("int")
+    return F.when(total > 0, pct).otherwise(F.lit(0)).cast("int")
 
 
 def history_trend(history: DataFrame, n: int = 30) -> DataFrame:

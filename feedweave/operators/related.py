@@ -47,14 +47,16 @@ def related_posts(posts: DataFrame, now: Column, limit: int = 6, radius: int = R
     framed = spread.withColumn("_near", near.over(frame)).filter(F.col("_home") == F.col("_block"))
 
     def score(p: Column) -> Column:
-        age_days = F.greatest(F.lit(0.0), (F.unix_millis(now) - F.unix_millis(p["published_at"])) / F.lit(float(DAY_MS)))
+        age_days = (F.unix_millis(now) - F.unix_millis(p["published_at"])) / F.lit(float(DAY_MS))
+        fresh = F.greatest(F.lit(0.0), F.lit(1.2) - F.greatest(F.lit(0.0), age_days) / 10)
+        fresh = F.when(p["published_at"].isNull(), F.lit(0.0)).otherwise(fresh)
         shared = F.size(F.filter(p["tags"], lambda t: F.array_contains(F.col("tags"), t)))
         value = (
             F.when(p["source_id"] == F.col("source_id"), F.lit(4.0)).otherwise(F.lit(0.0))
             + F.when(p["has_cover"], F.lit(0.8)).otherwise(F.lit(0.0))
             + F.when(p["has_summary"], F.lit(0.2)).otherwise(F.lit(0.0))
             + shared
-            + F.coalesce(F.greatest(F.lit(0.0), F.lit(1.2) - age_days / 10), F.lit(0.0))
+            + fresh
         )
         return F.round(value, 9)
 

@@ -56,6 +56,12 @@ class SyncResult:
     history: DataFrame
 
 
+def published_order(posts: DataFrame) -> DataFrame:
+    """Arrival of published items in the next run: newest first, then by id."""
+    order = F.struct((-F.unix_millis("published_at")).alias("body_no"), F.xxhash64("id").alias("item_no"))
+    return posts.withColumn("arrival", order).select(*POST_COLUMNS)
+
+
 def sync(
     bodies: DataFrame, fetched: DataFrame, sources: DataFrame, previous: DataFrame, previous_runs: DataFrame,
     history: DataFrame | None, now: Column, settings: Settings = Settings(), rules: dict = feeds.LISTING_RULES,
@@ -75,7 +81,7 @@ def sync(
     merged = merge.dedupe_by_url(merge.merge_snapshots(known, chosen))
     recent = merge.within_days(merged, settings.days, now)
     # The snapshot is published and also feeds the status rows, so it is computed once.
-    posts = checkpoint(recent.orderBy(*merge.newest_first()).limit(settings.snapshot_limit))
+    posts = checkpoint(published_order(recent.orderBy(*merge.newest_first()).limit(settings.snapshot_limit)))
 
     per_source = chosen.groupBy("source_id").agg(F.count(F.lit(1)).alias("item_count"))
     new = merge.count_new_items(built, known).withColumnRenamed("new_items", "_new")
