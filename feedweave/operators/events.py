@@ -68,6 +68,7 @@ def request_health(requests: DataFrame, slow_ms: int = 1800, hold_ms: int = 4500
     t = t.withColumn("_slow_at", F.when(ended & (F.col("duration_ms") >= slow_ms), F.col("_ms")))
     failed = ended & ~F.coalesce("ok", F.lit(False))
     t = t.withColumn("_err", F.when(failed, F.struct("at", "event_id", F.coalesce("url", F.lit("")).alias("url"))))
+    t = t.select("session", "at", "event_id", "phase", "_d", "_ms", "_slow_at", "_err")
     cut = ordering.pieces(t, ["session"], [F.col("at"), F.col("event_id")])
     cut = ordering.running(cut, ["session"], {"_sum": ("sum", F.col("_d")), "_slow": ("max", F.col("_slow_at")), "_last": ("max", F.col("_err"))})
     cut = ordering.running(cut, ["session"], {"_low": ("min", F.col("_sum"))})

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from feedweave.config import Settings
 from feedweave.functions import dates
+from feedweave.session import broadcast_if_small
 
 
 def merge_snapshots(previous: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -26,7 +27,7 @@ def prefer_remote(remote: DataFrame, local: DataFrame) -> DataFrame:
 
 
 def keep_known_sources(posts: DataFrame, sources: DataFrame) -> DataFrame:
-    return posts.join(sources.select("source_id").distinct(), "source_id", "left_semi")
+    return posts.join(broadcast_if_small(sources.select("source_id").distinct()), "source_id", "left_semi")
 
 
 def dedupe_by_url(posts: DataFrame) -> DataFrame:
@@ -133,8 +134,8 @@ def fallback_decisions(fetched: DataFrame, raw_counts: DataFrame, previous: Data
 
 def apply_source_fallback(items: DataFrame, previous: DataFrame, decisions: DataFrame) -> DataFrame:
     """This run's items for fetched sources, previous items for the others."""
-    fetched = decisions.filter(F.col("used") == "fetched").select("source_id")
-    kept = decisions.filter(F.col("used") != "fetched").select("source_id")
+    fetched = broadcast_if_small(decisions.filter(F.col("used") == "fetched").select("source_id"))
+    kept = broadcast_if_small(decisions.filter(F.col("used") != "fetched").select("source_id"))
     return items.join(fetched, "source_id", "left_semi").unionByName(
         previous.join(kept, "source_id", "left_semi"), allowMissingColumns=True
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from feedweave.functions.urls import is_http
 from feedweave.operators import ordering
 from feedweave.operators.skew import lookup_by_key
+from feedweave.session import broadcast_if_small
 
 
 def _text(name: str) -> Column:
@@ -41,7 +42,7 @@ def order_violations(df: DataFrame, group: list[str], order: str, time: str, ite
 def check_posts(posts: DataFrame, sources: DataFrame, categories: tuple | None = None) -> DataFrame:
     """Rules on published items. Needs id, url, title, published_at, category, tags, source fields, cover, arrival."""
     known = sources.select("source_id").distinct().withColumn("_known", F.lit(True))
-    p = posts.join(known, "source_id", "left")
+    p = posts.join(broadcast_if_small(known), "source_id", "left")
     item = F.col("arrival")
     good_url = _text("url") & is_http(F.col("url"))
     bad_category = ~_text("category")

@@ -109,11 +109,11 @@ def mark_read(rows: DataFrame, reads: DataFrame | None) -> DataFrame:
 def match_sources(rows: DataFrame, state: ReaderState) -> DataFrame:
     """Drops disabled sources; with only_followed_sources keeps followed ones."""
     if state.disabled_sources is not None:
-        rows = rows.join(state.disabled_sources.select("source_id").distinct(), "source_id", "left_anti")
+        rows = rows.join(broadcast_if_small(state.disabled_sources.select("source_id").distinct()), "source_id", "left_anti")
     if state.only_followed_sources:
         if state.followed_sources is None:
             return rows.filter(F.lit(False))
-        rows = rows.join(state.followed_sources.select("source_id").distinct(), "source_id", "left_semi")
+        rows = rows.join(broadcast_if_small(state.followed_sources.select("source_id").distinct()), "source_id", "left_semi")
     return rows
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from feedweave import config
 from feedweave.functions import text
+from feedweave.session import broadcast_if_small
 
 LIMITS = {"title": 180, "summary": 420, "preview": 520}  # longest translated text per field
 
@@ -17,9 +18,13 @@ def cache_key(target: Column, source: Column) -> Column:
     return F.sha1(F.concat(target, F.lit("::"), text.trim_ws(source)))
 
 
+def _languages(sources: DataFrame) -> DataFrame:
+    return broadcast_if_small(sources.select("source_id", F.col("lang").alias("_lang")))
+
+
 def wanted_texts(posts: DataFrame, sources: DataFrame) -> DataFrame:
     """(id, field, target, text) for every field that lacks a language it needs."""
-    p = posts.join(sources.select("source_id", F.col("lang").alias("_lang")), "source_id", "left")
+    p = posts.join(_languages(sources), "source_id", "left")
     wants = [
         F.when(
             text.needs_translation(F.col("_lang"), F.col(f), F.col(f"{f}_{t}"), t),
@@ -33,7 +38,7 @@ def wanted_texts(posts: DataFrame, sources: DataFrame) -> DataFrame:
 
 def translation_candidates(posts: DataFrame, sources: DataFrame, n: int = 220) -> DataFrame:
     """The first n items, in list order, that need any translation."""
-    p = posts.join(sources.select("source_id", F.col("lang").alias("_lang")), "source_id", "left")
+    p = posts.join(_languages(sources), "source_id", "left")
     return p.filter(text.post_needs_translation(F.col("_lang"))).drop("_lang").orderBy("arrival").limit(n)
 
 

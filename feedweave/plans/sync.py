@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from feedweave.config import Settings
 from feedweave.functions import text, urls
 from feedweave.operators import enrich, health, merge, pages
-from feedweave.session import checkpoint
+from feedweave.session import broadcast_if_small, checkpoint
 from feedweave.sources import feeds, search_index
 from feedweave.sources.dimension import include_filter
 
@@ -22,7 +22,7 @@ POST_COLUMNS = (
 
 def raw_items(bodies: DataFrame, sources: DataFrame, rules: dict = feeds.LISTING_RULES) -> DataFrame:
     """Items of all bodies (source_id, body_no, body), by the kind of their source."""
-    kinds = sources.select("source_id", "kind")
+    kinds = broadcast_if_small(sources.select("source_id", "kind"))
     b = bodies.join(kinds, "source_id").filter("body is not null")
     from_feeds = feeds.project_feed_items(feeds.parse_feeds(b.filter("kind = 'feed'").drop("kind")), sources)
     from_pages = feeds.parse_listing(b.filter("kind = 'html'").drop("kind"), rules)
@@ -35,7 +35,7 @@ def build_posts(items: DataFrame, sources: DataFrame, settings: Settings = Setti
     s = sources.selectExpr(
         "source_id", "name as source_name", "category", "coalesce(homepage, url) as _home", "url as _feed"
     )
-    t = kept.withColumn("url", urls.normalize_url(F.col("url"))).filter("url is not null").join(s, "source_id")
+    t = kept.withColumn("url", urls.normalize_url(F.col("url"))).filter("url is not null").join(broadcast_if_small(s), "source_id")
     t = t.withColumn("title", text.strip_truncate(F.col("title"), 180)).withColumn("summary", F.nullif(text.strip_truncate(F.col("summary"), 360), F.lit("")))
     tags = text.derive_tags(F.col("title"), F.col("summary"), F.col("category"), settings.tag_rules)
     out = t.select(
@@ -76,7 +76,8 @@ def sync(
     raw_counts = items.groupBy("source_id").agg(F.count(F.lit(1)).alias("raw_items"))
     built = build_posts(items, sources, settings)
     known = merge.keep_known_sources(previous, sources).select(*POST_COLUMNS)
-    decisions = merge.fallback_decisions(fetched, raw_counts, known, settings)
+    # One row per source, read by three joins below.
+    decisions = checkpoint(merge.fallback_decisions(fetched, raw_counts, known, settings))
     chosen = merge.apply_source_fallback(built, known, decisions)
     merged = merge.dedupe_by_url(merge.merge_snapshots(known, chosen))
     recent = merge.within_days(merged, settings.days, now)

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedweave.session import broadcast_if_small
+
 SCHEMA = (
     "source_id string, name string, kind string, lang string, url string, homepage string, "
     "category string, pattern string"
@@ -40,5 +42,5 @@ def include_filter(items: DataFrame, sources: DataFrame) -> DataFrame:
     """Keeps items whose source has no rule, or whose title or summary matches it."""
     rules = sources.select("source_id", F.col("pattern").alias("_rule"))
     blob = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("summary", F.lit("")))
-    kept = items.join(rules, "source_id").filter(F.col("_rule").isNull() | F.regexp_like(blob, F.col("_rule")))
+    kept = items.join(broadcast_if_small(rules), "source_id").filter(F.col("_rule").isNull() | F.regexp_like(blob, F.col("_rule")))
     return kept.drop("_rule")
