@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from feedweave.functions import dates, scores
 from feedweave.functions.dates import HOUR_MS
-from feedweave.functions.text import WS, bind, category_alias, normalize_text, trim_ws
+from feedweave.functions.text import WS, category_alias, normalize_text, trim_ws
 from feedweave.operators import boards
 from feedweave.session import broadcast_if_small
 
@@ -215,14 +215,11 @@ def match_words(index: DataFrame, words: DataFrame, salts: int = 16) -> DataFram
     norm = words.withColumn("word", normalize_text(F.col("word"))).filter(F.col("word") != "").distinct()
     grams = word_anchor_grams(norm, 3, salts)
     needed = norm.select(F.substring("word", 1, 3).alias("_gram")).distinct()
-    grams_of = lambda chars: F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.size(chars)),
-            lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.size(chars) - i + 1)), lambda k: F.array_join(F.slice(chars, i, k), "")),
-        )
-    )
-    every = bind(F.split("hay", ""), grams_of)
-    rows = index.filter(F.col("hay") != "").select("id", "hay", F.explode(F.array_distinct(every)).alias("_gram"))
+    # Pieces of one and two characters are made only when a word is that short.
+    sizes = [r[0] for r in needed.select(F.length("_gram")).distinct().collect()]  # at most 1, 2 and 3
+    pieces = [F.regexp_extract_all("hay", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sorted(sizes)]
+    every = F.array_distinct(F.flatten(F.array(*pieces)) if pieces else F.array().cast("array<string>"))
+    rows = index.filter(F.col("hay") != "").select("id", "hay", F.explode(every).alias("_gram"))
     rows = rows.join(broadcast_if_small(needed), "_gram", "left_semi")
     rows = rows.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
     hit = rows.join(grams, ["_gram", "_salt"]).filter(F.col("hay").contains(F.col("word")))
