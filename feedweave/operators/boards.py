@@ -37,11 +37,15 @@ def recent(posts: DataFrame, now: Column, hours: int = 24) -> DataFrame:
     return posts.filter(F.unix_millis("published_at") >= F.unix_millis(now) - F.lit(hours * HOUR_MS))
 
 
-def hot_tags(posts: DataFrame, now: Column, n: int = 12) -> DataFrame:
-    """Most used tags of the last day; ties keep first-seen order."""
+def top_tags(posts: DataFrame, now: Column, n: int = 12) -> DataFrame:
+    """Most used tags of the last day, with where each was first seen; ties keep that order."""
     tags = recent(posts, now).select("arrival", F.posexplode("tags").alias("at", "tag"))
     counted = tags.groupBy("tag").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("arrival", "at")).alias("first"))
-    return counted.orderBy(F.col("count").desc(), "first").limit(n).select("tag", "count")
+    return counted.orderBy(F.col("count").desc(), "first").limit(n)
+
+
+def hot_tags(posts: DataFrame, now: Column, n: int = 12) -> DataFrame:
+    return top_tags(posts, now, n).select("tag", "count")
 
 
 def category_counts(posts: DataFrame, categories: DataFrame, now: Column) -> DataFrame:

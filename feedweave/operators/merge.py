@@ -73,12 +73,9 @@ def with_visibility(runs: DataFrame, posts: DataFrame) -> DataFrame:
 
 def count_new_items(current: DataFrame, previous: DataFrame) -> DataFrame:
     """New ids per source; sources with nothing new get 0."""
-    fresh = current.join(previous.select("source_id", "id").distinct(), ["source_id", "id"], "left_anti")
-    counted = fresh.groupBy("source_id").agg(F.count(F.lit(1)).alias("new_items"))
-    return (
-        current.select("source_id").distinct().join(counted, "source_id", "left")
-        .withColumn("new_items", F.coalesce("new_items", F.lit(0)))
-    )
+    old = previous.select("source_id", "id").distinct().withColumn("_old", F.lit(True))
+    marked = current.select("source_id", "id").join(old, ["source_id", "id"], "left")
+    return marked.groupBy("source_id").agg(F.count_if(F.col("_old").isNull()).alias("new_items"))
 
 
 def carry_fail_streak(runs: DataFrame, previous: DataFrame) -> DataFrame:

@@ -25,10 +25,9 @@ def home_board(posts: DataFrame, latest_runs: DataFrame, now: Column) -> DataFra
     newest = (-F.unix_millis("published_at"), F.col("arrival"))
     by_pulse = (-F.col("pulse_score"), F.col("arrival"))
     uncovered = F.when(F.coalesce("cover", F.lit("")) != "", F.lit(0)).otherwise(F.lit(1))
-    tags = boards.hot_tags(slim, now).withColumn("order", F.monotonically_increasing_id())
     return (
         _ranked(merge.latest(slim, 24), "latest", 24, "id", "pulse_score", list(newest))
         .unionByName(_ranked(boards.pulse_top(slim, now), "pulse", 6, "id", "pulse_score", list(by_pulse)))
         .unionByName(_ranked(boards.spotlight(slim, now), "spotlight", 6, "id", "pulse_score", [uncovered, *by_pulse]))
-        .unionByName(_ranked(tags, "tag", 12, "tag", "count", [F.col("order")]))
+        .unionByName(_ranked(boards.top_tags(slim, now), "tag", 12, "tag", "count", [-F.col("count"), F.col("first")]))
     )

@@ -18,14 +18,13 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint in the folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir.
 
     A local session without that setting (tests) gets a temporary folder; a
     cluster session without it is an error, since a local folder would be lost
     with its machine.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -34,6 +33,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

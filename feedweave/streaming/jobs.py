@@ -50,7 +50,7 @@ def throttle_stream(stream: DataFrame, keys: list[str], folder: str, gap_ms: int
             spark = batch.sparkSession
             rows, seen = _split_late(batch, clock, batch_id, delay_ms, folder)
             last = state.read(spark, batch_id)
-            key = F.to_json(F.struct(*keys))
+            key = F.to_json(F.struct(*keys)) if keys else F.lit("")  # no keys: one chain for all events
             anchors = last.select(key.alias("_key"), F.col("at").alias("_anchor"))
             # An event older than its key's last kept one comes after it all the same: it is dropped.
             rows = rows.withColumn("_key", key).join(anchors, "_key", "left")
@@ -60,7 +60,7 @@ def throttle_stream(stream: DataFrame, keys: list[str], folder: str, gap_ms: int
             emit(new, folder, "kept", batch_id)
             newest = F.max_by(F.struct(*stream.columns), F.struct("at", "event_id")).alias("r")
             anchor = last.unionByName(spark.read.schema(stream.schema).parquet(f"{folder}/kept/batch={batch_id}"))
-            anchor = anchor.groupBy(key).agg(newest).select("r.*")
+            anchor = anchor.groupBy(key.alias("_key")).agg(newest).select("r.*")
             if seen is not None:
                 anchor = anchor.filter(F.col("at") >= F.lit(seen - timedelta(milliseconds=gap_ms + delay_ms)))
             state.write(anchor, batch_id)

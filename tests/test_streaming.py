@@ -96,3 +96,9 @@ def test_ingest_stream_carries_state(spark):
         (1, "a"): ("fetched", 0, 2), (1, "b"): ("fetched", 0, 1), (2, "a"): ("fetched", 0, 1), (2, "b"): ("fallback", 1, 0),
         (3, "a"): ("cached", 0, 0), (3, "b"): ("fallback", 2, 0),
     }
+
+
+def test_rate_limit_stream_without_keys(spark):
+    t, out = a.telemetry(spark, SF).filter("type = 'error'"), folder()
+    jobs.throttle_stream(as_stream(spark, t, "at", 2), [], out, 2 * HOUR)
+    assert ids(read_output(spark, out, "kept")) == ids(throttle.rate_limit(t, 2 * HOUR))

@@ -154,7 +154,11 @@ telemetry_fx AS (SELECT event_id, ts AS at, event_type AS type, '/' || event_typ
 
 
 def telemetry(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").selectExpr(
+    return as_telemetry(table(spark, sf, "events"))
+
+
+def as_telemetry(events: DataFrame) -> DataFrame:
+    return events.selectExpr(
         "event_id", "cast(ts as timestamp) as at", "event_type as type", "concat('/', event_type) as path",
         "case when user_id % 3 = 0 then 'ja' when user_id % 3 = 1 then 'zh' end as lang",
         "if(user_id % 2 = 0, 'phone', 'desktop') as device", "user_id as session", "props as data", "value",

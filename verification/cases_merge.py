@@ -164,7 +164,7 @@ def enriched(spark, sf):
 
 SUMMARY = """
 summary_fx AS (SELECT run_ts, count(*) AS total_sources, count(*) FILTER (ok) AS ok_sources, count(*) FILTER (NOT ok) AS err_sources,
-  sum(item_count) AS total_items, sum(new_item_count) AS total_new_items, count(*) FILTER (consecutive_fails >= 3) AS flaky_sources,
+  CAST(sum(item_count) AS BIGINT) AS total_items, CAST(sum(new_item_count) AS BIGINT) AS total_new_items, count(*) FILTER (consecutive_fails >= 3) AS flaky_sources,
   count(*) FILTER (greatest(0, epoch_us(run_ts + INTERVAL 1 DAY) - epoch_us(latest_published_at)) / 3600000000.0 >= 6) AS stale_sources,
   count(*) FILTER (lower(error) LIKE '%parse_empty%') AS parse_empty, count(*) FILTER (lower(error) LIKE '%parse_drop%') AS parse_drop
   FROM streaks_fx GROUP BY run_ts)"""
@@ -183,7 +183,7 @@ def _(spark, sf):
 
 @case("run_report", with_ctes(RUNS, body="""
 SELECT strftime(run_ts, '%Y-%m-%d') AS day, count(*) AS total_sources, count(*) FILTER (ok) AS ok_sources, count(*) FILTER (NOT ok) AS err_sources,
-  sum(item_count) AS total_items, sum(visible_item_count) AS visible_items, sum(new_item_count) AS new_items,
+  CAST(sum(item_count) AS BIGINT) AS total_items, CAST(sum(visible_item_count) AS BIGINT) AS visible_items, CAST(sum(new_item_count) AS BIGINT) AS new_items,
   count(*) FILTER (used = 'fetched') AS fetched, count(*) FILTER (used = 'cached') AS cached, count(*) FILTER (used = 'fallback') AS fallback
 FROM runs_fx GROUP BY run_ts"""))
 def _(spark, sf):

@@ -110,7 +110,7 @@ def _(spark, sf):
 
 
 @case("page_kind", with_ctes(ARTICLE, MD, body="""
-SELECT page_id, count(*) FILTER (kind = 'paragraph') AS p, count(*) FILTER (kind = 'paragraph' AND length(t) >= 90) AS long_p, sum(length(t)) AS chars, 'article' AS kind
+SELECT page_id, count(*) FILTER (kind = 'paragraph') AS p, count(*) FILTER (kind = 'paragraph' AND length(t) >= 90) AS long_p, CAST(sum(length(t)) AS BIGINT) AS chars, 'article' AS kind
 FROM (SELECT page_id, n, kind FROM blocks_fx) JOIN s_fx USING (page_id, n) GROUP BY page_id"""))
 def _(spark, sf):
     return pg.page_kind(pg.main_content(pages(spark, sf))).select("page_id", "p", "long_p", "chars", "kind")

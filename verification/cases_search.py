@@ -248,7 +248,7 @@ def _(spark, sf):
 
 
 @case("read_run_history", with_ctes(RUNS, body="""
-SELECT strftime(run_ts, '%Y-%m-%d') AS generated_at, sum(item_count) AS total_items FROM runs_fx GROUP BY run_ts HAVING count(*) FILTER (NOT ok) % 3 <> 0"""))
+SELECT strftime(run_ts, '%Y-%m-%d') AS generated_at, CAST(sum(item_count) AS DOUBLE) AS total_items FROM runs_fx GROUP BY run_ts HAVING count(*) FILTER (NOT ok) % 3 <> 0"""))
 def _(spark, sf):
     g = a.runs(spark, sf).groupBy("run_ts").agg(F.sum("item_count").alias("items"), F.count_if(~F.col("ok")).alias("err"))
     zeros = [F.lit(0).alias(n) for n in readers.HISTORY_NUMBERS if n not in ("totalItems", "errSources")]
