@@ -143,7 +143,7 @@ RUN_CTES = (POSTS, ITEMS, SOURCES, PROJECTED, BUILT, RUN)
 
 
 def run(spark, sf):
-    s = all_feeds(spark, sf)
+    s = checkpoint(all_feeds(spark, sf))  # stands for the stored source table
     every = bodies(spark, sf).join(a.posts(spark, sf).select(F.col("arrival").alias("body_no"), "published_at"), "body_no")
     fresh = every.filter("published_at >= timestamp'2024-01-28'").drop("published_at")
     before = every.filter(F.col("published_at") < F.lit(BEFORE).cast("timestamp")).drop("published_at")
