@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedweave.llm import bpe, exact_dedup, sharding, token_files
+from feedweave.llm import bpe, chat, exact_dedup, gam, sharding, token_files
 from feedweave.llm.common import read_table
 
 BYTE_BPE = bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -17,6 +17,18 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gam.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("</s>[INST] ok [/INST]").alias("text")
+    turn = F.col("id").alias("turn")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), turn, F.element_at(F.array(F.lit("user"), F.lit("assistant")), (turn + 1).cast("int")).alias("role"), said)
+    return chat.digests(rows.unionByName(more))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -30,11 +42,29 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"), shards=16)
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op7_bpe, op8_token_files, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op3_exact_dedup, op5_quality, op6_chat_formatting, op7_bpe, op8_token_files, op10_sharding)}
 
 SQL = {
     "op3_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op6_chat_formatting": """
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        sized AS (
+            SELECT *, length(text) + 4 * (length(text) - length(replace(replace(text, '&', ''), '[', '')))
+                   + 3 * (length(text) - length(replace(text, '<', '')))
+                   + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7
+                     ELSE 20 + length(role) + 4 * (length(role) - length(replace(replace(role, '&', ''), '[', '')))
+                          + 3 * (length(role) - length(replace(role, '<', ''))) END AS chars
+            FROM turns)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               sum(chars)::BIGINT AS formatted_chars
+        FROM sized GROUP BY conv_id""",
 }
