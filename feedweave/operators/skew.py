@@ -24,6 +24,8 @@ def lookup_by_key(left: DataFrame, table: DataFrame, key: str, weight: str, spre
     marked = left.join(F.broadcast(hot), key, "left").withColumn(
         "_salt", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(spread_out).cast("long")
     )
-    cold = packed.select(key, F.lit(0).cast("long").alias("_salt"), F.col("_value").alias("_cold"))
+    # Always 0, but not a constant: a constant would be folded away and the join dealt by the key alone.
+    zero = F.pmod(F.col("_w"), F.lit(1)).cast("long")
+    cold = packed.select(key, zero.alias("_salt"), F.col("_value").alias("_cold"))
     joined = marked.join(cold, [key, "_salt"], "left").withColumn("_value", F.coalesce("_hot", "_cold"))
     return joined.select(*left.columns, *[F.col(f"_value.{v}").alias(v) for v in values])
