@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedweave.llm import bpe, chat, exact_dedup, gam, near_dedup, sharding, token_files
+from feedweave.llm import bpe, chat, decontaminate, exact_dedup, gam, near_dedup, sharding, token_files
 from feedweave.llm.common import read_table
 
 BYTE_BPE = bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -17,6 +17,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"), shards=16)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_exact_dedup, op5_quality, op6_chat_formatting, op7_bpe, op8_token_files, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op3_exact_dedup, op5_quality, op6_chat_formatting, op7_bpe, op8_token_files, op10_sharding)}
 
 SQL = {
     "op3_exact_dedup": """
