@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedweave.llm import bpe, chat, decontaminate, exact_dedup, gam, near_dedup, sharding, token_files
+from feedweave.llm import bpe, chat, decontaminate, exact_dedup, gam, licenses, near_dedup, sharding, token_files
 from feedweave.llm.common import read_table
 
 BYTE_BPE = bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -46,11 +46,16 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(folder, parts)
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    templates = licenses.template_table(spark, licenses.STATEMENTS)
+    return licenses.find_licenses(read_table(spark, sf_dir, "documents"), templates)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"), shards=16)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op3_exact_dedup, op5_quality, op6_chat_formatting, op7_bpe, op8_token_files, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op3_exact_dedup, op5_quality, op6_chat_formatting, op7_bpe, op8_token_files, op9_licenses, op10_sharding)}
 
 SQL = {
     "op3_exact_dedup": """
@@ -75,4 +80,23 @@ SQL = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
                sum(chars)::BIGINT AS formatted_chars
         FROM sized GROUP BY conv_id""",
+    "op9_licenses": f"""
+        WITH given(template, text) AS (VALUES {", ".join("('" + k + "', '" + v.replace("'", "''") + "')" for k, v in licenses.STATEMENTS.items())}),
+        parts AS (SELECT template, list_filter(regexp_split_to_array(lower(text), '{licenses.SEPARATORS}'), lambda w: w <> '') AS words FROM given),
+        wanted AS (
+            SELECT template, len(words) AS n, greatest(1, len(words) // 4) AS step,
+                   list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' '))) AS shingles
+            FROM parts),
+        texts AS (SELECT doc_id, regexp_split_to_array(lower(coalesce(text, '')), '{licenses.SEPARATORS}') AS words FROM documents),
+        places AS (
+            SELECT doc_id, template, shingles, unnest(range(0, greatest(len(words) - 4, 0), step)) AS start, n + step AS width, words
+            FROM texts, wanted),
+        windows AS (SELECT doc_id, template, shingles, start, words[start + 1 : start + width] AS words FROM places),
+        shares AS (
+            SELECT doc_id, template, start,
+                   len(list_intersect(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' ')), shingles)) / len(shingles) AS share
+            FROM windows WHERE len(words) >= 5),
+        good AS (SELECT doc_id, template, start, max(share) AS share FROM shares WHERE share >= {licenses.CONTAINMENT} GROUP BY ALL)
+        SELECT doc_id, template, max(share) AS containment, min(start) FILTER (WHERE share = best)::BIGINT AS first_word, count(*) AS windows
+        FROM (SELECT *, max(share) OVER (PARTITION BY doc_id, template) AS best FROM good) GROUP BY doc_id, template""",
 }
