@@ -118,14 +118,18 @@ def _windows(docs: DataFrame, seeds: list[int], shapes: list[tuple[int, int]]) -
     hits = hashes.select("doc_id", "words", F.array_remove(at, -1).alias("hits"))
 
     def around(i: Column) -> Column:
-        return F.concat(*(of_shape(i, width, step) for width, step in shapes))
+        return F.concat(*(of_shape(i, k) for k in range(len(shapes))))
 
-    def of_shape(i: Column, width: int, step: int) -> Column:
+    def of_shape(i: Column, k: int) -> Column:
+        width, step = shapes[k]
         first = F.greatest(F.ceil((i + SHINGLE_WORDS - width) / step).cast("int"), F.lit(0))
-        return F.transform(F.sequence(first, F.floor(i / step).cast("int")), lambda m: F.struct((m * step).alias("start"), F.lit(width).alias("width")))
+        return F.transform(F.sequence(first, F.floor(i / step).cast("int")), lambda m: m.cast("long") * (step * len(shapes)) + k)
 
+    # A window is one number, start * shapes + shape: distinct numbers are found by hashing, structs pair by pair.
     places = F.array_distinct(F.flatten(F.transform("hits", around)))
-    cut = F.transform(places, lambda p: F.struct(p["start"].alias("start"), p["width"].alias("width"), F.slice("words", p["start"] + 1, p["width"]).alias("words")))
+    start = lambda p: F.floor(p / len(shapes)).cast("int")
+    width = lambda p: F.element_at(F.array(*(F.lit(w) for w, _ in shapes)), (p % len(shapes)).cast("int") + 1)
+    cut = F.transform(places, lambda p: F.struct(start(p).alias("start"), width(p).alias("width"), F.slice("words", start(p) + 1, width(p)).alias("words")))
     return hits.select("doc_id", F.inline(cut))
 
 
