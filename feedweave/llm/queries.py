@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedweave.llm import bpe, chat, decontaminate, exact_dedup, gam, licenses, near_dedup, sharding, token_files
+from feedweave.llm import bpe, chat, decontaminate, exact_dedup, gam, licenses, near_dedup, sharding, site_tree, token_files
 from feedweave.llm.common import read_table
 
 BYTE_BPE = bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -25,6 +25,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_tree.extract_text(read_table(spark, sf_dir, "pages"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -55,7 +59,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"), shards=16)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op3_exact_dedup, op5_quality, op6_chat_formatting, op7_bpe, op8_token_files, op9_licenses, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op3_exact_dedup, op4_html_extraction, op5_quality, op6_chat_formatting, op7_bpe, op8_token_files, op9_licenses, op10_sharding)}
 
 SQL = {
     "op3_exact_dedup": """
