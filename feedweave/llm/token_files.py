@@ -17,11 +17,13 @@ import functools
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -32,16 +34,16 @@ from feedweave.llm.common import run_folder, stored
 from feedweave.llm.words import text_slices
 
 NULL_DOC = -(2**63)
-CACHE_WORDS = 800_000  # words a worker remembers, about 170 MB
-SLICE_BYTES = 1 << 22
+CACHE_WORDS = 1_200_000  # words a worker remembers, about 240 MB
+SLICE_BYTES = 1 << 23
 
 
 @dataclass(frozen=True)
 class WordTokenizer:
-    """A tokenizers file whose splitting never crosses ASCII white space, so words can be encoded apart.
+    """A tokenizers file that lower-cases and never splits across ASCII white space, so words can be encoded apart.
 
-    `letters_are_one`: a word of letters is one piece to its merges, and the last token of a piece ends with
-    `word_end`; new words of letters are then encoded together in one call.
+    A word of letters is one piece to its merges, and the last token of a piece ends with `word_end`; so new
+    words of letters are encoded together, and those of lower-case ASCII letters by the merges alone.
     """
 
     path: str
@@ -68,23 +70,38 @@ _caches: dict[tuple[str, str], dict[bytes, bytes]] = {}
 
 
 class WordEncoder:
-    """The ids of whole texts as bytes of `dtype`; each new word goes through the tokenizer once."""
+    """The ids of whole texts as `dtype`; each new word goes through the tokenizer once."""
 
     def __init__(self, spec: WordTokenizer, dtype: str):
         self.tokenizer, self.ends = spec.load()
-        self.dtype = np.dtype(dtype)
+        self.dtype, self.code = np.dtype(dtype), {"<u2": "H", "<u4": "I"}[dtype]
         self.known = _caches.setdefault((spec.path, dtype), {})
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        words = [(t or "").encode().split() for t in texts]  # ASCII white space only
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after another, and len + 1 offsets into them. Words are told apart, and ids put
+        together, for the whole array at once."""
+        words = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        coded = words.flatten().dictionary_encode()
+        ids = self._ids_of(coded.dictionary.cast(pa.large_binary()).to_pylist())
+        size = np.array([len(i) for i in ids], np.int64) // self.dtype.itemsize
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        n = size[which]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        shift = np.repeat((np.cumsum(size) - size)[which] - ends[:-1], n)
+        shift += np.arange(len(shift))
+        at = words.offsets.to_numpy() - words.offsets[0].as_py()
+        return np.frombuffer(b"".join(ids), self.dtype)[shift], ends[at]
+
+    def _ids_of(self, words: list[bytes]) -> list[bytes]:
         known = self.known
-        new = {w for ws in words for w in ws if w not in known}
+        found = list(map(known.get, words))
+        new = {w for w, ids in zip(words, found, strict=True) if ids is None}
+        if not new:
+            return found
         if len(known) + len(new) > CACHE_WORDS:
             known.clear()
-            new = {w for ws in words for w in ws}
-        if new:
-            self._learn(new)
-        return [b"".join([known[w] for w in ws]) for ws in words]
+        self._learn(new)
+        return [known[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
 
     def _learn(self, new: set[bytes]) -> None:
         """Stops and commas after an ASCII letter, and the case of ASCII letters, change nothing in the rest of a word."""
@@ -99,14 +116,17 @@ class WordEncoder:
                 whole.add(w.lower())
             else:
                 whole.add(w)
-        known = self.known
+        known, done = self.known, {}
         fresh = [w for w in whole if w not in known]
-        letters = [w for w in fresh if w.decode().isalpha()]
-        done = self._together(letters) if letters else {}
+        for w in fresh:
+            if w.isalpha() and w.islower():  # lower-case ASCII letters: one piece that no normaliser changes
+                done[w] = array(self.code, [t.id for t in self.tokenizer.model.tokenize(w.decode())]).tobytes()
+        letters = [w for w in fresh if w not in done and w.decode().isalpha()]
+        done |= self._together(letters) if letters else {}
         rest = [w for w in fresh if w not in done]
         if rest:
             for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
-                done[w] = np.array(e.ids, self.dtype).tobytes()
+                done[w] = array(self.code, e.ids).tobytes()
         known.update(done)
         for w, (core, tail) in parts.items():
             if w not in done:
@@ -133,8 +153,6 @@ def write_token_files(docs: DataFrame, spec: WordTokenizer, end_id: int | None)
     vocabulary = spec.load()[0].get_vocab_size()
     dtype = "<u2" if max(vocabulary, end_id or 0) < 1 << 16 else "<u4"
     folder = run_folder(docs.sparkSession, "token-files")
-    end = b"" if end_id is None else np.array([end_id], dtype).tobytes()
-    size = np.dtype(dtype).itemsize
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = WordEncoder(spec, dtype), TaskContext.get().partitionId()
@@ -145,12 +163,13 @@ def write_token_files(docs: DataFrame, spec: WordTokenizer, end_id: int | None)
         with store.open_output_stream(f"{attempt}.ids") as ids, store.open_output_stream(f"{attempt}.off") as off, store.open_output_stream(f"{attempt}.doc") as doc:
             for batch in batches:
                 for a, b in text_slices(batch.column(1), SLICE_BYTES):
-                    coded = [c + end for c in encoder.encode(batch.column(1).slice(a, b - a).to_pylist())]
-                    ends = n_ids + np.cumsum([len(c) // size for c in coded])
-                    off.write(np.concatenate(([n_ids], ends[:-1])).astype("<i8").tobytes())
+                    coded, at = encoder.encode(batch.column(1).slice(a, b - a))
+                    if end_id is not None:
+                        coded, at = np.insert(coded, at[1:], end_id), at + np.arange(len(at))
+                    off.write((n_ids + at[:-1]).astype("<i8").tobytes())
                     doc.write(batch.column(0).slice(a, b - a).fill_null(NULL_DOC).to_numpy().astype("<i8").tobytes())
-                    ids.write(b"".join(coded))
-                    n_ids, n_docs = int(ends[-1]), n_docs + len(coded)
+                    ids.write(coded.tobytes())
+                    n_ids, n_docs = n_ids + int(at[-1]), n_docs + b - a
             off.write(np.array([n_ids], "<i8").tobytes())
         for kind in ("ids", "off", "doc"):
             if n_docs:
