@@ -246,6 +246,17 @@ def score_documents(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc
     return docs.select(*keep, plain_text("text").alias("scored text")).mapInArrow(run, schema)
 
 
+def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of `docs`, all columns as they are, that score `least` or more; none is moved."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(model.score(features(batch.column(at))) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, settings: Settings = Settings()) -> DataFrame:
     """doc_id, held_out, score, predicted (1 if score >= 0.5) of every document, by a model of labels.quality."""
     scored = score_documents(docs, train(docs, labels, "quality", rows, settings))
