@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +21,25 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@functools.cache
+def _package() -> str:
+    """The package as a zip, for Python workers that do not run in this folder."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="spark-package-", dir="/tmp")
+    return shutil.make_archive(os.path.join(folder, "feedweave"), "zip", root, "feedweave")
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives this package to the Python workers of a session, once."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        context.addPyFile(_package())
+        _shipped.add(context.applicationId)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir.
 
