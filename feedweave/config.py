@@ -38,7 +38,6 @@ TRACKING_KEYS = ("fbclid", "gclid", "igshid", "mc_cid", "mc_eid", "mkt_tok", "yc
 # Image hosts that refuse hot-linking, and the public image proxies.
 BLOCKED_COVER_HOSTS = ("www.animenewsnetwork.com",)
 IMAGE_PROXY_HOST = "images.weserv.nl"
-IMAGE_PROXY_HOSTS = ("images.weserv.nl", "wsrv.nl")
 # ---------------------------------------------------------------------------
 
 OUTPUT_LANGS = ("zh", "ja")
@@ -46,23 +45,23 @@ OUTPUT_LANGS = ("zh", "ja")
 
 @dataclass(frozen=True)
 class Settings:
-    """Thresholds of one run; the defaults are the published ones."""
+    """Thresholds of one run. Limits on counts are 0, for none, unless a caller sets them."""
 
     days: int = 30
-    snapshot_limit: int = 2000
-    history_max: int = 240
+    snapshot_limit: int = 0
+    history_max: int = 0
     stale_hours: int = 72
     drop_min_prev: int = 12
     drop_min_keep: int = 3
     drop_ratio: float = 0.15
-    enrich_max: int = 320
-    enrich_per_source: int = 200
+    enrich_max: int = 0
+    enrich_per_source: int = 0
     cover_miss_hours: int = 72
     preview_miss_hours: int = 24
     preview_min_len: int = 90
     preview_max_len: int = 420
     cover_cache_max: int = 260
-    translate_max_posts: int = 220
+    translate_max_posts: int = 0
     search_limit: int = 1500
     fresh_hours: int = 6
     tag_rules: tuple = field(default=TAG_RULES)

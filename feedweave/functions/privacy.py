@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column
@@ -38,49 +39,58 @@ def error_key(kind: Column, message: Column, stack: Column) -> Column:
     return F.concat(kind, F.lit(":"), redact_text(message, 160), F.lit(":"), redact_text(first_line, 120))
 
 
-# Key names that hide their value, and the size limits of a payload.
+# Key names that hide their value.
 SENSITIVE = ("token", "secret", "password", "passwd", "authorization", "cookie", "api_key", "apikey")
-MAX_DEPTH, MAX_KEYS, MAX_ITEMS, MAX_TEXT = 4, 48, 48, 360
 
 
-def _clean_text(text: str) -> str:
+@dataclass(frozen=True)
+class PayloadLimits:
+    """Bounds on a payload; None is no bound."""
+
+    depth: int | None = None
+    keys: int | None = None
+    items: int | None = None
+    text: int | None = None
+
+
+def _clean_text(text: str, most: int | None) -> str:
     s = text.strip()
-    s = s if len(s) <= MAX_TEXT else s[: MAX_TEXT - 1] + "…"
+    s = s if most is None or len(s) <= most else s[: most - 1] + "…"
     if "://" not in s and not s.startswith("/"):
         return s
     s = re.split(r"[?#]", s, maxsplit=1)[0]
     return s + "/" if re.fullmatch(r"(?i)https?://[^/\s]+", s) else s
 
 
-def _clean(value, depth: int):
+def _clean(value, depth: int, limits: PayloadLimits):
     if isinstance(value, str):
-        return _clean_text(value)
-    if isinstance(value, (list, dict)) and depth >= MAX_DEPTH:
+        return _clean_text(value, limits.text)
+    if isinstance(value, (list, dict)) and limits.depth is not None and depth >= limits.depth:
         return "[max_depth]"
     if isinstance(value, list):
-        return [_clean(v, depth + 1) for v in value[:MAX_ITEMS]]
+        return [_clean(v, depth + 1, limits) for v in value[: limits.items]]
     if isinstance(value, dict):
         hidden = {k for k in value if any(word in k.lower() for word in SENSITIVE)}
         return {
-            k: "[redacted]" if k in hidden else _clean(value[k], depth + 1) for k in list(value)[:MAX_KEYS]
+            k: "[redacted]" if k in hidden else _clean(value[k], depth + 1, limits) for k in list(value)[: limits.keys]
         }
     return value
 
 
-def _clean_json(raw: str | None) -> str | None:
+def _clean_json(raw: str | None, limits: PayloadLimits) -> str | None:
     try:
         value = json.loads(raw) if raw else None
     except ValueError:
         return None
-    cleaned = _clean(value, 0) if isinstance(value, dict) else None
+    cleaned = _clean(value, 0, limits) if isinstance(value, dict) else None
     return json.dumps(cleaned, ensure_ascii=False, separators=(",", ":")) if cleaned else None
 
 
-@F.pandas_udf(StringType())
-def _sanitize(payload: pd.Series) -> pd.Series:
-    return payload.map(_clean_json, na_action="ignore").astype("object")
+def sanitize_payload(c: Column, limits: PayloadLimits = PayloadLimits()) -> Column:
+    """JSON object text with secrets hidden and sizes within `limits`; null for anything else. Parsed in Arrow batches."""
 
+    @F.pandas_udf(StringType())
+    def parsed(payload: pd.Series) -> pd.Series:
+        return payload.map(lambda raw: _clean_json(raw, limits), na_action="ignore").astype("object")
 
-def sanitize_payload(c: Column) -> Column:
-    """JSON object text with secrets hidden and sizes bounded; null for anything else."""
-    return _sanitize(c)
+    return parsed(c)

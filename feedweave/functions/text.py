@@ -141,11 +141,6 @@ def relative_age_label(at: Column, now: Column, lang: str) -> Column:
     )
 
 
-def read_label(minutes: Column, lang: str) -> Column:
-    value = F.greatest(F.lit(1), F.floor(minutes + F.lit(0.5)).cast("int"))
-    return F.concat(value.cast("string"), F.lit("分" if lang == "ja" else "分钟"))
-
-
 def escape_xml(c: Column) -> Column:
     for raw, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
         c = F.replace(c, F.lit(raw), F.lit(escaped))

@@ -51,10 +51,6 @@ def normalize_url(c: Column) -> Column:
     return F.when(p["ok"], F.concat(p["origin"], p["path"], _without_tracking(p["query"])))
 
 
-def normalize_url_or_input(c: Column) -> Column:
-    return F.coalesce(normalize_url(c), trim_ws(c))
-
-
 def stable_id(c: Column) -> Column:
     return F.sha1(normalize_url(c))
 

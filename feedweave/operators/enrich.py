@@ -37,15 +37,16 @@ def drop_recent_misses(candidates: DataFrame, fetch_state: DataFrame, now: Colum
     return c.filter(~(cover & preview)).drop("cover_miss_at", "preview_miss_at")
 
 
-def cap_per_source(candidates: DataFrame, per_source: int = 200, total: int = 320) -> DataFrame:
-    """At most per_source items of a source and total items: missing covers first, then newest.
+def cap_per_source(candidates: DataFrame, per_source: int = 0, total: int = 0) -> DataFrame:
+    """At most per_source items of a source and total items (0: all): missing covers first, then newest.
 
     The rank filter also runs before the shuffle, so no source is gathered whole.
     """
     order = [F.col("lacks_cover").desc(), F.col("published_at").desc_nulls_last(), F.col("arrival")]
     rank = F.row_number().over(Window.partitionBy("source_id").orderBy(*order))
-    capped = candidates.withColumn("_rank", rank).filter(F.col("_rank") <= per_source).drop("_rank")
-    return capped.orderBy(*order).limit(total)
+    if per_source > 0:
+        candidates = candidates.withColumn("_rank", rank).filter(F.col("_rank") <= per_source).drop("_rank")
+    return candidates.orderBy(*order).limit(total) if total > 0 else candidates
 
 
 def page_candidates(posts: DataFrame, fetch_state: DataFrame, now: Column, settings: Settings = Settings()) -> DataFrame:

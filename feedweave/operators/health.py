@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedweave.functions import scores
-from feedweave.session import settled_small_side
 
 
 def latest_runs(runs: DataFrame) -> DataFrame:
@@ -23,7 +22,7 @@ def source_health(runs: DataFrame) -> DataFrame:
 
 def attach_health(posts: DataFrame, health: DataFrame) -> DataFrame:
     """Left join; a source without status has null level and score 0."""
-    by_source = settled_small_side(health.select("source_id", "source_health", "source_health_score"))
+    by_source = health.select("source_id", "source_health", "source_health_score")
     out = posts.join(by_source, "source_id", "left")
     return out.withColumn("source_health_score", F.coalesce("source_health_score", F.lit(0)))
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from feedweave.config import Settings
 from feedweave.functions import dates
-from feedweave.session import broadcast_if_small
 
 
 def merge_snapshots(previous: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -21,13 +20,8 @@ def merge_snapshots(previous: DataFrame, chosen: DataFrame) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True)
 
 
-def prefer_remote(remote: DataFrame, local: DataFrame) -> DataFrame:
-    """The remote copy when it has rows, the local one otherwise (reads one row to decide)."""
-    return local if remote.isEmpty() else remote
-
-
 def keep_known_sources(posts: DataFrame, sources: DataFrame) -> DataFrame:
-    return posts.join(broadcast_if_small(sources.select("source_id").distinct()), "source_id", "left_semi")
+    return posts.join(sources.select("source_id").distinct(), "source_id", "left_semi")
 
 
 def dedupe_by_url(posts: DataFrame) -> DataFrame:
@@ -131,14 +125,14 @@ def fallback_decisions(fetched: DataFrame, raw_counts: DataFrame, previous: Data
 
 def apply_source_fallback(items: DataFrame, previous: DataFrame, decisions: DataFrame) -> DataFrame:
     """This run's items for fetched sources, previous items for the others."""
-    fetched = broadcast_if_small(decisions.filter(F.col("used") == "fetched").select("source_id"))
-    kept = broadcast_if_small(decisions.filter(F.col("used") != "fetched").select("source_id"))
+    fetched = decisions.filter(F.col("used") == "fetched").select("source_id")
+    kept = decisions.filter(F.col("used") != "fetched").select("source_id")
     return items.join(fetched, "source_id", "left_semi").unionByName(
         previous.join(kept, "source_id", "left_semi"), allowMissingColumns=True
     )
 
 
-def merge_history(old: DataFrame, new: DataFrame, keep: int = 240) -> DataFrame:
+def merge_history(old: DataFrame, new: DataFrame, keep: int = 0) -> DataFrame:
     """Union of run summaries; the later appended row wins a time stamp; the newest `keep` stay (0 = all)."""
     both = old.withColumn("_phase", F.lit(0)).unionByName(new.withColumn("_phase", F.lit(1)))
     latest_row = F.max_by(F.struct(*old.columns), F.struct("_phase", "arrival"))

@@ -12,7 +12,6 @@ from feedweave.functions import dates, scores
 from feedweave.functions.dates import HOUR_MS
 from feedweave.functions.text import WS, category_alias, normalize_text, trim_ws
 from feedweave.operators import boards
-from feedweave.session import broadcast_if_small
 
 
 @dataclass(frozen=True)
@@ -109,11 +108,11 @@ def mark_read(rows: DataFrame, reads: DataFrame | None) -> DataFrame:
 def match_sources(rows: DataFrame, state: ReaderState) -> DataFrame:
     """Drops disabled sources; with only_followed_sources keeps followed ones."""
     if state.disabled_sources is not None:
-        rows = rows.join(broadcast_if_small(state.disabled_sources.select("source_id").distinct()), "source_id", "left_anti")
+        rows = rows.join(state.disabled_sources.select("source_id").distinct(), "source_id", "left_anti")
     if state.only_followed_sources:
         if state.followed_sources is None:
             return rows.filter(F.lit(False))
-        rows = rows.join(broadcast_if_small(state.followed_sources.select("source_id").distinct()), "source_id", "left_semi")
+        rows = rows.join(state.followed_sources.select("source_id").distinct(), "source_id", "left_semi")
     return rows
 
 
@@ -146,12 +145,15 @@ def search_limit(found: DataFrame, limit: int = 1500) -> DataFrame:
     return found.orderBy(F.col("published_ms").desc_nulls_last(), "id").limit(limit)
 
 
-def search_totals(found: DataFrame, limit: int = 1500) -> DataFrame:
-    """Counts reported with a limited result: both stop at the limit."""
-    top = search_limit(found, limit)
-    return top.agg(F.count(F.lit(1)).alias("matched"), F.count_if(~F.col("is_read")).alias("unread")).withColumn(
-        "truncated", F.col("matched") >= limit
-    )
+def search_totals(rows: DataFrame, is_match: Column, limit: int = 1500) -> DataFrame:
+    """Counts reported beside a limited result: all rows, matches and unread ones, and whether the limit cuts the list.
+
+    rows: the whole index with `is_read` (mark_read); is_match: the condition of the search.
+    """
+    hit = F.coalesce(is_match, F.lit(False))
+    return rows.agg(
+        F.count(F.lit(1)).alias("items"), F.count_if(hit).alias("matched"), F.count_if(hit & ~F.col("is_read")).alias("unread")
+    ).withColumn("truncated", F.col("matched") > limit)
 
 
 def dedup_leaders(rows: DataFrame) -> DataFrame:
@@ -199,31 +201,28 @@ def search_facets(found: DataFrame) -> DataFrame:
     )
 
 
-def word_anchor_grams(words: DataFrame, n: int = 3, salts: int = 16) -> DataFrame:
-    """Words with the piece of text that must occur in any haystack containing them."""
-    anchor = F.substring("word", 1, n)
-    return words.withColumn("_gram", anchor).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+def _pieces(c: Column | str, sizes: tuple[int, ...]) -> Column:
+    """The distinct pieces of a text of these lengths."""
+    return F.array_distinct(F.flatten(F.array(*(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes))))
 
 
-def match_words(index: DataFrame, words: DataFrame, salts: int = 16) -> DataFrame:
-    """Which words (user_id, kind, word) occur in which haystacks: (user_id, kind, word, id).
+def match_words(index: DataFrame, words: DataFrame) -> DataFrame:
+    """Postings (word, id): which distinct words occur in which haystacks, whoever asked for them.
 
-    Joined on character trigrams (shorter words on what they have), then checked
-    exactly. Frequent trigrams are salted by item, and each item row meets a
-    word at most once, so no pair is built that does not share a trigram.
+    A word is sought by its rarest trigram, or as it is if shorter. Only (piece, id) is joined; the texts
+    meet the candidates once per item, where each is checked exactly.
     """
-    norm = words.withColumn("word", normalize_text(F.col("word"))).filter(F.col("word") != "").distinct()
-    grams = word_anchor_grams(norm, 3, salts)
-    needed = norm.select(F.substring("word", 1, 3).alias("_gram")).distinct()
-    # Pieces of one and two characters are made only when a word is that short.
-    sizes = [r[0] for r in needed.select(F.length("_gram")).distinct().collect()]  # at most 1, 2 and 3
-    pieces = [F.regexp_extract_all("hay", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sorted(sizes)]
-    every = F.array_distinct(F.flatten(F.array(*pieces)) if pieces else F.array().cast("array<string>"))
-    rows = index.filter(F.col("hay") != "").select("id", "hay", F.explode(every).alias("_gram"))
-    rows = rows.join(broadcast_if_small(needed), "_gram", "left_semi")
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    hit = rows.join(grams, ["_gram", "_salt"]).filter(F.col("hay").contains(F.col("word")))
-    return hit.select("user_id", "kind", "word", "id")
+    norm = words.select(normalize_text(F.col("word")).alias("word")).filter(F.col("word") != "").distinct()
+    of_word = F.when(F.length("word") >= 3, _pieces("word", (3,))).otherwise(F.array("word"))
+    pieces = norm.select("word", F.explode(of_word).alias("piece"))
+    seen = index.filter(F.col("hay") != "").select("id", F.explode(_pieces("hay", (1, 2, 3))).alias("piece"))
+    held = seen.join(pieces.select("piece").distinct(), "piece", "left_semi")
+    counts = held.groupBy("piece").agg(F.count(F.lit(1)).alias("items"))
+    # A piece that no text holds leaves no count, and its words no posting.
+    rarest = pieces.join(counts, "piece").groupBy("word").agg(F.min(F.struct("items", "piece")).alias("best"), F.count(F.lit(1)).alias("found"))
+    anchors = rarest.filter(F.col("found") == F.when(F.length("word") >= 3, F.size(of_word)).otherwise(1)).select("word", "best.piece")
+    candidates = held.join(anchors, "piece").select("word", "id")
+    return index.select("id", "hay").join(candidates, "id").filter(F.col("hay").contains(F.col("word"))).select("word", "id")
 
 
 TOKEN = rf"\"[^\"]+\"|'[^']+'|[^{WS[1:-1]}]+"
@@ -287,13 +286,6 @@ KEYS = {
 }
 
 
-def spec_from_row(row) -> SearchSpec:
-    """A row of parse_query_table as the filter of one search."""
-    values = row.asDict()
-    values.pop("query_id", None)
-    return SearchSpec(**{k: tuple(v) if isinstance(v, list) else v for k, v in values.items()})
-
-
 def empty_result_suggestions(spec: SearchSpec, posts: DataFrame, categories: tuple, now: Column, spoiler_word: str = "剧透") -> DataFrame:
     """Up to five queries to try instead, each only if the query lacks that facet."""
     spark = posts.sparkSession

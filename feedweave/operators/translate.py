@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from feedweave import config
 from feedweave.functions import text
-from feedweave.session import broadcast_if_small
 
 LIMITS = {"title": 180, "summary": 420, "preview": 520}  # longest translated text per field
 
@@ -19,7 +18,7 @@ def cache_key(target: Column, source: Column) -> Column:
 
 
 def _languages(sources: DataFrame) -> DataFrame:
-    return broadcast_if_small(sources.select("source_id", F.col("lang").alias("_lang")))
+    return sources.select("source_id", F.col("lang").alias("_lang"))
 
 
 def wanted_texts(posts: DataFrame, sources: DataFrame) -> DataFrame:
@@ -36,10 +35,11 @@ def wanted_texts(posts: DataFrame, sources: DataFrame) -> DataFrame:
     return p.select("id", F.explode(F.array_compact(F.array(*wants))).alias("w")).select("id", "w.*")
 
 
-def translation_candidates(posts: DataFrame, sources: DataFrame, n: int = 220) -> DataFrame:
-    """The first n items, in list order, that need any translation."""
+def translation_candidates(posts: DataFrame, sources: DataFrame, n: int = 0) -> DataFrame:
+    """The first n items (0: all), in list order, that need any translation."""
     p = posts.join(_languages(sources), "source_id", "left")
-    return p.filter(text.post_needs_translation(F.col("_lang"))).drop("_lang").orderBy("arrival").limit(n)
+    found = p.filter(text.post_needs_translation(F.col("_lang"))).drop("_lang")
+    return found.orderBy("arrival").limit(n) if n > 0 else found
 
 
 def translation_worklist(posts: DataFrame, sources: DataFrame, cache: DataFrame) -> DataFrame:

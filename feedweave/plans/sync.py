@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from feedweave.config import Settings
 from feedweave.functions import text, urls
 from feedweave.operators import enrich, health, merge, pages
-from feedweave.session import broadcast_if_small, checkpoint
+from feedweave.session import checkpoint
 from feedweave.sources import feeds, search_index
 from feedweave.sources.dimension import include_filter
 
@@ -22,7 +22,7 @@ POST_COLUMNS = (
 
 def raw_items(bodies: DataFrame, sources: DataFrame, rules: dict = feeds.LISTING_RULES) -> DataFrame:
     """Items of all bodies (source_id, body_no, body), by the kind of their source."""
-    kinds = broadcast_if_small(sources.select("source_id", "kind"))
+    kinds = sources.select("source_id", "kind")
     b = bodies.join(kinds, "source_id").filter("body is not null")
     from_feeds = feeds.project_feed_items(feeds.parse_feeds(b.filter("kind = 'feed'").drop("kind")), sources)
     from_pages = feeds.parse_listing(b.filter("kind = 'html'").drop("kind"), rules)
@@ -35,7 +35,7 @@ def build_posts(items: DataFrame, sources: DataFrame, settings: Settings = Setti
     s = sources.selectExpr(
         "source_id", "name as source_name", "category", "coalesce(homepage, url) as _home", "url as _feed"
     )
-    t = kept.withColumn("url", urls.normalize_url(F.col("url"))).filter("url is not null").join(broadcast_if_small(s), "source_id")
+    t = kept.withColumn("url", urls.normalize_url(F.col("url"))).filter("url is not null").join(s, "source_id")
     t = t.withColumn("title", text.strip_truncate(F.col("title"), 180)).withColumn("summary", F.nullif(text.strip_truncate(F.col("summary"), 360), F.lit("")))
     tags = text.derive_tags(F.col("title"), F.col("summary"), F.col("category"), settings.tag_rules)
     out = t.select(
@@ -82,7 +82,9 @@ def sync(
     merged = merge.dedupe_by_url(merge.merge_snapshots(known, chosen))
     recent = merge.within_days(merged, settings.days, now)
     # The snapshot is published and also feeds the status rows, so it is computed once.
-    posts = checkpoint(published_order(recent.orderBy(*merge.newest_first()).limit(settings.snapshot_limit)))
+    if settings.snapshot_limit > 0:
+        recent = recent.orderBy(*merge.newest_first()).limit(settings.snapshot_limit)
+    posts = checkpoint(published_order(recent))
 
     per_source = chosen.groupBy("source_id").agg(F.count(F.lit(1)).alias("item_count"))
     new = merge.count_new_items(built, known).withColumnRenamed("new_items", "_new")
@@ -99,16 +101,11 @@ def sync(
     return SyncResult(posts, runs, merged_history)
 
 
-def search_tables(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Search rows and the slim display copy of a snapshot."""
-    return search_index.build_search_index(posts), search_index.slim_search_posts(posts)
-
-
 def enrich_from_pages(posts: DataFrame, fetch_state: DataFrame, fetched_pages: DataFrame, now: Column, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
     """Fills covers and previews of this run's candidates from their pages (url, html).
 
     Returns the posts and the updated fetch state. Only candidate pages are
-    parsed, and they are parsed once: at most settings.enrich_max of them.
+    parsed, and they are parsed once: at most settings.enrich_max of them if that is set.
     """
     tried = enrich.page_candidates(posts, fetch_state, now, settings).select("id", "url", "want_cover", "want_preview")
     found = fetched_pages.join(tried.select("url"), "url", "left_semi").withColumn("_key", F.col("url"))

@@ -8,7 +8,6 @@ import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -62,26 +61,3 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast hint after counting (at most max_rows + 1 rows); larger tables are joined by shuffle.
-
-    For narrow per-source tables next to item tables: Catalyst estimates an
-    aggregate by its input and would shuffle all items to meet a few rows.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
-def settled_small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """broadcast_if_small for an expensive aggregate: computed once, counted, then joined."""
-    return broadcast_if_small(checkpoint(df), max_rows)
-
-
-def spread_few_files(df: DataFrame, key: str) -> DataFrame:
-    """For heavy work per row on a handful of unsplittable files, which would leave most cores idle.
-
-    Input with at least as many files as cores, as any large table has, is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if 0 < len(df.inputFiles()) < cores else df

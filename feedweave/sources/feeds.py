@@ -14,7 +14,6 @@ from pyspark.sql.types import StringType, StructField, StructType
 from feedweave.functions import dates, text, urls
 from feedweave.functions.html import first, parse, select
 from feedweave.operators.page_parse import image_address
-from feedweave.session import broadcast_if_small, spread_few_files
 
 MEDIA = "array<struct<_url:string,_href:string,_type:string,_medium:string,_VALUE:string>>"
 MEDIA_FIELDS = f"`media:content`:{MEDIA},`media:thumbnail`:{MEDIA}"
@@ -97,7 +96,7 @@ def _read_html(html: pd.Series, base: pd.Series) -> pd.DataFrame:
 
 def project_feed_items(items: DataFrame, sources: DataFrame) -> DataFrame:
     """Dated items with clean title, summary text and absolute cover; undated ones are dropped."""
-    base = broadcast_if_small(sources.select("source_id", F.col("url").alias("_source_url")))
+    base = sources.select("source_id", F.col("url").alias("_source_url"))
     t = items.withColumn("published_at", dates.parse_published(F.col("published_raw"))).filter("published_at is not null")
     t = t.join(base, "source_id", "left").withColumn("url", text.trim_ws(F.col("url")))
     marked = F.when(F.col("summary_html").rlike("[<&]"), F.col("summary_html"))  # plain texts need no parser
@@ -166,7 +165,7 @@ def parse_listing(pages: DataFrame, rules: dict[str, ListingRule] = LISTING_RULE
                 rows += [[record[k] for k in kept] + [n, *item] for n, item in enumerate(found)]
             yield pd.DataFrame(rows, columns=[*kept, "item_no", "title", "url", "published_raw", "summary", "cover"])
 
-    known = spread_few_files(pages.filter(F.col("source_id").isin(*rules)), "source_id")
+    known = pages.filter(F.col("source_id").isin(*rules))
     listed = known.mapInPandas(batches, ", ".join(f"{k} {types[k]}" for k in kept) + ", " + LISTED)
     dated = listed.withColumn("published_at", dates.parse_published(F.col("published_raw"))).drop("published_raw")
     return (

@@ -57,6 +57,6 @@ def repair_rows(index: DataFrame) -> DataFrame:
 
 
 def repair_search_index(index: DataFrame, posts: DataFrame) -> DataFrame:
-    """The repaired stored rows when they cover exactly the items, else a fresh index."""
+    """The repaired stored rows of the items, and fresh rows for the items that have none."""
     repaired = repair_rows(index).join(posts.select("id"), "id", "left_semi")
-    return repaired if repaired.count() == posts.count() else build_search_index(posts)
+    return repaired.unionByName(build_search_index(posts.join(repaired.select("id"), "id", "left_anti")))

@@ -138,4 +138,4 @@ def test_resolve_cover(spark):
 
 def test_settings_clamp():
     s = config.Settings.from_mapping({"days": "7", "drop_ratio": "2", "history_max": "-1", "enrich_max": "x", "stale_hours": "12.9"})
-    assert (s.days, s.drop_ratio, s.history_max, s.enrich_max, s.stale_hours) == (7, 0.15, 240, 320, 12)
+    assert (s.days, s.drop_ratio, s.history_max, s.enrich_max, s.stale_hours) == (7, 0.15, 0, 0, 12)

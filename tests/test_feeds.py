@@ -125,4 +125,4 @@ def test_image_addresses_and_settings(spark, sources):
         spark.createDataFrame([("a", "x", None), ("b", "An ATOM", None), ("b", "none", None), ("c", "x", None)], "source_id string, title string, summary string"), sources
     )
     assert sorted((r.source_id, r.title) for r in kept.collect()) == [("a", "x"), ("b", "An ATOM"), ("c", "x")]
-    assert config.Settings().snapshot_limit == 2000
+    assert config.Settings().snapshot_limit == 0

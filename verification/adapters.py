@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedweave.operators import merge
-from feedweave.session import prepare, spread_few_files
+from feedweave.session import prepare
 
 NOW = "2024-01-31 00:00:00"
 BEFORE = "2024-01-21 00:00:00"  # clock of the previous snapshot
@@ -20,25 +20,25 @@ def now():
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A driver table. The text-heavy ones come as one file, so small folders are spread over the cores."""
-    df = prepare(spark).read.parquet(f"{sf}/{name}.parquet")
-    return spread_few_files(df, "doc_id") if name == "documents" else df
+    """A driver table."""
+    return prepare(spark).read.parquet(f"{sf}/{name}.parquet")
 
 
 def posts(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").selectExpr(
         "*",
         r"trim(regexp_replace(text, '[\\t\\r\\n\\f][ \\t\\r\\n\\f]*| [ \\t\\r\\n\\f]+', ' ')) as compact",
+        r"trim(regexp_replace(split_part(text, '\n', 1), '[\\t\\r\\f][ \\t\\r\\f]*| [ \\t\\r\\f]+', ' ')) as line",
         "concat('https://', source, '.example.com/', lang, '/', doc_id) as u",
     )
     return d.selectExpr(
         "sha1(u) as id", "doc_id as arrival", "u as url",
-        "substring(compact, 1, 80) as title",
-        "if(lang = 'en', concat('译 ', substring(compact, 1, 80)), null) as title_zh",
-        "if(lang = 'fr', concat('訳 ', substring(compact, 1, 80)), null) as title_ja",
-        "if(lang <> 'de', substring(compact, 1, 360), null) as summary",
+        "line as title",
+        "if(lang = 'en', concat('译 ', line), null) as title_zh",
+        "if(lang = 'fr', concat('訳 ', line), null) as title_ja",
+        "if(lang <> 'de', compact, null) as summary",
         "cast(null as string) as summary_zh", "cast(null as string) as summary_ja",
-        "if(lang = 'de', substring(compact, 1, 420), null) as preview",
+        "if(lang = 'de', compact, null) as preview",
         "cast(null as string) as preview_zh", "cast(null as string) as preview_ja",
         "timestampadd(MINUTE, cast((doc_id * 2591) % 43200 as int), timestamp'2024-01-01') as published_at",
         "lang as category", "source as source_id", "concat('Source ', source) as source_name",
@@ -52,13 +52,14 @@ def posts(spark: SparkSession, sf: str) -> DataFrame:
 
 POSTS = r"""
 docs_fx AS (SELECT *, trim(regexp_replace(text, '[ \t\r\n\f]+', ' ', 'g')) AS compact,
+  trim(regexp_replace(split_part(text, chr(10), 1), '[ \t\r\f]+', ' ', 'g')) AS line,
   'https://' || source || '.example.com/' || lang || '/' || doc_id AS u FROM documents),
-posts_fx AS (SELECT sha1(u) AS id, doc_id AS arrival, u AS url, substring(compact, 1, 80) AS title,
-  CASE WHEN lang = 'en' THEN '译 ' || substring(compact, 1, 80) END AS title_zh,
-  CASE WHEN lang = 'fr' THEN '訳 ' || substring(compact, 1, 80) END AS title_ja,
-  CASE WHEN lang <> 'de' THEN substring(compact, 1, 360) END AS summary,
+posts_fx AS (SELECT sha1(u) AS id, doc_id AS arrival, u AS url, line AS title,
+  CASE WHEN lang = 'en' THEN '译 ' || line END AS title_zh,
+  CASE WHEN lang = 'fr' THEN '訳 ' || line END AS title_ja,
+  CASE WHEN lang <> 'de' THEN compact END AS summary,
   CAST(NULL AS VARCHAR) AS summary_zh, CAST(NULL AS VARCHAR) AS summary_ja,
-  CASE WHEN lang = 'de' THEN substring(compact, 1, 420) END AS preview,
+  CASE WHEN lang = 'de' THEN compact END AS preview,
   CAST(NULL AS VARCHAR) AS preview_zh, CAST(NULL AS VARCHAR) AS preview_ja,
   TIMESTAMP '2024-01-01' + to_minutes(CAST((doc_id * 2591) % 43200 AS INT)) AS published_at,
   lang AS category, source AS source_id, 'Source ' || source AS source_name,

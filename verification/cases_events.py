@@ -125,7 +125,7 @@ CACHED = WANTED.replace("upper(text)", "text || ' (done)'")
 
 @case("translation_candidates", with_ctes(POSTS, SOURCES, WANTED, body="SELECT id FROM (SELECT DISTINCT id, arrival FROM work_fx JOIN posts_fx USING (id)) ORDER BY arrival LIMIT 220"))
 def _(spark, sf):
-    return translate.translation_candidates(a.posts(spark, sf), a.sources(spark, sf)).select("id")
+    return translate.translation_candidates(a.posts(spark, sf), a.sources(spark, sf), 220).select("id")
 
 
 @case("translation_worklist", with_ctes(POSTS, SOURCES, CACHED, body="""

@@ -78,9 +78,10 @@ def _(spark, sf):
 
 
 CUT = "CASE WHEN length(body_text) <= {0} THEN body_text ELSE rtrim(substring(body_text, 1, {0} - 1)) || '…' END"
+TITLE_CUT = "CASE WHEN length(title) <= 180 THEN title ELSE rtrim(substring(title, 1, 179)) || '…' END"
 COVER = f"CASE WHEN {NUM} < 7 THEN 'https://' || source_id || '.example.com/m.png' WHEN {NUM} < 13 THEN 'https://cdn.example/e' ELSE 'https://' || source_id || '.example.com/i.png' END"
 PROJECTED = f"""
-projected_fx AS (SELECT arrival, published_at, source_id, title, url || CASE WHEN {NUM} < 7 THEN '?x=1' ELSE '' END AS url, nullif({CUT.format(220)}, '') AS summary, {COVER} AS cover
+projected_fx AS (SELECT arrival, published_at, source_id, {TITLE_CUT} AS title, url || CASE WHEN {NUM} < 7 THEN '?x=1' ELSE '' END AS url, nullif({CUT.format(220)}, '') AS summary, {COVER} AS cover
   FROM items_fx WHERE title <> '')"""
 
 
@@ -101,7 +102,7 @@ def listings(spark, sf):
 
 
 @case("parse_listing", with_ctes(POSTS, ITEMS, body=f"""
-SELECT arrival AS body_no, title, 'https://animeanime.jp/article/2024/01/02/' || arrival || '.html' AS url, 'https://animeanime.jp/f.png' AS cover,
+SELECT arrival AS body_no, {TITLE_CUT} AS title, 'https://animeanime.jp/article/2024/01/02/' || arrival || '.html' AS url, 'https://animeanime.jp/f.png' AS cover,
   nullif({CUT.format(220)}, '') AS summary, strftime(published_at, '%Y-%m-%d %H:%M') AS "at" FROM items_fx WHERE title <> ''"""))
 def _(spark, sf):
     out = feeds.parse_listing(listings(spark, sf))
@@ -129,8 +130,8 @@ def _(spark, sf):
 
 # Run: the bodies dated after the previous snapshot arrive now; one source failed to load, one was unchanged.
 RUN = f"""
-raw_fx AS (SELECT * FROM projected_fx WHERE published_at >= TIMESTAMP '2024-01-28'),
-now_fx AS (SELECT * FROM built_fx WHERE published_at >= TIMESTAMP '2024-01-28'),
+raw_fx AS (SELECT * FROM projected_fx WHERE published_at >= TIMESTAMP '{BEFORE}'),
+now_fx AS (SELECT * FROM built_fx WHERE published_at >= TIMESTAMP '{BEFORE}'),
 old_fx AS (SELECT * FROM built_fx WHERE published_at < TIMESTAMP '{BEFORE}'),
 dec_fx AS (SELECT source_id, raw_items, prev_items, CASE WHEN source_id = 'src3' THEN 'cached' WHEN source_id = 'src5' OR raw_items = 0
     OR (prev_items >= 12 AND raw_items < greatest(3, floor(prev_items * 0.15))) THEN 'fallback' ELSE 'fetched' END AS used
@@ -138,22 +139,22 @@ dec_fx AS (SELECT source_id, raw_items, prev_items, CASE WHEN source_id = 'src3'
 all_fx AS (SELECT *, 0 AS phase FROM old_fx UNION ALL SELECT *, 1 FROM now_fx WHERE source_id IN (SELECT source_id FROM dec_fx WHERE used = 'fetched')
   UNION ALL SELECT *, 1 FROM old_fx WHERE source_id IN (SELECT source_id FROM dec_fx WHERE used <> 'fetched')),
 uniq_fx AS (SELECT *, min((phase, arrival)) OVER (PARTITION BY lower(url)) AS seen, row_number() OVER (PARTITION BY lower(url) ORDER BY length(coalesce(summary, '')) + CASE WHEN cover IS NOT NULL THEN 20 ELSE 0 END DESC, phase DESC, arrival DESC) AS rn FROM all_fx),
-next_fx AS (SELECT * FROM uniq_fx WHERE rn = 1 AND published_at >= TIMESTAMP '{NOW}' - INTERVAL 25 DAY ORDER BY published_at DESC, seen LIMIT 700)"""
+next_fx AS (SELECT * FROM uniq_fx WHERE rn = 1 AND published_at >= TIMESTAMP '{NOW}' - INTERVAL 25 DAY)"""
 RUN_CTES = (POSTS, ITEMS, SOURCES, PROJECTED, BUILT, RUN)
 
 
 def run(spark, sf):
     s = checkpoint(all_feeds(spark, sf))  # stands for the stored source table
     every = bodies(spark, sf).join(a.posts(spark, sf).select(F.col("arrival").alias("body_no"), "published_at"), "body_no")
-    fresh = every.filter("published_at >= timestamp'2024-01-28'").drop("published_at")
-    before = every.filter(F.col("published_at") < F.lit(BEFORE).cast("timestamp")).drop("published_at")
+    old = F.col("published_at") < F.lit(BEFORE).cast("timestamp")
+    fresh, before = every.filter(~old).drop("published_at"), every.filter(old).drop("published_at")
     previous = checkpoint(sy.build_posts(sy.raw_items(before, s), s))  # stands for the stored snapshot
     fetched = s.select(
         "source_id", F.expr("case source_id when 'src3' then 304 when 'src5' then 503 else 200 end").alias("http_status"), (F.col("source_id") != "src5").alias("fetch_ok"),
         F.lit(None).cast("string").alias("parse_error"), F.lit(500).alias("duration_ms"),
     )
     earlier = a.history_runs(spark, sf).filter("run_ts = timestamp'2024-01-30'")
-    return sy.sync(fresh, fetched, s, previous, earlier, None, a.now(), config.Settings(days=25, snapshot_limit=700))
+    return sy.sync(fresh, fetched, s, previous, earlier, None, a.now(), config.Settings(days=25))
 
 
 @case("sync_posts", with_ctes(*RUN_CTES, body="SELECT id, title, summary, source_id, category, strftime(published_at, '%Y-%m-%d %H:%M') AS \"at\" FROM next_fx"))
@@ -174,8 +175,8 @@ def _(spark, sf):
 # Pages of the posts: each document also has a page with a cover and a description.
 @case("enrich_from_pages", with_ctes(POSTS, """
 wants_fx AS (SELECT *, cover IS NULL AS lacks_cover, preview IS NULL AND (summary IS NULL OR length(summary) < 300) AS want_preview FROM posts_fx),
-tried_fx AS (SELECT * FROM wants_fx WHERE lacks_cover OR want_preview QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY lacks_cover DESC, published_at DESC, arrival) <= 9),
-done_fx AS (SELECT id FROM tried_fx ORDER BY lacks_cover DESC, published_at DESC, arrival LIMIT 150)""", body="""
+tried_fx AS (SELECT * FROM wants_fx WHERE lacks_cover OR want_preview),
+done_fx AS (SELECT id FROM tried_fx)""", body="""
 SELECT id, CASE WHEN lacks_cover AND id IN (SELECT id FROM done_fx) THEN 'https://' || source_id || '.example.com/og/' || arrival || '.png' ELSE cover END AS cover,
   CASE WHEN want_preview AND id IN (SELECT id FROM done_fx) THEN 'A description of page number ' || arrival ELSE preview END AS preview FROM wants_fx"""))
 def _(spark, sf):
@@ -185,6 +186,6 @@ def _(spark, sf):
         F.col("arrival").cast("string"), F.lit('"></head><body><p>text</p></body></html>'),
     )
     state = p.limit(0).selectExpr("url", *[f"cast(null as timestamp) as {k}_{s}_at" for k in ("cover", "preview") for s in ("miss", "ok")])
-    settings = config.Settings(preview_min_len=300, enrich_per_source=9, enrich_max=150)
+    settings = config.Settings(preview_min_len=300)
     out, _ = sy.enrich_from_pages(p, state, p.select("url", html.alias("html")), a.now(), settings)
     return out.select("id", "cover", "preview")

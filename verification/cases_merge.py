@@ -68,7 +68,7 @@ def _(spark, sf):
 # One run per source: the newest status row says how the fetch went; the number of
 # raw items of a source comes from the documents dated after the previous snapshot.
 FETCH_CTES = (POSTS, PREVIOUS, SOURCES, RUNS, """
-raw_fx AS (SELECT * FROM posts_fx WHERE published_at >= TIMESTAMP '2024-01-28'),
+raw_fx AS (SELECT * FROM posts_fx WHERE published_at >= TIMESTAMP '2024-01-21'),
 fetched_fx AS (SELECT s.source_id, CASE WHEN l.used = 'cached' THEN 304 ELSE l.http_status END AS http_status, coalesce(l.ok, true) AS fetch_ok,
   CASE WHEN l.duration_ms % 7 = 0 THEN 'parse_error' END AS parse_error FROM sources_fx s LEFT JOIN latest_fx l USING (source_id)),
 decided_fx AS (SELECT source_id, http_status, raw_items, prev_items,
@@ -80,7 +80,7 @@ decided_fx AS (SELECT source_id, http_status, raw_items, prev_items,
 
 
 def _fetch(spark, sf):
-    raw = a.posts(spark, sf).filter("published_at >= timestamp'2024-01-28'")
+    raw = a.posts(spark, sf).filter("published_at >= timestamp'2024-01-21'")
     last = health.latest_runs(a.history_runs(spark, sf)).selectExpr(
         "source_id", "if(used = 'cached', 304, http_status) as http_status", "ok", "if(duration_ms % 7 = 0, 'parse_error', null) as parse_error"
     )
@@ -107,14 +107,14 @@ def _(spark, sf):
 # Pages play the arrivals: the same address arrives with and without a trailing mark.
 ARRIVALS = r"""
 arrivals_fx AS (SELECT page_id AS arrival, regexp_replace(regexp_extract(url, '^https?://([^/]*)', 1), '[0-9]', '', 'g') AS url,
-  substring(html, 100, 40 + (length(html) % 90)) AS summary, CASE WHEN length(html) % 4 = 0 THEN 'c' END AS cover,
+  html AS summary, CASE WHEN length(html) % 4 = 0 THEN 'c' END AS cover,
   TIMESTAMP '2024-01-01' + to_minutes(CAST(length(html) AS INT)) AS published_at FROM pages)"""
 
 
 def arrivals(spark, sf):
     return a.table(spark, sf, "pages").selectExpr(
         "page_id as arrival", "regexp_replace(regexp_extract(url, '^https?://([^/]*)', 1), '[0-9]', '') as url",
-        "substring(html, 100, 40 + (length(html) % 90)) as summary", "if(length(html) % 4 = 0, 'c', null) as cover",
+        "html as summary", "if(length(html) % 4 = 0, 'c', null) as cover",
         "timestampadd(MINUTE, length(html), timestamp'2024-01-01') as published_at",
     )
 
@@ -130,7 +130,7 @@ def _(spark, sf):
 @case("merge_snapshots", with_ctes(POSTS, PREVIOUS, body="""
 SELECT id, phase, count(*) AS n FROM (SELECT id, 0 AS phase FROM previous_fx UNION ALL SELECT id, 1 FROM posts_fx) GROUP BY ALL"""))
 def _(spark, sf):
-    both = merge.merge_snapshots(merge.prefer_remote(a.previous(spark, sf), a.posts(spark, sf)), a.posts(spark, sf))
+    both = merge.merge_snapshots(a.previous(spark, sf), a.posts(spark, sf))
     return both.groupBy("id", F.col("arrival.phase").alias("phase")).agg(F.count(F.lit(1)).alias("n"))
 
 

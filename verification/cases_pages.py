@@ -194,8 +194,8 @@ def _(spark, sf):
     return pg.best_extraction(t)
 
 
-@case("cap_document_cache", r"""
-SELECT doc_id, CASE WHEN length(text) * 2 <= 3000 THEN length(text) END AS zh_len FROM documents WHERE length(text) <= 3000""")
+@case("mark_cacheable", r"""
+SELECT doc_id, length(text) <= 3000 AS cache_text, length(text) * 2 <= 3000 AS cache_all FROM documents""")
 def _(spark, sf):
     d = a.table(spark, sf, "documents").select("doc_id", F.col("text").alias("original"), F.col("text").alias("zh"), F.lit(None).cast("string").alias("ja"))
-    return pg.cap_document_cache(d, 3000).select("doc_id", F.length("zh").alias("zh_len"))
+    return pg.mark_cacheable(d, 3000).select("doc_id", "cache_text", "cache_all")

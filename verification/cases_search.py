@@ -86,11 +86,10 @@ def _(spark, sf):
 
 
 @case("search_totals", with_ctes(POSTS, INDEX, READS, body="""
-SELECT count(*) AS matched, count(*) FILTER (NOT is_read) AS unread, count(*) >= 300 AS truncated
-FROM (SELECT id IN (SELECT post_id FROM reads_fx) AS is_read FROM index_fx WHERE contains(hay, 'a') ORDER BY published_ms DESC, id LIMIT 300)"""))
+SELECT count(*) AS items, count(*) FILTER (contains(hay, 'the')) AS matched,
+  count(*) FILTER (contains(hay, 'the') AND id NOT IN (SELECT post_id FROM reads_fx)) AS unread, count(*) FILTER (contains(hay, 'the')) > 300 AS truncated FROM index_fx"""))
 def _(spark, sf):
-    got = s.search(index(spark, sf), s.SearchSpec(text=("a",)), s.ReaderState(reads=reads(spark, sf)))
-    return s.search_totals(got, 300)
+    return s.search_totals(s.mark_read(index(spark, sf), reads(spark, sf)), s.matches(s.SearchSpec(text=("the",))), 300)
 
 
 @case("mark_read", with_ctes(POSTS, INDEX, READS, body="SELECT id, id IN (SELECT post_id FROM reads_fx) AS is_read FROM index_fx"))
@@ -106,15 +105,14 @@ def _(spark, sf):
     return s.match_sources(index(spark, sf), state).select("id")
 
 
-# Words typed by readers: one word per event, taken from the documents' openings.
+# Words that readers follow: every event's type and number.
 @case("match_words", with_ctes(POSTS, INDEX, r"""
-words_fx AS (SELECT DISTINCT user_id, kind, word FROM (SELECT event_id % 50 AS user_id, CASE WHEN event_type = 'error' THEN 'block' ELSE 'follow' END AS kind,
-  lower(regexp_extract(d.text, '^\s*(\S+)', 1)) AS word FROM events JOIN documents d ON d.doc_id = events.event_id) WHERE word <> '')""",
-  body="SELECT user_id, kind, word, id FROM words_fx JOIN index_fx ON contains(hay, word)"))
+words_fx AS (SELECT event_type AS word FROM events UNION SELECT json_extract_string(props, '$.k') FROM events)""",
+  body="SELECT word, id FROM words_fx JOIN index_fx ON contains(hay, word)"))
 def _(spark, sf):
-    e = a.table(spark, sf, "events").selectExpr("event_id as doc_id", "event_id % 50 as user_id", "if(event_type = 'error', 'block', 'follow') as kind")
-    d = a.table(spark, sf, "documents").select("doc_id", F.regexp_extract("text", r"^\s*(\S+)", 1).alias("word"))
-    return s.match_words(index(spark, sf), e.join(d, "doc_id").select("user_id", "kind", "word"))
+    e = a.table(spark, sf, "events")
+    words = e.selectExpr("explode(array(event_type, get_json_object(props, '$.k'))) as word")
+    return s.match_words(index(spark, sf), words)
 
 
 @case("search_facets", with_ctes(POSTS, INDEX, READS, body="""
