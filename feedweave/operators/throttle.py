@@ -1,30 +1,28 @@
 """Dropping repeats that follow too soon: exact for keys of any size.
 
-An event is kept when the last *kept* event of its key is at least `gap` old.
-That is a chain, so a key cannot simply be cut. Time is cut into blocks of
-BLOCK_GAPS gaps instead. A block holds at most one candidate per millisecond
-and keeps at most BLOCK_GAPS + 1 events. Blocks after a pause of a full gap
-start fresh. For blocks that touch, a small table says which event each block
-ends on for every way it can be entered; walking these tables gives every block
-its entry, and all blocks are then folded in parallel.
+An event is kept when the last *kept* event of its key is at least `gap` old. That is a chain over the whole
+key. The events are cut into pieces by range, so a big key spans many of them. For each piece a table of rows
+(start, exit) says which event the piece ends on for every event it can begin to keep with; most ways of
+entering a piece soon meet, so the table is short. One pass over these rows in order of key and piece, holding one time per
+key, gives each piece the event kept before it, and all pieces are then folded in parallel. No row and no group
+holds more than one piece.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from feedweave.operators import ordering
-
-BLOCK_GAPS = 64
-EXITS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("exit", T.LongType())]))
+from feedweave.operators.ordering import PIECE, ROW
 
 
-def block_exits(ms: np.ndarray, block_start: int, gap: int) -> list[tuple[int, int]]:
-    """(first kept event, last kept event) for every possible first kept event of a block.
+def piece_exits(ms: np.ndarray, gap: int) -> list[tuple[int, int]]:
+    """(first kept event, last kept event) for every possible first kept event of a piece.
 
     Neighbouring starts that end on the same event are merged into the latest of them.
     """
@@ -33,88 +31,94 @@ def block_exits(ms: np.ndarray, block_start: int, gap: int) -> list[tuple[int, i
     for i in range(len(ms) - 1, -1, -1):
         if follow[i] < len(ms):
             last[i] = last[follow[i]]
-    n = min(len(ms), int(np.searchsorted(ms, block_start + gap)) + 1)
+    # What was kept before lies before the piece, so it forbids less than a gap from the first event on.
+    n = min(len(ms), int(np.searchsorted(ms, ms[0] + gap)) + 1)
     return [(int(ms[i]), int(last[i])) for i in range(n) if i == n - 1 or last[i] != last[i + 1]]
 
 
-def walk_blocks(blocks: list[int], exits: list, gap: int) -> list[int | None]:
-    """The kept event before each block, walking touching blocks in time order."""
-    anchor, entries = None, []
-    for table in exits:
-        entries.append(anchor)
-        need = table[0]["start"] if anchor is None else anchor + gap
-        for pair in table:
-            if pair["start"] >= need:
-                anchor = pair["exit"]
-                break
-    return entries
-
-
-def _exits_udf(gap: int):
-    @F.pandas_udf(EXITS)
-    def exits(ms: pd.Series, block: pd.Series) -> pd.Series:
-        size = gap * BLOCK_GAPS
-        return pd.Series([
-            None if m is None else [{"start": s, "exit": e} for s, e in block_exits(np.asarray(m, dtype="int64"), int(b) * size, gap)]
-            for m, b in zip(ms, block)
-        ])
+def kept_in_piece(ms: np.ndarray, entry: float | None, gap: int) -> np.ndarray:
+    """Positions of the events that pass, given the event kept before the piece."""
+    follow = np.searchsorted(ms, ms + gap)
+    i = 0 if entry is None or np.isnan(entry) else int(np.searchsorted(ms, int(entry) + gap))
+    out = []
+    while i < len(ms):
+        out.append(i)
+        i = int(follow[i])
+    return np.array(out, int)
+
+
+def _segments(frames: Iterator[pd.DataFrame], keys: list[str], value: str) -> Iterator[tuple[tuple, np.ndarray]]:
+    """Runs of rows with equal keys in sorted frames, across frame borders."""
+    current, parts = None, []
+    for pdf in frames:
+        ids = pdf[keys].ne(pdf[keys].shift()).any(axis=1).cumsum()
+        for _, run in pdf.groupby(ids, sort=False):
+            key = tuple(run[keys].iloc[0])
+            if key != current:
+                if current is not None:
+                    yield current, np.concatenate(parts)
+                current, parts = key, []
+            parts.append(run[value].to_numpy("int64"))
+    if current is not None:
+        yield current, np.concatenate(parts)
+
+
+def _exits(gap: int, keys: list[str]):
+    def exits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for key, ms in _segments(frames, keys, "ms"):
+            table = piece_exits(ms, gap)
+            yield pd.DataFrame({**{c: [v] * len(table) for c, v in zip(keys, key)}, "start": [s for s, _ in table], "exit": [e for _, e in table]})
 
     return exits
 
 
-ENTRIES = T.ArrayType(T.StructType([T.StructField("block", T.LongType()), T.StructField("entry", T.LongType())]))
-
-
-def _walk_udf(gap: int):
-    @F.pandas_udf(ENTRIES)
-    def walk(rows: pd.Series) -> pd.Series:
-        out = []
-        for r in rows:
-            blocks = [int(x["block"]) for x in r]
-            entries = walk_blocks(blocks, [x["exits"] for x in r], gap)
-            out.append([{"block": b, "entry": e} for b, e in zip(blocks, entries)])
-        return pd.Series(out)
+def _walk(gap: int, keys: list[str]):
+    """Rows of exits in order of key, piece and start: the kept event before each piece. Holds one time at a time."""
+    *names, piece = keys
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, at, anchor, leaving = None, None, None, None
+        for pdf in frames:
+            out = []
+            for *this, number, start, leave in pdf[[*keys, "start", "exit"]].itertuples(index=False):
+                if this != key:
+                    key, at, anchor, leaving = this, None, None, None
+                if number != at:
+                    anchor = leaving if leaving is not None else anchor
+                    at, leaving = number, None
+                    out.append((*this, number, anchor))
+                if leaving is None and (anchor is None or start >= anchor + gap):
+                    leaving = leave
+            yield pd.DataFrame(out, columns=[*names, piece, "entry"]).astype({"entry": "Int64"})
 
     return walk
 
 
-def _fold(events: Column, entry: Column, gap: int) -> Column:
-    """Ids kept in one block; at most BLOCK_GAPS + 1 of them."""
-    start = F.struct(entry.alias("last"), F.array().cast("array<bigint>").alias("kept"))
-
-    def step(acc: Column, e: Column) -> Column:
-        keep = acc["last"].isNull() | (e["ms"] - acc["last"] >= gap)
-        return F.when(keep, F.struct(e["ms"].alias("last"), F.concat(acc["kept"], F.array(e["tie"])).alias("kept"))).otherwise(acc)
+def _fold(gap: int):
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ms")
+        kept = kept_in_piece(pdf["ms"].to_numpy("int64"), pdf["entry"].iloc[0] if pd.notna(pdf["entry"].iloc[0]) else None, gap)
+        return pdf[["tie"]].iloc[kept]
 
-    return F.aggregate(events, start, step, lambda acc: acc["kept"])
+    return fold
 
 
 def throttle_ids(events: DataFrame, keys: list[str], gap_ms: int, at: str = "at", tie: str = "event_id") -> DataFrame:
     """Ids (`tie`) of the events that pass; `keys` may be empty (one chain for all)."""
-    size = gap_ms * BLOCK_GAPS
     k = [f"_k{i}" for i in range(max(1, len(keys)))]
     # A missing part of a key is a value of its own.
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(n) for c, n in zip(keys, k)] or [F.lit("").alias("_k0")]
     keyed = events.select(*parts, F.unix_millis(at).alias("ms"), F.col(tie).cast("bigint").alias("tie"))
     # Of the events of one millisecond only the first can pass.
     first = keyed.filter("ms is not null").groupBy(*k, "ms").agg(F.min("tie").alias("tie"))
-    first = first.withColumn("block", F.floor(F.col("ms") / size))
-    # The small table: one row per block, without its events.
-    in_key = Window.partitionBy(*k).orderBy("block")
-    spans = first.groupBy(*k, "block").agg(F.min("ms").alias("lo"), F.max("ms").alias("hi"))
-    touches = F.coalesce(F.col("lo") - F.lag("hi").over(in_key) < gap_ms, F.lit(False))
-    touched = F.coalesce(F.lead("lo").over(in_key) - F.col("hi") < gap_ms, F.lit(False))
-    spans = spans.withColumn("touches", touches).withColumn("linked", F.col("touches") | touched)
-    run = F.sum(F.when(F.col("touches"), 0).otherwise(1)).over(in_key)
-    spans = spans.select(*k, "block", "linked", run.alias("run"))
-    blocks = first.groupBy(*k, "block").agg(F.sort_array(F.collect_list(F.struct("ms", "tie"))).alias("ev"))
-    linked = blocks.join(spans.filter("linked"), [*k, "block"])
-    exits = _exits_udf(gap_ms)(F.transform("ev", lambda e: e["ms"]), F.col("block"))
-    runs = linked.select(*k, "run", F.struct("block", exits.alias("exits")).alias("row"))
-    runs = runs.groupBy(*k, "run").agg(F.sort_array(F.collect_list("row")).alias("rows"))
-    walked = runs.select(*k, F.explode(_walk_udf(gap_ms)("rows")).alias("e")).select(*k, "e.block", "e.entry")
-    joined = blocks.join(walked, [*k, "block"], "left")
-    return joined.select(F.explode(_fold(F.col("ev"), F.col("entry"), gap_ms)).alias(tie))
+    placed = ordering.pieces(first, k, [F.col("ms")]).drop(ROW)
+    by_piece = [*k, PIECE]
+    names = ", ".join(f"{c} string" for c in k) + f", {PIECE} long"
+    exits = placed.select(*by_piece, "ms").mapInPandas(_exits(gap_ms, by_piece), f"{names}, start long, exit long")
+    in_order = exits.repartition(*k).sortWithinPartitions(*by_piece, "start")
+    entries = in_order.mapInPandas(_walk(gap_ms, by_piece), f"{names}, entry long")
+    kept = placed.join(entries, by_piece).groupBy(*by_piece).applyInPandas(_fold(gap_ms), "tie long")
+    return kept.select(F.col("tie").alias(tie))
 
 
 def throttle_events(events: DataFrame, keys: list[str], gap_ms: int = 10_000, at: str = "at", tie: str = "event_id") -> DataFrame:

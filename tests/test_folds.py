@@ -51,18 +51,29 @@ def test_throttle_equals_fold(spark, seed, dense):
         assert got == sorted(fold(ev, gap, key)), (gap, keys)
 
 
-def test_block_exits_cover_every_entry():
+def test_piece_exits_cover_every_entry():
     rnd = np.random.default_rng(0)
     for _ in range(50):
         ms = np.unique(rnd.integers(1000, 1900, 60))
-        exits = throttle.block_exits(ms, 1000, 100)
-        for anchor in range(900, 1000):
+        exits = throttle.piece_exits(ms, 100)
+        for anchor in range(int(ms[0]) - 100, int(ms[0])):
             need, last = anchor + 100, None
             for t in ms:
                 if t >= (need if last is None else last + 100):
                     last = int(t)
             found = next((e for s, e in exits if s >= need), None)
             assert found == last
+            kept = throttle.kept_in_piece(ms, anchor, 100)
+            assert (ms[kept[-1]] if len(kept) else None) == last
+
+
+def test_one_key_holds_all_rows_without_a_pause(spark):
+    """Gaps shorter and longer than a piece; every piece is entered through a kept event of an earlier one."""
+    ev = [(i, T0 + timedelta(milliseconds=i * 3 + i % 2), "hot") for i in range(12_000)]
+    df = spark.createDataFrame(ev, "event_id bigint, at timestamp, kind string").repartition(7)
+    for gap in (10, 997, 20_000):
+        got = sorted(r.event_id for r in throttle.throttle_events(df, ["kind"], gap).select("event_id").collect())
+        assert got == sorted(fold(ev, gap, lambda e: 0))
 
 
 def test_collapse_repeated_errors(spark):
