@@ -103,4 +103,43 @@ SQL = {
         good AS (SELECT doc_id, template, start, max(share) AS share FROM shares WHERE share >= {licenses.CONTAINMENT} GROUP BY ALL)
         SELECT doc_id, template, max(share) AS containment, min(start) FILTER (WHERE share = best)::BIGINT AS first_word, count(*) AS windows
         FROM (SELECT *, max(share) OVER (PARTITION BY doc_id, template) AS best FROM good) GROUP BY doc_id, template""",
+    "op1_near_dedup": r"""
+        WITH RECURSIVE split AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+            FROM documents),
+        sets AS (
+            SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' '))) END AS shingles
+            FROM split),
+        each AS (SELECT doc_id, unnest(shingles) AS shingle FROM sets),
+        common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM each a JOIN each b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        links AS (
+            SELECT a, b FROM common JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b
+            WHERE 100 * n >= 85 * (len(x.shingles) + len(y.shingles) - n)),
+        ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reached(doc_id, other) AS (
+            SELECT doc_id, doc_id FROM sets UNION SELECT reached.doc_id, ways.b FROM reached JOIN ways ON reached.other = ways.a)
+        SELECT doc_id, len(any_value(shingles)) AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept
+        FROM reached JOIN sets USING (doc_id) GROUP BY doc_id""",
+    "op10_sharding": """
+        WITH RECURSIVE rows AS (
+            SELECT doc_id, coalesce(text, '') AS text, (doc_id::HUGEINT + 18446744073709551616) % 18446744073709551616 AS key FROM documents),
+        jumps(doc_id, n, key, b, j) AS (
+            SELECT doc_id, n, key, -1::BIGINT, 0::BIGINT FROM rows, (VALUES (16), (17)) counts(n)
+            UNION ALL
+            SELECT doc_id, n, next, j, floor((j + 1) * (2147483648.0::DOUBLE / ((next // 8589934592)::DOUBLE + 1)))::BIGINT
+            FROM (SELECT *, (key * 2862933555777941757 + 1) % 18446744073709551616 AS next FROM jumps WHERE j < n)),
+        placed AS (SELECT doc_id, max(b) FILTER (WHERE n = 16 AND j >= n)::INT AS shard, max(b) FILTER (WHERE n = 17 AND j >= n)::INT AS grown_shard FROM jumps GROUP BY doc_id),
+        crc_table AS (
+            SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n::BIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) AS t),
+        bytes AS (
+            SELECT doc_id, strlen(text) + 1 AS size, list_transform(range(0, strlen(text)), lambda i: ('0x' || substr(hex(text), 2 * i + 1, 2))::BIGINT) AS b FROM rows),
+        sums AS (
+            SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295::BIGINT)::BIGINT AS text_crc32
+            FROM bytes, crc_table)
+        SELECT doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
+               row_number() OVER (PARTITION BY shard ORDER BY ((key * 2862933555777941757 + 1) % 18446744073709551616) // 1048576 % 4096, doc_id) - 1 AS slot
+        FROM rows JOIN placed USING (doc_id) JOIN sums USING (doc_id)""",
 }

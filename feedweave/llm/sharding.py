@@ -19,23 +19,39 @@ MULTIPLIER = 2862933555777941757
 SLOT_BINS = 4096  # bins of a shard; their counts (shards x bins rows at most) are broadcast
 
 
+WIDE = "decimal(38,0)"  # a product of two 64-bit numbers, which is to wrap at 2**64 and not fail
+
+
+def _number(n: int) -> Column:
+    return F.expr(f"cast({n}BD as {WIDE})")
+
+
+def _advance(k: Column) -> Column:
+    """The next number of a key's sequence."""
+    return ((k * _number(MULTIPLIER) + _number(1)) % _number(1 << 64)).cast(WIDE)
+
+
+def _first_draw(key: Column) -> Column:
+    start = F.coalesce(key.cast("long"), F.lit(0)).cast(WIDE)
+    return _advance(F.when(start < 0, start + _number(1 << 64)).otherwise(start).cast(WIDE))
+
+
+def _bin(key: Column, bins: int) -> Column:
+    """A bin of a key, by bits of its first draw that no jump looks at."""
+    return F.pmod(F.call_function("div", _first_draw(key), _number(1 << 20)), F.lit(bins))
+
+
 def jump_shard(key: Column, shards: int) -> Column:
     """The shard of a 64-bit key, 0 to shards - 1; a null key is taken as 0.
 
-    The state is a decimal of 38 digits, since a product of two 64-bit numbers is to wrap at 2**64 and not
-    fail. The shard rises with every jump, so `shards` steps always do.
+    The shard rises with every jump, so `shards` steps always do.
     """
-    wide = "decimal(38,0)"
-    number = lambda n: F.expr(f"cast({n}BD as {wide})")
-    advance = lambda k: ((k * number(MULTIPLIER) + number(1)) % number(1 << 64)).cast(wide)
-    start = F.coalesce(key.cast("long"), F.lit(0)).cast(wide)
-    first = F.when(start < 0, start + number(1 << 64)).otherwise(start).cast(wide)
-    state = F.struct(advance(first).alias("k"), F.lit(0).cast("long").alias("shard"))
+    state = F.struct(_first_draw(key).alias("k"), F.lit(0).cast("long").alias("shard"))
 
     def step(s: Column, _: Column) -> Column:
-        draw = F.call_function("div", s["k"], number(1 << 33)).cast("double")
+        draw = F.call_function("div", s["k"], _number(1 << 33)).cast("double")
         goal = F.floor((s["shard"] + 1) * (F.lit(float(1 << 31)) / (draw + 1))).cast("long")
-        return F.when(goal < shards, F.struct(advance(s["k"]).alias("k"), goal.alias("shard"))).otherwise(s)
+        return F.when(goal < shards, F.struct(_advance(s["k"]).alias("k"), goal.alias("shard"))).otherwise(s)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), state, step, lambda s: s["shard"].cast("int"))
 
@@ -45,10 +61,10 @@ def shard_documents(docs: DataFrame, shards: int, bins: int = SLOT_BINS) -> Data
 
     Law `key`: doc_id and the number of shards alone decide; grown_shard is the shard with one more. A null
     doc_id goes as key 0. size is the UTF-8 length of the text (null: 0) plus 1. Slots run from 0 without a
-    gap; rows that repeat a doc_id go to one shard and have a slot each. Other columns are not looked at.
+    gap, in the order of (bin, doc_id); rows that repeat a doc_id go to one shard and have a slot each. Other columns are not looked at.
     """
     text = plain_text("text").cast("binary")
-    bin_of = F.pmod(F.xxhash64("doc_id"), F.lit(bins))
+    bin_of = _bin(F.col("doc_id"), bins)
     keyed = docs.select("doc_id", jump_shard(F.col("doc_id"), shards).alias("shard"), bin_of.alias("bin"))
     counts = keyed.groupBy("shard", "bin").agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("shard").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
