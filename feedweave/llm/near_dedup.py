@@ -34,6 +34,7 @@ from feedweave.llm.words import shingle_set, text_slices, word_hashes
 SHINGLE_WORDS = 5
 ROWS = 3
 MISS = 1e-4
+CENTRE_PAIRS = 256
 _RANDOM = np.random.default_rng(7)
 _XOR = _RANDOM.integers(0, 2**32, 4096, dtype=np.uint32)
 _TIMES = _RANDOM.integers(0, 2**32, 4096, dtype=np.uint32) | np.uint32(1)
@@ -124,7 +125,9 @@ def _shared_buckets(nodes: DataFrame, bands: int) -> DataFrame:
     """
     firsts, seconds = f"sequence(0, {bands - 1})", f"sequence({bands}, {2 * bands - 1})"
     pairs = f"flatten(transform({firsts}, i -> transform({seconds}, j -> xxhash64(i, j, keys[i], keys[j]))))"
-    rows = nodes.select(F.explode(F.expr(pairs)).alias("key"), "node")
+    # Each node becomes bands * bands rows: they are dealt to as many tasks as a shuffle has, not to the few that the nodes fill.
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = nodes.repartition(tasks, "node").select(F.explode(F.expr(pairs)).alias("key"), "node")
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     return rows.join(shared, "key").select("key", "node", "size")
 
@@ -134,7 +137,7 @@ def _centre_pairs(buckets: DataFrame) -> DataFrame:
     weight = buckets.groupBy("node").agg(F.sum("size").alias("weight"))
     centres = buckets.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", -F.col("node"))).alias("c"))
     pairs = buckets.join(centres.select("key", (-F.col("c.col2")).alias("a")), "key").filter("a != node")
-    return pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+    return pairs.select("a", F.col("node").alias("b")).distinct()
 
 
 def _sets_of(docs: DataFrame, near: DataFrame, shingle_words: int) -> DataFrame:
@@ -153,18 +156,26 @@ def _sets_of(docs: DataFrame, near: DataFrame, shingle_words: int) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; sizes alone rule many out before a set is moved."""
-    sized = sets.select("node", "n").distinct()
+    """The distinct pairs (a, b) whose full sets are similar enough; sizes alone rule many out before a set is moved.
+
+    `a` may be the centre of any number of pairs: its set is copied once for every CENTRE_PAIRS of them, and
+    the pairs are dealt to the copies.
+    """
+    sized = sets.select("node", "n")
     p, q = threshold.numerator, threshold.denominator
     possible = (
         pairs.join(sized.select(F.col("node").alias("a"), F.col("n").alias("na")), "a")
         .join(sized.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-        .filter(q * F.least("na", "nb") >= p * F.greatest("na", "nb")).select("a", "b").distinct()
+        .filter(q * F.least("na", "nb") >= p * F.greatest("na", "nb")).select("a", "b")
     )
-    side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"set_{name}"))
+    possible = stored(possible, "near-pairs")
+    copies = possible.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CENTRE_PAIRS).alias("copies"))
+    dealt = possible.join(copies, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("copies")).alias("copy"))
+    centres = sets.join(copies, F.col("node") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), F.col("shingles").alias("set_a"))
     both = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - both
-    return possible.join(side("b"), "b").join(side("a"), "a").filter(q * both >= p * union).select("a", "b").distinct()
+    others = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
+    return dealt.join(others, "b").join(centres, ["a", "copy"]).filter(q * both >= p * union).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
