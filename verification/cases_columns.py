@@ -244,6 +244,14 @@ def _(spark, sf):
     return _pages(spark, sf).select("page_id", privacy.redact_text(msg, 60).alias("message"))
 
 
+@case("redact_stack", with_ctes(URL_PARTS, body=r"""
+SELECT page_id, CASE WHEN length(t) <= 90 THEN t ELSE substring(t, 1, 89) || '…' END AS stack
+FROM (SELECT page_id, 'Error: x' || chr(10) || '  at f (' || scheme || '://' || host || path || ')' || chr(10) || '  at g' AS t FROM url_fx)"""))
+def _(spark, sf):
+    stack = F.concat(F.lit(" Error: x\n  at f ("), "url", F.lit(")\n  at g\n"))
+    return _pages(spark, sf).select("page_id", privacy.redact_stack(stack, 90).alias("stack"))
+
+
 @case("error_key", with_ctes(URL_PARTS, body=r"""
 SELECT page_id, 'error:load ' || scheme || '://' || host || path || ':at f ' || page_id AS key FROM url_fx"""))
 def _(spark, sf):

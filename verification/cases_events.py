@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from feedweave.functions import text
@@ -36,9 +37,9 @@ w_{name} AS (SELECT key, min(ms) AS ms FROM f_{name} GROUP BY key UNION ALL SELE
 {name} AS (SELECT f.event_id, f.key FROM w_{name} w JOIN f_{name} f ON f.key = w.key AND f.ms = w.ms)"""
 
 
-@case("throttle_events", with_ctes(TELEMETRY, chain("concat_ws('|', type, path, coalesce(lang, ''), device)"), body="SELECT event_id FROM kept_fx"))
+@case("throttle_events", with_ctes(TELEMETRY, chain("concat_ws('|', type, path, coalesce(lang, ''), device, coalesce(data, ''))"), body="SELECT event_id FROM kept_fx"))
 def _(spark, sf):
-    return throttle.throttle_events(a.telemetry(spark, sf), ["type", "path", "lang", "device"], HOUR).select("event_id")
+    return throttle.throttle_events(a.telemetry(spark, sf), ["type", "path", "lang", "device", "data"], HOUR).select("event_id")
 
 
 @case("rate_limit", with_ctes(TELEMETRY, chain("1", "type = 'error'", 2 * HOUR), body="SELECT event_id FROM kept_fx"))
@@ -301,13 +302,30 @@ BASE = "https://feeds.example.com"
 XML = lambda c: f"replace(replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
 
 
-@case("rss_items", with_ctes(POSTS, body=f"""
-SELECT id, '<item>' || chr(10) || '<title>' || {XML("coalesce(title_ja, title)")} || '</title>' || chr(10) || '<link>{BASE}/ja/p/' || id || '/</link>' || chr(10) || '<guid isPermaLink="true">{BASE}/ja/p/' || id || '/</guid>' || chr(10)
+RSS = f"""
+rss_fx AS (SELECT id, '<item>' || chr(10) || '<title>' || {XML("coalesce(title_ja, title)")} || '</title>' || chr(10) || '<link>{BASE}/ja/p/' || id || '/</link>' || chr(10) || '<guid isPermaLink="true">{BASE}/ja/p/' || id || '/</guid>' || chr(10)
  || '<pubDate>' || strftime(published_at, '%a, %d %b %Y %H:%M:%S GMT') || '</pubDate>' || chr(10)
- || '<description><![CDATA[' || CASE WHEN trim(coalesce(preview, summary, '')) <> '' THEN trim(coalesce(preview, summary)) ELSE source_name || ' · ' || strftime(published_at, '%Y/%-m/%-d %H:%M:%S') END || chr(10) || chr(10) || '元記事：' || url || ']]></description>' || chr(10) || '</item>' AS xml
-FROM posts_fx ORDER BY published_at DESC, arrival LIMIT 120"""))
+ || '<description><![CDATA[' || CASE WHEN trim(coalesce(preview, summary, '')) <> '' THEN trim(coalesce(preview, summary)) ELSE source_name || ' · ' || strftime(published_at, '%Y/%-m/%-d %H:%M:%S') END || chr(10) || chr(10) || '元記事：' || url || ']]></description>' || chr(10) || '</item>' AS xml, row_number() OVER (ORDER BY published_at DESC, arrival) AS place
+FROM posts_fx QUALIFY place <= 120)"""
+
+
+def rss_items(spark, sf):
+    return publish.rss_items(a.posts(spark, sf), "ja", BASE)
+
+
+@case("rss_items", with_ctes(POSTS, RSS, body="""
+SELECT id, xml, place FROM rss_fx"""))
+def _(spark, sf):
+    place = F.row_number().over(Window.orderBy(F.col("published_ms").desc(), "arrival"))  # 120 rows
+    return rss_items(spark, sf).select("id", "xml", place.alias("place"))
+
+
+@case("rss_document", with_ctes(POSTS, RSS, body=f"""
+SELECT concat_ws(chr(10), '<?xml version="1.0" encoding="UTF-8"?>', '<rss version="2.0" xmlns:atom="http://www.w3.org/2005/Atom">', '<channel>', '<title>A &amp; B</title>',
+  '<link>{BASE}/</link>', '<atom:link href="{BASE}/feed.xml" rel="self" type="application/rss+xml" />', '<description>d</description>', '<language>ja</language>', '<ttl>30</ttl>',
+  string_agg(xml, chr(10) ORDER BY place), '</channel>' || chr(10) || '</rss>') AS value FROM rss_fx"""))
 def _(spark, sf):
-    return publish.rss_items(a.posts(spark, sf), "ja", BASE).select("id", "xml")
+    return publish.rss_document(rss_items(spark, sf), "A & B", f"{BASE}/", f"{BASE}/feed.xml", "d", "ja", 30)
 
 
 @case("json_feed_items", with_ctes(POSTS, body=f"""

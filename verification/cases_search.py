@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from feedweave.functions.dates import HOUR_MS
@@ -80,9 +81,11 @@ def _(spark, sf):
     return found(spark, sf).select("id", "is_read")
 
 
-@case("search_limit", with_ctes(POSTS, INDEX, body="SELECT id FROM index_fx WHERE contains(hay, 'a') ORDER BY published_ms DESC, id LIMIT 300"))
+@case("search_limit", with_ctes(POSTS, INDEX, body="""
+SELECT id, row_number() OVER (ORDER BY published_ms DESC, id) AS place FROM index_fx WHERE contains(hay, 'a') QUALIFY place <= 300"""))
 def _(spark, sf):
-    return s.search_limit(s.search(index(spark, sf), s.SearchSpec(text=("a",))), 300).select("id")
+    top = s.search_limit(s.search(index(spark, sf), s.SearchSpec(text=("a",))), 300)
+    return top.select("id", F.row_number().over(Window.orderBy(F.col("published_ms").desc(), "id")).alias("place"))  # 300 rows
 
 
 @case("search_totals", with_ctes(POSTS, INDEX, READS, body="""

@@ -40,7 +40,7 @@ def telemetry_stream(spark, sf):
 @case("throttle_stream", EVENT_SQL["throttle_events"])
 def _(spark, sf):
     folder = scratch(spark, "throttle")
-    jobs.throttle_stream(telemetry_stream(spark, sf), ["type", "path", "lang", "device"], folder, HOUR)
+    jobs.throttle_stream(telemetry_stream(spark, sf), ["type", "path", "lang", "device", "data"], folder, HOUR)
     return read_output(spark, folder, "kept").select("event_id")
 
 
