@@ -112,11 +112,18 @@ TRACKING_IMAGES = (
     "adservice.google.com", "adsystem.com",
 )
 # Video hosts whose links are content.
-VIDEO_HOSTS = ("youtube.com", "youtu.be", "vimeo.com", "nicovideo.jp", "nico.ms", "bilibili.com", "b23.tv", "twitch.tv")
-VIDEO_LABELS = {
-    "youtube.com": "YouTube", "youtu.be": "YouTube", "vimeo.com": "Vimeo", "nicovideo.jp": "Niconico",
-    "nico.ms": "Niconico", "bilibili.com": "Bilibili", "b23.tv": "Bilibili", "twitch.tv": "Twitch",
-}
+# Host, label, where the address has the video's name, and its watch page.
+VIDEO_SITES = (
+    ("youtube.com", "YouTube", r"(?:/embed/|[?&]v=)([^/?&#]+)", "https://www.youtube.com/watch?v={}"),
+    ("youtu.be", "YouTube", r"youtu\.be/([^/?&#]+)", "https://www.youtube.com/watch?v={}"),
+    ("vimeo.com", "Vimeo", r"//player\.vimeo\.com/video/([^/?&#]+)", "https://vimeo.com/{}"),
+    ("nicovideo.jp", "Niconico", "", ""),
+    ("nico.ms", "Niconico", "", ""),
+    ("bilibili.com", "Bilibili", "", ""),
+    ("b23.tv", "Bilibili", "", ""),
+    ("twitch.tv", "Twitch", "", ""),
+)
+VIDEO_HOSTS = tuple(site[0] for site in VIDEO_SITES)
 
 
 def rule_for(host: str, rules: dict = SITE_RULES) -> SiteRule:
