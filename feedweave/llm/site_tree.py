@@ -29,6 +29,7 @@ from feedweave.llm.common import plain_text, stored
 THRESHOLD = 0.75
 MIN_PAGES = 50
 MAX_DEPTH = 12  # deeper elements count as their ancestor of this depth
+SPREAD = 64
 WEIGHT = 0.9  # how much a child's importance counts against its parent's own
 
 TOKEN = re.compile(
@@ -174,23 +175,25 @@ def style_trees(pages: DataFrame) -> DataFrame:
     together = by_host.groupBy("path", "inner", "shown").agg(F.sum("times").alias("times"), F.sum("spread").alias("spread"))
     sizes = source.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     everything = sizes.agg(F.sum("pages").alias("pages")).select(F.lit(None).cast("string").alias("host"), "pages")
-    trees = _importance(by_host.join(sizes, "host")).unionByName(
-        _importance(together.join(F.broadcast(everything)))  # one row
-    )
-    return trees
+    everything = _nodes(together.withColumn("host", F.lit(None).cast("string"))).join(F.broadcast(everything.drop("host")))  # one row
+    return _importance(_nodes(by_host).join(sizes, "host")).unionByName(_importance(everything))
 
 
-def _importance(seen: DataFrame) -> DataFrame:
-    """Entropies of every node; `times` of a feature in all, `spread` the sum of n * ln(n) over its pages."""
-    base = F.log(F.greatest(F.col("pages"), F.lit(2)).cast("double"))
-    entropy = (F.log("times") - F.col("spread") / F.col("times")) / base
+def _nodes(seen: DataFrame) -> DataFrame:
+    """(host, path, content, presentation): entropies in nats; `times` of a feature in all, `spread` the sum of n * ln(n)
+    over its pages. Sums are taken before the shuffle, so a host with any number of texts is no hot spot."""
     inner = F.when(F.col("inner"), F.col("times"))
-    nodes = seen.groupBy("host", "path", "pages").agg(
-        (1 - F.avg(F.when(~F.col("inner"), entropy))).alias("content"),
-        ((F.log(F.sum(inner)) - F.sum(inner * F.log("times")) / F.sum(inner)) / F.first(base)).alias("presentation"),
+    return seen.groupBy("host", "path").agg(
+        F.avg(F.when(~F.col("inner"), F.log("times") - F.col("spread") / F.col("times"))).alias("content"),
+        (F.log(F.sum(inner)) - F.sum(inner * F.log("times")) / F.sum(inner)).alias("presentation"),
     )
+
+
+def _importance(nodes: DataFrame) -> DataFrame:
+    """Entropies to the base of the number of pages."""
+    base = F.log(F.greatest(F.col("pages"), F.lit(2)).cast("double"))
     own = F.coalesce("content", F.lit(0.0))
-    return nodes.select(
+    return nodes.withColumn("content", 1 - F.col("content") / base).withColumn("presentation", F.col("presentation") / base).select(
         "host", "path", "pages", "content", "presentation",
         F.when(F.col("presentation").isNull(), own).otherwise(WEIGHT * own + (1 - WEIGHT) * F.col("presentation")).alias("importance"),
     )
@@ -233,5 +236,8 @@ def extract_text(pages: DataFrame, threshold: float = THRESHOLD, min_pages: int
             )
 
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", plain_text("html").alias("html"), host_of(F.col("url")).alias("host"))
-    joined = source.join(noise_paths(pages, threshold, min_pages), "host", "left").select("page_id", "url", "html", "noise")
+    # A host may have any number of pages: they are dealt over SPREAD copies of its noise paths.
+    source = source.withColumn("copy", F.pmod(F.xxhash64("page_id", "html"), F.lit(SPREAD)).cast("int"))
+    noise = noise_paths(pages, threshold, min_pages).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    joined = source.join(noise, ["host", "copy"], "left").select("page_id", "url", "html", "noise")
     return joined.mapInArrow(clean, "page_id long, url string, text string, n_chars long")
