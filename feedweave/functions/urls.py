@@ -135,7 +135,7 @@ def _resolve(raw: pd.Series, first: pd.Series, second: pd.Series) -> pd.Series:
 
 
 def absolute_url(c: Column, first_base: Column, second_base: Column | None = None) -> Column:
-    """Already absolute URLs stay in the JVM; only relative ones reach the Arrow function."""
+    """Joined in Arrow batches: the address itself if absolute, else against the first base that gives one."""
     second = F.lit(None).cast("string") if second_base is None else second_base
     return _resolve(c, first_base, second)
 

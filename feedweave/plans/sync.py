@@ -54,6 +54,8 @@ class SyncResult:
     posts: DataFrame
     runs: DataFrame
     history: DataFrame
+    search_rows: DataFrame  # the search index of the snapshot
+    search_posts: DataFrame  # its slim display copy
 
 
 def published_order(posts: DataFrame) -> DataFrame:
@@ -66,7 +68,7 @@ def sync(
     bodies: DataFrame, fetched: DataFrame, sources: DataFrame, previous: DataFrame, previous_runs: DataFrame,
     history: DataFrame | None, now: Column, settings: Settings = Settings(), rules: dict = feeds.LISTING_RULES,
 ) -> SyncResult:
-    """The next snapshot, status rows and history.
+    """All that a run publishes: the next snapshot, status rows, history and both search tables.
 
     bodies: source_id, body_no, body; fetched: source_id, http_status, fetch_ok,
     parse_error, duration_ms; previous: published posts (arrival as in POST_COLUMNS).
@@ -90,7 +92,7 @@ def sync(
     new = merge.count_new_items(built, known).withColumnRenamed("new_items", "_new")
     runs = decisions.join(per_source, "source_id", "left").join(new, "source_id", "left")
     runs = runs.join(fetched.select("source_id", "duration_ms"), "source_id", "left").select(
-        now.alias("run_ts"), "source_id", "http_status", "duration_ms", "used", "ok", "error",
+        now.alias("run_ts"), "source_id", "http_status", "duration_ms", "used", "ok", "error", "raw_items", "prev_items",
         F.coalesce("item_count", F.lit(0)).alias("item_count"),
         F.when(F.col("used") == "fetched", F.coalesce("_new", F.lit(0))).otherwise(F.lit(0)).alias("new_item_count"),
     )
@@ -98,7 +100,7 @@ def sync(
     entry = health.summarize_run(runs, settings.stale_hours).withColumnRenamed("run_ts", "generated_at")
     entry = entry.withColumn("arrival", F.unix_millis("generated_at"))
     merged_history = entry if history is None else merge.merge_history(history, entry, settings.history_max)
-    return SyncResult(posts, runs, merged_history)
+    return SyncResult(posts, runs, merged_history, search_index.build_search_index(posts), search_index.slim_search_posts(posts))
 
 
 def enrich_from_pages(posts: DataFrame, fetch_state: DataFrame, fetched_pages: DataFrame, now: Column, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:

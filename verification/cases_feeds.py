@@ -13,6 +13,7 @@ from feedweave.sources import feeds
 from verification import adapters as a
 from verification.adapters import BEFORE, NOW, POSTS, RUNS, SOURCES, with_ctes
 from verification.cases_columns import RULES_SQL
+from verification.cases_search import NORM
 
 QUERIES, SQL = {}, {}
 
@@ -162,14 +163,24 @@ def _(spark, sf):
     return run(spark, sf).posts.select("id", "title", "summary", "source_id", "category", F.date_format("published_at", "yyyy-MM-dd HH:mm").alias("at"))
 
 
+# The search tables of the published snapshot.
+@case("sync_search", with_ctes(*RUN_CTES, body=f"""
+SELECT id, {NORM.format("concat_ws(' ', title, coalesce(summary, ''), array_to_string(tags, ' '), source_name, source_id, category)")} AS hay, epoch_ms(published_at) AS published_ms, title, summary AS shown
+FROM next_fx"""))
+def _(spark, sf):
+    result = run(spark, sf)
+    slim = result.search_posts.select("id", "title", F.col("summary").alias("shown"))
+    return result.search_rows.select("id", "hay", "published_ms").join(slim, "id")
+
+
 @case("sync_runs", with_ctes(RUNS, *RUN_CTES, body="""
-SELECT source_id, used, used <> 'fallback' AS ok, CASE WHEN used <> 'fallback' THEN 0 ELSE coalesce(p.consecutive_fails, 0) + 1 END AS consecutive_fails,
+SELECT source_id, raw_items, prev_items, used, used <> 'fallback' AS ok, CASE WHEN used <> 'fallback' THEN 0 ELSE coalesce(p.consecutive_fails, 0) + 1 END AS consecutive_fails,
   CASE WHEN used = 'fetched' THEN (SELECT count(*) FROM now_fx n WHERE n.source_id = d.source_id) ELSE prev_items END AS item_count,
   CASE WHEN used = 'fetched' THEN (SELECT count(*) FROM now_fx n WHERE n.source_id = d.source_id AND n.id NOT IN (SELECT id FROM old_fx)) ELSE 0 END AS new_item_count,
   (SELECT count(*) FROM next_fx x WHERE x.source_id = d.source_id) AS visible_items
 FROM dec_fx d LEFT JOIN (SELECT source_id, consecutive_fails FROM streaks_fx WHERE run_ts = TIMESTAMP '2024-01-30') p USING (source_id)"""))
 def _(spark, sf):
-    return run(spark, sf).runs.select("source_id", "used", "ok", "consecutive_fails", "item_count", "new_item_count", "visible_items")
+    return run(spark, sf).runs.select("source_id", "raw_items", "prev_items", "used", "ok", "consecutive_fails", "item_count", "new_item_count", "visible_items")
 
 
 # Pages of the posts: each document also has a page with a cover and a description.
