@@ -104,7 +104,10 @@ def test_sanitize_payload(spark):
         "url": "https://example.com/a?token=secret#x", "href": "/zh/?q=1#x", "token": "secret", "long": "y" * 400, "none": None,
         "nested": {"ok": True, "secret": "x", "arr": ["https://e.com/x?y=1#z", 2]}, "a": {"b": {"c": {"d": {"e": 1}}}}, "many": list(range(60)),
     }
-    out = json.loads(one(spark, privacy.sanitize_payload(F.lit(json.dumps(raw)))))
+    whole = json.loads(one(spark, privacy.sanitize_payload(F.lit(json.dumps(raw)))))
+    assert whole["a"] == raw["a"] and whole["many"] == raw["many"] and whole["long"] == raw["long"] and whole["token"] == "[redacted]"
+    limits = privacy.PayloadLimits(depth=4, keys=48, items=48, text=360)
+    out = json.loads(one(spark, privacy.sanitize_payload(F.lit(json.dumps(raw)), limits)))
     assert out["url"] == "https://example.com/a" and out["href"] == "/zh/" and out["token"] == "[redacted]"
     assert out["nested"] == {"ok": True, "secret": "[redacted]", "arr": ["https://e.com/x", 2]}
     assert out["a"]["b"]["c"]["d"] == "[max_depth]" and len(out["many"]) == 48 and len(out["long"]) == 360 and out["none"] is None
