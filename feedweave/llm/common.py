@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,24 +35,6 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """One Arrow batch in, one out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield f(batch)
-
-    return df.mapInArrow(run, schema)
-
-
-def fresh_name(df: DataFrame, wanted: str) -> str:
-    """A column name that the table does not have."""
-    taken = {c.lower() for c in df.columns}
-    while wanted.lower() in taken:
-        wanted += "_"
-    return wanted
-
-
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows whose doc_id is not among `ids` (one column doc_id); rows without doc_id stay."""
     return docs.join(ids.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
