@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -209,20 +209,25 @@ def _pieces(c: Column | str, sizes: tuple[int, ...]) -> Column:
 def match_words(index: DataFrame, words: DataFrame) -> DataFrame:
     """Postings (word, id): which distinct words occur in which haystacks, whoever asked for them.
 
-    A word is sought by its rarest trigram, or as it is if shorter. Only (piece, id) is joined; the texts
-    meet the candidates once per item, where each is checked exactly.
+    A word without blanks occurs in a haystack if it occurs in one of its tokens. So the distinct tokens of all
+    haystacks are searched, by the rarest trigram of the word (or the word itself if shorter), and lead to the ids.
+    A phrase is sought by its longest part, and its candidates are checked on the text.
     """
     norm = words.select(normalize_text(F.col("word")).alias("word")).filter(F.col("word") != "").distinct()
-    of_word = F.when(F.length("word") >= 3, _pieces("word", (3,))).otherwise(F.array("word"))
-    pieces = norm.select("word", F.explode(of_word).alias("piece"))
-    seen = index.filter(F.col("hay") != "").select("id", F.explode(_pieces("hay", (1, 2, 3))).alias("piece"))
+    longest = F.array_max(F.transform(F.split("word", " "), lambda p: F.struct(F.length(p).alias("n"), p.alias("part"))))["part"]
+    norm = norm.select("word", longest.alias("part"))
+    tokens = index.filter(F.col("hay") != "").select("id", F.explode(F.array_distinct(F.split("hay", " "))).alias("token"))
+    of_part = F.when(F.length("part") >= 3, _pieces("part", (3,))).otherwise(F.array("part"))
+    pieces = norm.select("part").distinct().select("part", F.explode(of_part).alias("piece"))
+    seen = tokens.select("token").distinct().select("token", F.explode(_pieces("token", (1, 2, 3))).alias("piece"))
     held = seen.join(pieces.select("piece").distinct(), "piece", "left_semi")
-    counts = held.groupBy("piece").agg(F.count(F.lit(1)).alias("items"))
-    # A piece that no text holds leaves no count, and its words no posting.
-    rarest = pieces.join(counts, "piece").groupBy("word").agg(F.min(F.struct("items", "piece")).alias("best"), F.count(F.lit(1)).alias("found"))
-    anchors = rarest.filter(F.col("found") == F.when(F.length("word") >= 3, F.size(of_word)).otherwise(1)).select("word", "best.piece")
-    candidates = held.join(anchors, "piece").select("word", "id")
-    return index.select("id", "hay").join(candidates, "id").filter(F.col("hay").contains(F.col("word"))).select("word", "id")
+    counts = held.groupBy("piece").agg(F.count(F.lit(1)).alias("tokens"))
+    # Of pieces that no token holds there is no count; their words end without a hit when the token is checked.
+    anchors = pieces.join(counts, "piece").groupBy("part").agg(F.min(F.struct("tokens", "piece"))["piece"].alias("piece"))
+    hits = held.join(anchors, "piece").filter(F.col("token").contains(F.col("part"))).select("part", "token")
+    found = norm.join(tokens.join(hits, "token").select("part", "id").distinct(), "part")
+    phrases = index.select("id", "hay").join(found.filter("word <> part"), "id").filter(F.col("hay").contains(F.col("word")))
+    return found.filter("word = part").select("word", "id").unionByName(phrases.select("word", "id"))
 
 
 TOKEN = rf"\"[^\"]+\"|'[^']+'|[^{WS[1:-1]}]+"
