@@ -28,7 +28,7 @@ from feedweave.llm.common import plain_text, stored
 
 THRESHOLD = 0.75
 MIN_PAGES = 50
-MAX_DEPTH = 12  # deeper elements count as their ancestor of this depth
+LONG_PATH = 256  # a longer path is written as its hash, so a path of any depth has bounded size
 SPREAD = 64
 WEIGHT = 0.9  # how much a child's importance counts against its parent's own
 
@@ -109,7 +109,7 @@ class Page:
         siblings.append(label)
         noise = noise or tag in NOISE_TAGS or (tag == "header" and not {"article", "main"} & {s[0] for s in self.stack})
         noise = noise or any(part in NOISE_WORDS for w in names for part in re.split(r"[-_:]+", w))
-        self.stack.append((tag, path if tag in PARTS or len(self.stack) > MAX_DEPTH else f"{path}/{label}", noise, []))
+        self.stack.append((tag, path if tag in PARTS else _below(path, label), noise, []))
 
     def _close(self, tag: str) -> None:
         if tag not in BLOCK_TAGS:
@@ -199,6 +199,13 @@ def _importance(nodes: DataFrame) -> DataFrame:
     )
 
 
+def _below(path: str, label: str) -> str:
+    """The path of a child; the hash of a long path stands for all of it."""
+    import xxhash
+
+    return f"{path if len(path) <= LONG_PATH else '#' + xxhash.xxh3_128_hexdigest(path)}/{label}"
+
+
 def _hash(text: str) -> int:
     """A hash of 63 bits that is the same in every process."""
     import xxhash

@@ -69,6 +69,15 @@ def test_awkward_rows(spark):
     assert st.extract_text(table(spark, [])).count() == 0
 
 
+def test_nesting_of_any_depth(spark):
+    """Unnamed boxes beside an article are told from it however deep both are."""
+    page = lambda k, d: "<body>" + "<div>" * d + f"<div class=x1>Same for all</div><section><p>story {k}</p></section>" + "</div>" * d
+    rows = [(100 * d + k, f"http://deep{d}.example/{k}", page(k, d)) for d in (1, 11, 40, 400) for k in range(60)]
+    assert texts(spark, rows) == {i: f"story {i % 100}" for i, _, _ in rows}
+    paths = [p for p, _ in st.Page("<div class=abc>" * 2000 + "x<p>y" + "<div>z").blocks]
+    assert paths[0] == paths[1] != paths[2] and max(map(len, paths)) < 600
+
+
 def test_whole_table_of_pages(spark):
     """The text between the article tags, by plain replacement."""
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
