@@ -4,7 +4,7 @@ The trees of the pages of a host are merged: elements with the same path of tags
 Text belongs to the container around it: paragraphs, headings, list items and cells stand or fall together. A
 container of text has content importance 1 - H, where H is the mean over its distinct texts of their entropy over
 the pages, to the base of the number of pages: a menu entry found on every page has importance 0, a paragraph
-found on one page has 1, and pages that are copies weigh little, as each of their texts counts once. An inner node
+found on one page has 1. Pages with the same blocks are one page, so copies do not make an article a menu. An inner node
 has presentation importance, the entropy of the sequences of children it is shown with. Text of containers
 below THRESHOLD is noise and removed from every page of the host; so a branch without other text goes as a whole.
 
@@ -30,6 +30,7 @@ THRESHOLD = 0.75
 MIN_PAGES = 50
 LONG_PATH = 256  # a longer path is written as its hash, so a path of any depth has bounded size
 SPREAD = 64
+SAME = 1e-9  # importances that differ by less are equal
 WEIGHT = 0.9  # how much a child's importance counts against its parent's own
 
 TOKEN = re.compile(
@@ -142,46 +143,40 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def style_trees(pages: DataFrame) -> DataFrame:
+def style_trees(pages: DataFrame, copies: bool = True) -> DataFrame:
     """(host, path, pages, content, presentation, importance): the merged trees, of each host and of all under a null host.
 
-    content is null for nodes without text of their own, presentation for nodes without children.
+    content is null for nodes without text of their own, presentation for nodes without children. Without `copies`,
+    pages with the same blocks count once, on a host and in the tree of all, and pages without text not at all.
     """
 
     def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: Counter[tuple] = Counter()
-            rows: dict[tuple, list[float]] = {}
-            for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            keys, seen = [], []
+            for source in batch.column(1).to_pylist():
                 page = Page(source)
                 counts = Counter((path, False, _hash(text)) for path, text in page.blocks)
                 counts.update({(path, True, _hash(children)): n for (path, children), n in page.children.items()})
-                for key, n in counts.items():
-                    total = rows.setdefault((host, *key), [0.0, 0.0])
-                    total[0] += n
-                    total[1] += n * np.log(n)
-            keys = list(zip(*rows, strict=True)) or [[]] * 4
-            values = np.array(list(rows.values()), float).reshape(-1, 2)
-            yield pa.record_batch(
-                {
-                    "host": pa.array(keys[0], pa.string()), "path": pa.array(keys[1], pa.string()), "inner": pa.array(keys[2], pa.bool_()),
-                    "shown": pa.array(keys[3], pa.int64()), "times": values[:, 0], "spread": values[:, 1],
-                }
-            )
+                keys.append(_hash("\0".join(part for block in page.blocks for part in block)) if page.blocks else None)
+                seen.append([{"path": path, "inner": inner, "shown": what, "times": float(n)} for (path, inner, what), n in counts.items()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(seen, features)], names=["host", "page", "seen"])
 
+    features = pa.list_(pa.struct([("path", pa.string()), ("inner", pa.bool_()), ("shown", pa.int64()), ("times", pa.float64())]))
     source = pages.select(host_of(F.col("url")).alias("host"), plain_text("html").alias("html"))
-    seen = source.mapInArrow(shown, "host string, path string, inner boolean, shown long, times double, spread double")
-    by_host = stored(seen.groupBy("host", "path", "inner", "shown").agg(F.sum("times").alias("times"), F.sum("spread").alias("spread")), "style-tree")
-    together = by_host.groupBy("path", "inner", "shown").agg(F.sum("times").alias("times"), F.sum("spread").alias("spread"))
-    sizes = source.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    everything = sizes.agg(F.sum("pages").alias("pages")).select(F.lit(None).cast("string").alias("host"), "pages")
-    everything = _nodes(together.withColumn("host", F.lit(None).cast("string"))).join(F.broadcast(everything.drop("host")))  # one row
-    return _importance(_nodes(by_host).join(sizes, "host")).unionByName(_importance(everything))
+    rows = source.mapInArrow(shown, "host string, page long, seen array<struct<path string, inner boolean, shown long, times double>>")
+    rows = stored(rows if copies else rows.filter("page is not null").dropDuplicates(["host", "page"]), "style-tree")
+    everything = (rows if copies else rows.dropDuplicates(["page"])).withColumn("host", F.lit(None).cast("string"))
+    count = everything.agg(F.count(F.lit(1)).alias("pages"))  # one row
+    sizes = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    return _importance(_nodes(rows).join(sizes, "host")).unionByName(_importance(_nodes(everything).join(F.broadcast(count))))
 
 
-def _nodes(seen: DataFrame) -> DataFrame:
+def _nodes(rows: DataFrame) -> DataFrame:
     """(host, path, content, presentation): entropies in nats; `times` of a feature in all, `spread` the sum of n * ln(n)
     over its pages. Sums are taken before the shuffle, so a host with any number of texts is no hot spot."""
+    seen = rows.select("host", F.inline("seen")).groupBy("host", "path", "inner", "shown").agg(
+        F.sum("times").alias("times"), F.sum(F.col("times") * F.log("times")).alias("spread")
+    )
     inner = F.when(F.col("inner"), F.col("times"))
     return seen.groupBy("host", "path").agg(
         F.avg(F.when(~F.col("inner"), F.log("times") - F.col("spread") / F.col("times"))).alias("content"),
@@ -214,9 +209,9 @@ def _hash(text: str) -> int:
 
 
 def noise_paths(pages: DataFrame, threshold: float = THRESHOLD, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, noise): for each host of `pages` the paths whose text is noise; inner nodes need no entry, as a branch goes with its leaves."""
-    trees = stored(style_trees(pages).filter("content is not null").select("host", "path", "pages", "importance"), "style-nodes")
-    low = F.sort_array(F.collect_list(F.when(F.col("importance") < threshold, F.col("path"))))  # distinct paths of one style tree
+    """(host, noise): for each host of `pages` the paths whose text is noise, with their importance; inner nodes need no entry, as a branch goes with its leaves."""
+    trees = stored(style_trees(pages, copies=False).filter("content is not null").select("host", "path", "pages", "importance"), "style-nodes")
+    low = F.sort_array(F.collect_list(F.when(F.col("importance") < threshold, F.struct("path", "importance"))))  # distinct paths of one style tree
     own = trees.filter(F.col("host").isNotNull() & (F.col("pages") >= min_pages)).groupBy("host").agg(low.alias("noise"))
     every = trees.filter("host is null").agg(low.alias("common"))
     hosts = pages.select(host_of(F.col("url")).alias("host")).distinct()
@@ -227,7 +222,8 @@ def extract_text(pages: DataFrame, threshold: float = THRESHOLD, min_pages: int
     """page_id, url, text, n_chars of every page: its blocks outside noise, in page order, joined by a line feed.
 
     A null page is empty and has no text. Pages without a host, or a null URL, share one tree. Rows that repeat
-    a page are pages of their own and weigh as such in the tree. Other columns are not looked at; an empty table gives
+    the blocks of a page have its text, but weigh as one page in the tree, and a page whose blocks are all shared alike keeps
+    them. Other columns are not looked at; an empty table gives
     an empty result.
     """
 
@@ -235,8 +231,13 @@ def extract_text(pages: DataFrame, threshold: float = THRESHOLD, min_pages: int
         for batch in batches:
             texts = []
             for source, noise in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                gone = set(noise or ())
-                texts.append("\n".join(text for path, text in Page(source).blocks if path not in gone))
+                gone = {n["path"]: n["importance"] for n in noise or ()}
+                blocks = Page(source).blocks
+                if blocks and all(path in gone for path, _ in blocks):
+                    weights = [gone[path] for path, _ in blocks]
+                    if max(weights) - min(weights) < SAME:  # all shared alike: nothing tells an article from the rest
+                        gone = {}
+                texts.append("\n".join(text for path, text in blocks if path not in gone))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],

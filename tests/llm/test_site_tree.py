@@ -69,6 +69,18 @@ def test_awkward_rows(spark):
     assert st.extract_text(table(spark, [])).count() == 0
 
 
+def test_copies_of_pages_keep_their_text(spark):
+    page = lambda k: f"<body><div class=x1>Same for all</div><section><p>story {k}</p></section></body>"
+    rows = [(k, f"http://one.example/{k}", "<body><p>all the same</body>") for k in range(60)]
+    rows += [(100 + k, f"http://ten.example/{k}", page(k % 10) + f"<!-- {k} -->") for k in range(1000)]
+    rows += [(2000 + k, f"http://mirror{k}.example/", "<body><main>mirrored</main></body>") for k in range(60)]
+    rows += [(3000 + k, "http://x.example", "<div>" * 3000 + "deep") for k in range(2)]
+    got = texts(spark, rows)
+    assert all(got[k] == "all the same" for k in range(60)) and all(got[2000 + k] == "mirrored" for k in range(60))
+    assert all(got[100 + k] == f"story {k % 10}" for k in range(1000))
+    assert got[3000] == got[3001] == "deep"
+
+
 def test_nesting_of_any_depth(spark):
     """Unnamed boxes beside an article are told from it however deep both are."""
     page = lambda k, d: "<body>" + "<div>" * d + f"<div class=x1>Same for all</div><section><p>story {k}</p></section>" + "</div>" * d
