@@ -8,8 +8,12 @@ found on one page has 1. Pages with the same blocks are one page, so copies do n
 has presentation importance, the entropy of the sequences of children it is shown with. Text of containers
 below THRESHOLD is noise and removed from every page of the host; so a branch without other text goes as a whole.
 
+Few pages make H too large: of two articles that end with the same line, a third of the texts is shared, of 50 a
+fiftieth. So on a host of n < FULL_PAGES pages a text found on one page counts FULL_PAGES / n times in the mean.
+
 Elements that are no article text by their role (NOISE_TAGS, NOISE_WORDS in class or id) go at once. A host of
-fewer than MIN_PAGES pages says little; it is judged by the tree merged over all hosts.
+MIN_PAGES distinct pages or more is judged by its own tree alone, whatever else the table holds. A host of one page
+shows nothing twice; it alone is judged by the tree merged over all hosts.
 """
 
 from __future__ import annotations
@@ -27,7 +31,8 @@ from pyspark.sql import functions as F
 from feedweave.llm.common import plain_text, stored
 
 THRESHOLD = 0.75
-MIN_PAGES = 50
+MIN_PAGES = 2  # distinct pages from which a host is judged by its own tree
+FULL_PAGES = 50  # a host of fewer pages is judged as if it had that many with as many new texts on each
 LONG_PATH = 256  # a longer path is written as its hash, so a path of any depth has bounded size
 SPREAD = 64
 SAME = 1e-9  # importances that differ by less are equal
@@ -172,22 +177,25 @@ def style_trees(pages: DataFrame, copies: bool = True) -> DataFrame:
 
 
 def _nodes(rows: DataFrame) -> DataFrame:
-    """(host, path, content, presentation): entropies in nats; `times` of a feature in all, `spread` the sum of n * ln(n)
+    """(host, path, content, texts, once, presentation): entropies in nats, distinct texts and those on one page; `times` of a feature in all, `spread` the sum of n * ln(n)
     over its pages. Sums are taken before the shuffle, so a host with any number of texts is no hot spot."""
     seen = rows.select("host", F.inline("seen")).groupBy("host", "path", "inner", "shown").agg(
         F.sum("times").alias("times"), F.sum(F.col("times") * F.log("times")).alias("spread")
     )
     inner = F.when(F.col("inner"), F.col("times"))
+    entropy = F.when(~F.col("inner"), F.log("times") - F.col("spread") / F.col("times"))
     return seen.groupBy("host", "path").agg(
-        F.avg(F.when(~F.col("inner"), F.log("times") - F.col("spread") / F.col("times"))).alias("content"),
+        F.avg(entropy).alias("content"), F.count(entropy).alias("texts"), F.count(F.when(entropy < SAME, 1)).alias("once"),
         (F.log(F.sum(inner)) - F.sum(inner * F.log("times")) / F.sum(inner)).alias("presentation"),
     )
 
 
 def _importance(nodes: DataFrame) -> DataFrame:
-    """Entropies to the base of the number of pages."""
+    """Entropies to the base of the number of pages; the importance of a host of few pages is that of one of FULL_PAGES."""
     base = F.log(F.greatest(F.col("pages"), F.lit(2)).cast("double"))
-    own = F.coalesce("content", F.lit(0.0))
+    more = F.greatest(F.lit(FULL_PAGES) / F.col("pages"), F.lit(1.0)) - 1
+    own = F.coalesce(1 - F.col("mean") / base, F.lit(0.0))
+    nodes = nodes.withColumn("mean", F.col("content") * F.col("texts") / (F.col("texts") + more * F.col("once")))
     return nodes.withColumn("content", 1 - F.col("content") / base).withColumn("presentation", F.col("presentation") / base).select(
         "host", "path", "pages", "content", "presentation",
         F.when(F.col("presentation").isNull(), own).otherwise(WEIGHT * own + (1 - WEIGHT) * F.col("presentation")).alias("importance"),

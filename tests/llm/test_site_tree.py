@@ -81,6 +81,17 @@ def test_copies_of_pages_keep_their_text(spark):
     assert got[3000] == got[3001] == "deep"
 
 
+def test_small_hosts_do_not_depend_on_others(spark):
+    """Hosts of 2 to 49 pages lose their own boxes and keep articles with a shared line, alone or among other hosts."""
+    page = lambda h, k: f"<body><div class=box{h}><p>About {h}</div><section><p>story {k} of {h}<p>The end</section></body>"
+    rows = [(100 * h + k, f"http://small{h}.example/{k}", page(h, k)) for h in (2, 3, 6, 15, 49) for k in range(h)]
+    others = [(10_000 + k, f"http://other{k // 2}.example/{k}", f"<body><div class=o{k}>other {k}</div><section>text {k}</section></body>") for k in range(3000)]
+    want = {i: f"story {i % 100} of {i // 100}\nThe end" for i, _, _ in rows}
+    assert texts(spark, rows) == want
+    got = texts(spark, rows + others)
+    assert {i: got[i] for i in want} == want
+
+
 def test_nesting_of_any_depth(spark):
     """Unnamed boxes beside an article are told from it however deep both are."""
     page = lambda k, d: "<body>" + "<div>" * d + f"<div class=x1>Same for all</div><section><p>story {k}</p></section>" + "</div>" * d
