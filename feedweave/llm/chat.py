@@ -6,8 +6,9 @@ message; seq orders them:
   delta       adds a streamed piece of text
   edit        puts another text in place of all before
   regenerate  discards the text so far; later deltas write it again
-Messages are ordered by (turn, n). They are rendered in parts of PART_TURNS turns, so the texts of a
-conversation of any length are never gathered in one row; the parts of a conversation, in order, are its text.
+Messages are ordered by (turn, n). They are rendered in parts of PART_TURNS turn numbers; the parts of a conversation,
+in order, are its text. Messages that share a turn number, or have none, are in one part. digests() gathers the parts of
+a conversation in one row to hash them, so the text of a conversation has to stay under the 2 GB of one row.
 
 Escaping makes every control string impossible inside a text: texts hold no `<` and no `[` afterwards, and all
 control strings begin with one of them.
@@ -127,7 +128,7 @@ def render(messages: DataFrame, template: Template = Template(), part_turns: int
     rendered = F.transform("turns", lambda t: F.concat(template.opening(t["role"]), escape(t["text"]), template.closing(t["role"])))
     return (
         messages.withColumn("part", F.floor(F.col("turn") / part_turns).cast("long"))
-        .groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(turn)).alias("turns"))  # part_turns turns at most
+        .groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(turn)).alias("turns"))  # part_turns turn numbers at most
         .select("conv_id", "part", F.size("turns").cast("long").alias("n_turns"), F.array_join(rendered, "").alias("formatted"), spans.alias("loss_spans"))
     )
 
