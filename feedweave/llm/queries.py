@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedweave.llm import bpe, chat, decontaminate, exact_dedup, gam, licenses, near_dedup, sharding, site_tree, token_files
+from feedweave.llm import bpe, chat, decontaminate, exact_dedup, gam, hard_negatives, language, licenses, near_dedup, phrases, sharding, site_tree, token_files
 from feedweave.llm.common import read_table
 
 BYTE_BPE = bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -59,7 +59,28 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"), shards=16)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op3_exact_dedup, op4_html_extraction, op5_quality, op6_chat_formatting, op7_bpe, op8_token_files, op9_licenses, op10_sharding)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_near_dedup, op2_decontamination, op3_exact_dedup, op4_html_extraction, op5_quality, op6_chat_formatting, op7_bpe, op8_token_files,
+        op9_licenses, op10_sharding, op11_hard_negatives, op12_collocations, op13_language_id,
+    )
+}
 
 SQL = {
     "op3_exact_dedup": """
@@ -142,4 +163,48 @@ SQL = {
         SELECT doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
                row_number() OVER (PARTITION BY shard ORDER BY ((key * 2862933555777941757 + 1) % 18446744073709551616) // 1048576 % 4096, doc_id) - 1 AS slot
         FROM rows JOIN placed USING (doc_id) JOIN sums USING (doc_id)""",
+    "op11_hard_negatives": """
+        WITH vectors AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scores AS (
+            SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, list_dot_product(a.v, b.v)::BIGINT AS score
+            FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+        positives AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id, (row_number() OVER best)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+        FROM scores JOIN positives USING (anchor_id)
+        WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+        QUALIFY row_number() OVER best <= 10""",
+    "op12_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        split AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+        grams AS (
+            SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i : i + size - 1], ' '))) AS phrase
+            FROM split, (VALUES (1), (2), (3)) sizes(size) WHERE len(w) >= size),
+        freq AS (SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL),
+        total AS (SELECT lang, sum(f)::BIGINT AS n FROM freq WHERE size = 1 GROUP BY lang),
+        found AS (SELECT lang, size, phrase, string_split(phrase, ' ') AS w, f AS a FROM freq WHERE size > 1 AND f >= 10),
+        ends AS (
+            SELECT lang, phrase, size, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k+1:], ' ') AS tail
+            FROM found, (VALUES (1), (2)) cuts(k) WHERE k < size),
+        scored AS (
+            SELECT e.lang, e.phrase, e.size, a, k, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f))::BIGINT AS score
+            FROM ends e JOIN freq x ON x.lang = e.lang AND x.phrase = e.head JOIN freq y ON y.lang = e.lang AND y.phrase = e.tail
+            QUALIFY row_number() OVER (PARTITION BY e.lang, e.phrase ORDER BY score, k) = 1),
+        held AS (
+            SELECT lang, phrase, max(a) AS held
+            FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM found WHERE size = 3) GROUP BY ALL)
+        SELECT lang, row_number() OVER best AS rank, phrase, a, l, r, n, score
+        FROM scored LEFT JOIN held USING (lang, phrase) JOIN total USING (lang)
+        WHERE held IS NULL OR 100 * held < 50 * a
+        WINDOW best AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)
+        QUALIFY row_number() OVER best <= 2000""",
 }
