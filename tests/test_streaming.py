@@ -7,10 +7,12 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+from feedweave.config import Settings
 from feedweave.operators import events, throttle
+from feedweave.plans.sync import POST_SCHEMA, RUN_STATE, StoredRun, sync, sync_days
 from feedweave.sources import dimension
 from feedweave.streaming import jobs
-from feedweave.streaming.state import read_output
+from feedweave.streaming.jobs import read_output
 from verification import adapters as a
 from verification.cases_events import entries
 
@@ -43,27 +45,40 @@ def test_throttle_stream_equals_batch(spark):
     assert ids(read_output(spark, out, "kept")) == ids(throttle.throttle_events(t, keys, HOUR))
 
 
-def test_late_rows_go_to_the_side_table(spark):
+def test_late_rows_are_dropped_and_counted(spark):
     base = datetime.datetime(2026, 1, 1)
-    rows = [(0, base, "k", 0), (1, base + datetime.timedelta(hours=2), "k", 0), (2, base + datetime.timedelta(minutes=1), "k", 1), (3, base + datetime.timedelta(hours=3), "k", 1)]
+    at = lambda m: base + datetime.timedelta(minutes=m)
+    rows = [(0, at(0), "k", 0), (1, at(120), "k", 0), (2, at(180), "k", 1), (3, at(240), "k", 2), (4, at(1), "k", 3), (5, at(1), "new", 3), (6, at(241), "k", 3)]
     df = spark.createDataFrame(rows, "event_id bigint, at timestamp, type string, part int")
     out = folder()
-    jobs.throttle_stream(as_stream(spark, df, "part", 2), ["type"], out, 10_000, delay_ms=60_000)
-    assert ids(read_output(spark, out, "kept")) == {0, 1, 3}
-    assert ids(read_output(spark, out, "late")) == {2}
+    query = jobs.throttle_stream(as_stream(spark, df, "part", 4), ["type"], out, 10_000, delay_ms=60_000)
+    assert ids(read_output(spark, out, "kept")) == {0, 1, 2, 3, 6}
+    progress = query.recentProgress
+    assert sum(s.numRowsDroppedByWatermark for p in progress for s in p.stateOperators) == 2
+    assert len([p for p in progress if p.numInputRows]) > 2
+    assert progress[-1].stateOperators[0].numRowsTotal <= 2  # keys that can suppress nothing more are forgotten
+
+
+def test_rows_within_the_delay_may_be_out_of_order(spark):
+    base = datetime.datetime(2026, 1, 1)
+    rows = [(i, base + datetime.timedelta(seconds=s), "k", part) for i, (s, part) in enumerate([(5, 0), (0, 0), (30, 0), (20, 1), (39, 1), (40, 1), (41, 2), (50, 2)])]
+    df = spark.createDataFrame(rows, "event_id bigint, at timestamp, type string, part int")
+    out = folder()
+    jobs.throttle_stream(as_stream(spark, df, "part", 3), ["type"], out, 10_000, delay_ms=60_000)
+    assert ids(read_output(spark, out, "kept")) == {1, 2, 5, 7}  # 3 is older than the kept 2, 4 and 6 follow too soon
 
 
 def test_recent_stream_equals_batch(spark):
     t, out = a.telemetry(spark, SF), folder()
     jobs.recent_stream(as_stream(spark, t, "at", 3), ["session"], out, 4)
-    last = max(os.listdir(f"{out}/state/recent"))
-    assert ids(spark.read.parquet(f"{out}/state/recent/{last}")) == ids(events.recent_events(t, ["session"], 4))
+    assert len(os.listdir(f"{out}/recent")) >= 3
+    assert sorted(map(repr, jobs.recent_lists(spark, out, ["session"]).collect())) == sorted(map(repr, events.recent_events(t, ["session"], 4).collect()))
 
 
 def test_vitals_stream_gives_closed_visits(spark):
     e, out, idle = entries(spark, SF), folder(), 48 * HOUR
     jobs.vitals_stream(as_stream(spark, e, "at", 3), out, idle_ms=idle, delay_ms=0, sample_gap_ms=HOUR)
-    got = read_output(spark, out, "vitals").drop("batch")
+    got = read_output(spark, out, "vitals")
     batch = jobs.vitals_of(jobs.session_starts(e, idle), HOUR, 60)
     closed = e.groupBy("session").agg(F.max("at").alias("last")).join(e.agg(F.max("at").alias("end")), F.expr("last < end - interval 48 hours"))
     rows = {tuple(r) for r in got.collect()}
@@ -89,8 +104,11 @@ def test_ingest_stream_carries_state(spark):
     df = spark.createDataFrame(rows, "source_id string, body_no int, body string, http_status int, fetch_ok boolean, parse_error string, duration_ms int, fetched_at timestamp")
     out = folder()
     jobs.ingest_stream(as_stream(spark, df, "fetched_at", 3), sources, out)
-    posts = spark.read.parquet(f"{out}/state/posts/v=2")
-    assert {r.title for r in posts.collect()} == {"T1", "T2", "T3", "T4"}
+    stored = StoredRun(spark, out, 3)
+    assert {(r.title, r.day.day, r.first_run.hour) for r in stored.posts().collect()} == {("T1", 1, 1), ("T2", 2, 1), ("T3", 3, 1), ("T4", 4, 2)}
+    history = {r.generated_at.hour: (r.total_sources, r.err_sources, r.total_items, r.total_new_items) for r in stored.history().collect()}
+    assert history == {1: (2, 0, 3, 3), 2: (2, 1, 2, 1), 3: (2, 1, 4, 0)}
+    assert [r.generated_at.hour for r in stored.history(1).collect()] == [3]
     runs = {(r.run_ts.hour, r.source_id): (r.used, r.consecutive_fails, r.new_item_count) for r in read_output(spark, out, "runs").collect()}
     assert runs == {
         (1, "a"): ("fetched", 0, 2), (1, "b"): ("fetched", 0, 1), (2, "a"): ("fetched", 0, 1), (2, "b"): ("fallback", 1, 0),
@@ -102,3 +120,42 @@ def test_rate_limit_stream_without_keys(spark):
     t, out = a.telemetry(spark, SF).filter("type = 'error'"), folder()
     jobs.throttle_stream(as_stream(spark, t, "at", 2), [], out, 2 * HOUR)
     assert ids(read_output(spark, out, "kept")) == ids(throttle.rate_limit(t, 2 * HOUR))
+
+
+def posts_of(stored):
+    return sorted((r.title, str(r.published_at), r.summary) for r in stored.posts().collect())
+
+
+def test_run_by_days_publishes_what_sync_does_and_repeats(spark):
+    """Replaced items that change their day, a source that goes, a window that moves; each run is done twice."""
+    make = lambda names: dimension.load_sources(spark, [{"id": s, "name": s, "kind": "feed", "url": f"https://{s}.e.com/feed", "category": "anime"} for s in names])
+    item = "<item><title>{0}</title><link>https://e.com/{0}</link><pubDate>2026-01-{1:02d}</pubDate><description>{2}</description></item>"
+    runs = [
+        ("ab", 10, {"a": [("x", 3, "s"), ("y", 9, "s"), ("z", 2, "s")], "b": [("q", 8, "s"), ("r", 4, "s")]}),
+        ("ab", 11, {"a": [("x", 5, "longer"), ("y", 9, ""), ("n", 11, "s")], "b": []}),
+        ("a", 13, {"a": [("m", 12, "s"), ("y", 1, "a much longer text of an old day")]}),
+    ]
+    out, settings = folder(), Settings(days=7)
+    schema = "source_id string, body_no int, body string"
+    full, status = spark.createDataFrame([], POST_SCHEMA), spark.createDataFrame([], RUN_STATE)
+    for number, (names, hour, found) in enumerate(runs):
+        sources, now = make(names), F.lit(datetime.datetime(2026, 1, hour)).cast("timestamp")
+        bodies = spark.createDataFrame([(s, 0, RSS.format("".join(item.format(*i) for i in items))) for s, items in found.items()], schema)
+        fetched = spark.createDataFrame([(s, 200, True, None, 5) for s in found], "source_id string, http_status int, fetch_ok boolean, parse_error string, duration_ms int")
+        stored = StoredRun(spark, out, number)
+        files = lambda: {d: sorted(os.listdir(f"{out}/posts/{d}")) for d in os.listdir(f"{out}/posts") if d.startswith("day=")}
+        before = files() if number else {}
+        sync_days(stored, bodies, fetched, sources, now, settings)
+        result = sync(bodies, fetched, sources, full, status, None, now, settings)
+        want = sorted((r.title, str(r.published_at), r.summary) for r in result.posts.collect())
+        assert posts_of(stored) == want
+        compare = ("source_id", "used", "consecutive_fails", "item_count", "new_item_count", "visible_items")
+        rows = lambda t: sorted(map(tuple, t.select(*compare).collect()))
+        first = rows(spark.read.parquet(f"{out}/runs/batch={number}"))
+        assert first == rows(result.runs)
+        same = {d for d in before if before[d] == files().get(d)}
+        sync_days(stored, bodies, fetched, sources, now, settings)
+        assert posts_of(stored) == want and rows(spark.read.parquet(f"{out}/runs/batch={number}")) == first
+        full, status = result.posts, result.runs.selectExpr("source_id", "ok", "cast(consecutive_fails as int) as consecutive_fails")
+        if number == 1:
+            assert "day=2026-01-08" in same  # nothing new fell on that day
