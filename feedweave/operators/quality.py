@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from feedweave.functions.urls import is_http
 from feedweave.operators import ordering
 from feedweave.operators.skew import lookup_by_key
+from feedweave.session import checkpoint
 
 
 def _text(name: str) -> Column:
@@ -21,12 +22,15 @@ def violations(df: DataFrame, item: Column, rules: dict[str, Column]) -> DataFra
     return df.select(item.alias("item"), F.explode(broken).alias("rule"))
 
 
-def repeats(df: DataFrame, key: Column, order: str, item: str, rule: str) -> DataFrame:
-    """Rows whose key occurred before, the first occurrence being fine."""
-    keyed = df.select(key.alias("_key"), F.col(order).alias("_ord"), F.col(item).alias("item")).filter("_key is not null")
-    twice = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.min("_ord").alias("_first")).filter("_n > 1")
-    found = lookup_by_key(keyed, twice, "_key", "_n", "item").filter("_first < _ord")
-    return found.select("item", F.lit(rule).alias("rule"))
+def repeats(df: DataFrame, keys: dict[str, Column], order: str, item: str) -> DataFrame:
+    """Rows whose key occurred before, the first occurrence being fine; `keys` maps a rule to its key (null: not asked).
+
+    All rules are counted in one aggregate, and only keys that occur twice are kept of it.
+    """
+    asked = F.array_compact(F.array(*[F.when(k.isNotNull(), F.struct(F.lit(rule).alias("rule"), F.concat(F.lit(f"{rule}:"), k).alias("key"))) for rule, k in keys.items()]))
+    keyed = df.select(F.col(order).alias("_ord"), F.col(item).alias("item"), F.explode(asked).alias("k")).select("_ord", "item", "k.rule", F.col("k.key").alias("_key"))
+    twice = checkpoint(keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.min("_ord").alias("_first")).filter("_n > 1"))
+    return lookup_by_key(keyed, twice, "_key", "_n", "item").filter("_first < _ord").select("item", "rule")
 
 
 def order_violations(df: DataFrame, group: list[str], order: str, time: str, item: str, tolerance_ms: int = 1000) -> DataFrame:
@@ -61,10 +65,10 @@ def check_posts(posts: DataFrame, sources: DataFrame, categories: tuple | None =
         "source_url_not_http": ~(_text("source_url") & is_http(F.col("source_url"))),
         "cover_invalid": F.col("cover").isNotNull() & ~(_text("cover") & (is_http(F.col("cover")) | F.col("cover").startswith("/"))),
     }
+    keys = {"id_repeated": F.when(_text("id"), F.col("id")), "url_repeated": F.when(good_url, F.lower("url"))}
     return (
         violations(p, item, rules)
-        .unionByName(repeats(posts.filter(_text("id")), F.col("id"), "arrival", "arrival", "id_repeated"))
-        .unionByName(repeats(posts.filter(good_url), F.lower("url"), "arrival", "arrival", "url_repeated"))
+        .unionByName(repeats(posts, keys, "arrival", "arrival"))
         .unionByName(order_violations(posts, [], "arrival", "published_at", "arrival"))
     )
 

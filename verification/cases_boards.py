@@ -109,14 +109,22 @@ def _(spark, sf):
     return boards.brief_lines(a.posts(spark, sf), "zh", clock())
 
 
-@case("home_board", with_ctes(*a.ALL_POSTS, HOT_RECENT, body="""
+@case("home_board", with_ctes(*a.ALL_POSTS, HOT_RECENT, SOURCES, f"""
+ages_fx AS (SELECT date_diff('minute', published_at, TIMESTAMP '{NOW}') AS age FROM posts_fx),
+levels_fx AS (SELECT coalesce(source_health, 'good') AS lv FROM sources_fx LEFT JOIN health_fx USING (source_id))""", body="""
 (SELECT 'latest' AS section, row_number() OVER (ORDER BY published_at DESC, arrival) AS rank, id AS item, CAST(pulse_score AS BIGINT) AS value FROM enriched_fx ORDER BY rank LIMIT 24)
 UNION ALL (SELECT 'pulse', row_number() OVER (ORDER BY pulse_score DESC, arrival) AS rank, id, pulse_score FROM recent_fx ORDER BY rank LIMIT 6)
 UNION ALL (SELECT 'spotlight', row_number() OVER (ORDER BY cover IS NOT NULL DESC, pulse_score DESC, arrival) AS rank, id, pulse_score FROM recent_fx ORDER BY rank LIMIT 6)
 UNION ALL (SELECT 'tag', row_number() OVER (ORDER BY n DESC, f) AS rank, tag, n FROM (SELECT tag, count(*) AS n, min((arrival, pos)) AS f
-  FROM (SELECT arrival, unnest(tags) AS tag, generate_subscripts(tags, 1) AS pos FROM recent_fx) GROUP BY tag) ORDER BY rank LIMIT 12)"""))
+  FROM (SELECT arrival, unnest(tags) AS tag, generate_subscripts(tags, 1) AS pos FROM recent_fx) GROUP BY tag) ORDER BY rank LIMIT 12)
+UNION ALL (SELECT 'lens', r, i, (SELECT count(*) FROM ages_fx WHERE age BETWEEN 0 AND m) FROM (VALUES (1, 'h2', 120), (2, 'h6', 360), (3, 'h24', 1440)) l(r, i, m))
+UNION ALL (SELECT 'category', row_number() OVER (ORDER BY category), category, n FROM (SELECT p.category, (SELECT count(*) FROM recent_fx r WHERE r.category = p.category) AS n FROM posts_fx p GROUP BY p.category))
+UNION ALL (SELECT 'health', r, i, CASE i WHEN 'stable_ratio' THEN CAST(floor((SELECT count(*) FILTER (lv IN ('excellent', 'good')) * 100.0 / count(*) FROM levels_fx) + 0.5) AS BIGINT) ELSE (SELECT count(*) FROM levels_fx WHERE lv = i) END
+  FROM (VALUES (1, 'excellent'), (2, 'good'), (3, 'warn'), (4, 'down'), (5, 'stable_ratio')) h(r, i))
+UNION ALL (SELECT 'random', 1, id, pulse_score FROM (SELECT id, pulse_score FROM enriched_fx ORDER BY published_at DESC, arrival LIMIT 200) ORDER BY sha1('7:' || id) LIMIT 1)
+UNION ALL (SELECT 'brief', rank, rank || '. ' || coalesce(title_zh, title), NULL FROM (SELECT *, row_number() OVER (ORDER BY published_at DESC, arrival) AS rank FROM recent_fx) WHERE rank <= 10)"""))
 def _(spark, sf):
-    return home.home_board(a.posts(spark, sf), health.latest_runs(a.history_runs(spark, sf)), a.now())
+    return home.home_board(a.posts(spark, sf), health.latest_runs(a.history_runs(spark, sf)), a.now(), a.sources(spark, sf), seed=7)
 
 
 RELATED = f"""
