@@ -98,11 +98,16 @@ def _fresh(spec: SearchSpec, now: Column, hours: float) -> Column:
 
 
 def mark_read(rows: DataFrame, reads: DataFrame | None) -> DataFrame:
-    """Adds `is_read`: is the item in the reader's read set?"""
+    """Adds `is_read`: is the item in the reader's read set?
+
+    With a user_id on both sides each row belongs to its reader (null: to none, who has read nothing), so one job
+    serves all readers; else `reads` is the set of one reader.
+    """
     if reads is None:
         return rows.withColumn("is_read", F.lit(False))
-    seen = reads.select(F.col("post_id").alias("id")).distinct().withColumn("_seen", F.lit(True))
-    return rows.join(seen, "id", "left").withColumn("is_read", F.coalesce("_seen", F.lit(False))).drop("_seen")
+    by = ["user_id"] if "user_id" in rows.columns and "user_id" in reads.columns else []
+    seen = reads.select(*by, F.col("post_id").alias("id")).distinct().withColumn("_seen", F.lit(True))
+    return rows.join(seen, [*by, "id"], "left").withColumn("is_read", F.coalesce("_seen", F.lit(False))).drop("_seen")
 
 
 def match_sources(rows: DataFrame, state: ReaderState) -> DataFrame:
@@ -145,13 +150,13 @@ def search_limit(found: DataFrame, limit: int = 1500) -> DataFrame:
     return found.orderBy(F.col("published_ms").desc_nulls_last(), "id").limit(limit)
 
 
-def search_totals(rows: DataFrame, is_match: Column, limit: int = 1500) -> DataFrame:
+def search_totals(rows: DataFrame, is_match: Column, limit: int = 1500, by: tuple[str, ...] = ()) -> DataFrame:
     """Counts reported beside a limited result: all rows, matches and unread ones, and whether the limit cuts the list.
 
-    rows: the whole index with `is_read` (mark_read); is_match: the condition of the search.
+    rows: the whole index with `is_read` (mark_read); is_match: the condition of the search; by: columns that tell readers apart.
     """
     hit = F.coalesce(is_match, F.lit(False))
-    return rows.agg(
+    return rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("items"), F.count_if(hit).alias("matched"), F.count_if(hit & ~F.col("is_read")).alias("unread")
     ).withColumn("truncated", F.col("matched") > limit)
 
@@ -190,14 +195,14 @@ def page_filter(posts: DataFrame, spec: SearchSpec, filters: PageFilters, now: C
     return boards.sort_posts(found, filters.sort)
 
 
-def search_facets(found: DataFrame) -> DataFrame:
-    """Per category and in total (category null): shown, unread, and whether it is the peak."""
-    counts = found.rollup("category").agg(
+def search_facets(found: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Per category and in total (category null): shown, unread, and whether it is the peak; for each value of `by` (readers)."""
+    counts = found.groupingSets([[*by, "category"], [*by]], *by, "category").agg(
         F.grouping("category").alias("is_total"), F.count(F.lit(1)).alias("shown"), F.count_if(~F.col("is_read")).alias("unread")
     )
-    peak = F.max(F.when(F.col("is_total") == 0, F.col("shown"))).over(Window.partitionBy(F.lit(1)))  # one row per category
+    peak = F.max(F.when(F.col("is_total") == 0, F.col("shown"))).over(Window.partitionBy(*(by or [F.lit(1)])))  # one row per category
     return counts.select(
-        "category", "shown", "unread", ((F.col("is_total") == 0) & (F.col("shown") == peak)).alias("is_peak")
+        *by, "category", "shown", "unread", ((F.col("is_total") == 0) & (F.col("shown") == peak)).alias("is_peak")
     )
 
 

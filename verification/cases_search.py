@@ -30,7 +30,10 @@ NORM = r"trim(regexp_replace(regexp_replace(lower({}), '[\x{{200b}}-\x{{200d}}\x
 INDEX = f"""
 index_fx AS (SELECT id, arrival, published_at, source_id, lower(source_name) AS source_name, lower(source_id) AS source_id_norm, lower(category) AS category, tags, epoch_ms(published_at) AS published_ms,
   {NORM.format("concat_ws(' ', title, coalesce(title_zh, ''), coalesce(title_ja, ''), coalesce(summary, ''), '', '', coalesce(preview, ''), '', '', array_to_string(tags, ' '), source_name, source_id, category)")} AS hay FROM posts_fx)"""
-READS = a.user_items_sql("reads_all", "view") + ", reads_fx AS (SELECT post_id FROM reads_all WHERE user_id < 40)"
+# The rows that readers search: the whole index for one who is not known, and each reader's bookmarks.
+READS = a.user_items_sql("reads_fx", "view") + "," + a.user_items_sql("marks_fx", "click") + """,
+rows_fx AS (SELECT r.*, s.post_id IS NOT NULL AS is_read FROM (SELECT CAST(NULL AS BIGINT) AS user_id, * FROM index_fx UNION ALL SELECT m.user_id, i.* FROM marks_fx m JOIN index_fx i ON i.id = m.post_id) r
+  LEFT JOIN reads_fx s ON s.user_id = r.user_id AND s.post_id = r.id)"""
 
 
 def index(spark, sf):
@@ -38,8 +41,14 @@ def index(spark, sf):
 
 
 def reads(spark, sf):
-    """One reader made of many: everything the first users viewed."""
-    return a.user_items(spark, sf, "view").filter("user_id < 40").select("post_id").distinct()
+    """What each user viewed."""
+    return a.user_items(spark, sf, "view")
+
+
+def readers_rows(spark, sf):
+    i = index(spark, sf)
+    marked = a.user_items(spark, sf, "click").withColumnRenamed("post_id", "id").join(i, "id")
+    return i.withColumn("user_id", F.lit(None).cast("long")).unionByName(marked)
 
 
 @case("build_search_index", with_ctes(POSTS, INDEX, body="SELECT id, hay, array_to_string(tags, '|') AS tags, source_name, source_id_norm, category, published_ms FROM index_fx"))
@@ -63,7 +72,7 @@ def _(spark, sf):
 SPEC = s.SearchSpec(text=("the",), not_text=("http",), not_tags=("mail",), sources=("src1",), not_sources=("src15",), categories=("en", "fr", "es"),
                     not_categories=("es",), after_ms=1_704_412_800_000, before_ms=1_706_400_000_000, is_unread=True)
 FOUND = """
-found_fx AS (SELECT *, id IN (SELECT post_id FROM reads_fx) AS is_read FROM index_fx WHERE contains(hay, 'the') AND NOT contains(hay, 'http')
+found_fx AS (SELECT * FROM rows_fx WHERE contains(hay, 'the') AND NOT contains(hay, 'http')
   AND len(list_filter(tags, lambda t: contains(t, 'mail'))) = 0 AND (contains(source_name, 'src1') OR contains(source_id_norm, 'src1'))
   AND NOT contains(source_id_norm, 'src15') AND category IN ('en', 'fr', 'es') AND category <> 'es'
   AND published_ms >= 1704412800000 AND published_ms <= 1706400000000 AND NOT is_read AND source_id <> 'src12'
@@ -74,12 +83,12 @@ def found(spark, sf):
     p = a.posts(spark, sf)
     state = s.ReaderState(reads=reads(spark, sf), disabled_sources=p.filter("source_id = 'src12'").select("source_id"),
                           follow_words=("and", "ing"), block_words=("zzz",), only_followed=True, hide_read=True)
-    return s.search(index(spark, sf), SPEC, state, a.now())
+    return s.search(readers_rows(spark, sf), SPEC, state, a.now())
 
 
-@case("search", with_ctes(POSTS, INDEX, READS, FOUND, body="SELECT id, is_read FROM found_fx"))
+@case("search", with_ctes(POSTS, INDEX, READS, FOUND, body="SELECT user_id, id, is_read FROM found_fx"))
 def _(spark, sf):
-    return found(spark, sf).select("id", "is_read")
+    return found(spark, sf).select("user_id", "id", "is_read")
 
 
 @case("search_limit", with_ctes(POSTS, INDEX, body="""
@@ -90,15 +99,15 @@ def _(spark, sf):
 
 
 @case("search_totals", with_ctes(POSTS, INDEX, READS, body="""
-SELECT count(*) AS items, count(*) FILTER (contains(hay, 'the')) AS matched,
-  count(*) FILTER (contains(hay, 'the') AND id NOT IN (SELECT post_id FROM reads_fx)) AS unread, count(*) FILTER (contains(hay, 'the')) > 300 AS truncated FROM index_fx"""))
+SELECT user_id, count(*) AS items, count(*) FILTER (contains(hay, 'the')) AS matched,
+  count(*) FILTER (contains(hay, 'the') AND NOT is_read) AS unread, count(*) FILTER (contains(hay, 'the')) > 300 AS truncated FROM rows_fx GROUP BY user_id"""))
 def _(spark, sf):
-    return s.search_totals(s.mark_read(index(spark, sf), reads(spark, sf)), s.matches(s.SearchSpec(text=("the",))), 300)
+    return s.search_totals(s.mark_read(readers_rows(spark, sf), reads(spark, sf)), s.matches(s.SearchSpec(text=("the",))), 300, by=("user_id",))
 
 
-@case("mark_read", with_ctes(POSTS, INDEX, READS, body="SELECT id, id IN (SELECT post_id FROM reads_fx) AS is_read FROM index_fx"))
+@case("mark_read", with_ctes(POSTS, INDEX, READS, body="SELECT user_id, id, is_read FROM rows_fx"))
 def _(spark, sf):
-    return s.mark_read(index(spark, sf), reads(spark, sf)).select("id", "is_read")
+    return s.mark_read(readers_rows(spark, sf), reads(spark, sf)).select("user_id", "id", "is_read")
 
 
 @case("match_sources", with_ctes(POSTS, INDEX, a.USER_SOURCES, body="""
@@ -121,11 +130,11 @@ def _(spark, sf):
 
 
 @case("search_facets", with_ctes(POSTS, INDEX, READS, body="""
-SELECT category, shown, unread, category IS NOT NULL AND shown = max(CASE WHEN category IS NOT NULL THEN shown END) OVER () AS is_peak FROM (
-SELECT category, count(*) AS shown, count(*) FILTER (id NOT IN (SELECT post_id FROM reads_fx)) AS unread FROM index_fx WHERE contains(hay, 'a') GROUP BY ROLLUP (category))"""))
+SELECT user_id, category, shown, unread, is_total = 0 AND shown = max(CASE WHEN is_total = 0 THEN shown END) OVER (PARTITION BY user_id) AS is_peak FROM (
+SELECT user_id, category, grouping(category) AS is_total, count(*) AS shown, count(*) FILTER (NOT is_read) AS unread FROM rows_fx WHERE contains(hay, 'a') GROUP BY GROUPING SETS ((user_id, category), (user_id)))"""))
 def _(spark, sf):
-    got = s.search(index(spark, sf), s.SearchSpec(text=("a",)), s.ReaderState(reads=reads(spark, sf)))
-    return s.search_facets(got)
+    got = s.search(readers_rows(spark, sf), s.SearchSpec(text=("a",)), s.ReaderState(reads=reads(spark, sf)))
+    return s.search_facets(got, by=("user_id",))
 
 
 PAGE = f"""
