@@ -165,33 +165,79 @@ def _(spark, sf):
     return d.select("doc_id", pg.normalize_markdown(md).alias("md"))
 
 
-LIST_DOC = "concat_ws('\\n', transform(sequence(1, 20), i -> concat('- ', i, ':30 ', left(source, 4), ' entry')))"
+# What a text looks like, line by line: the features that the rules on lists and menus ask for.
+def shape_sql(source: str, key: str) -> str:
+    """CTE shape_fx(key, md, url, n, listed, times, dates, paras) of a CTE with key, md and url."""
+    trimmed = r"regexp_replace(s, '^[ \t\r\n\f\v\x{a0}\x{3000}]+|[ \t\r\n\f\v\x{a0}\x{3000}]+$', '', 'g')"
+    is_list = r"(regexp_matches(s, '^[*-]\s*\S') OR regexp_matches(s, '^\d+\.\s*\S'))"
+    times = r"regexp_matches(s, '^[*-]?\s*\d{1,2}:\d{2}([^0-9A-Za-z_]|$)')"
+    dates = rf"(regexp_matches(s, '^[*-]?\s*\d{{1,2}}\s*月\s*\d{{1,2}}\s*日[0-9A-Za-z_]') OR regexp_matches(s, '^[*-]?\s*({pg.MONTHS})([^0-9A-Za-z_]|$)', 'i'))"
+    paras = rf"(NOT {is_list} AND NOT regexp_matches(s, '^#{{2,6}}\s') AND length(s) >= 80)"
+    count = lambda f: f"len(list_filter(lines, lambda s: {f}))"
+    return f"""
+lines_fx AS (SELECT {key}, md, url, list_filter(list_transform(regexp_split_to_array(md, '\\r?\\n'), lambda s: {trimmed}), lambda s: s <> '') AS lines FROM {source}),
+shape_fx AS (SELECT {key}, md, url, lines, len(lines) AS n, {count(is_list)} AS listed, {count(times)} AS times, {count(dates)} AS dates, {count(paras)} AS paras FROM lines_fx)""".replace("\\\\", "\\")
 
 
-@case("looks_like_index", r"""
-SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN contains(lower(text), 'time archives') ELSE n_lines >= 18 AND false END AS is_index
-FROM (SELECT *, len(string_split(text, chr(10))) AS n_lines FROM documents)""")
+def any_of(column: str, words) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
+
+
+INDEX_SQL = f"""({any_of("lower(md)", pg.ARCHIVE_PHRASES)} OR (n >= 18 AND ((listed > 0.62::DOUBLE * n AND (times >= 8 OR dates >= 8) AND paras <= 4) OR (listed > 0.75::DOUBLE * n AND paras <= 8))))"""
+
+
+# Spanish texts are written as dated lists, a sentence a line, and French ones as plain lists with a title; the others are taken as they are.
+@case("looks_like_index", with_ctes(r"""
+md_fx AS (SELECT doc_id, '' AS url, CASE lang WHEN 'es' THEN '- 10:30 ' || replace(text, '. ', '.' || chr(10) || '- 10:30 ') WHEN 'fr' THEN '# Time' || chr(10) || replace(text, '. ', chr(10) || '* ') ELSE text END AS md FROM documents)""",
+  shape_sql("md_fx", "doc_id"), body=f"SELECT doc_id, trim(md) <> '' AND {INDEX_SQL} AS is_index FROM shape_fx"))
 def _(spark, sf):
     d = a.table(spark, sf, "documents")
-    md = F.expr(f"case doc_id % 4 when 0 then {LIST_DOC} when 1 then concat(text, '\\nTime Archives') else text end")
+    md = F.expr(r"case lang when 'es' then concat('- 10:30 ', replace(text, '. ', '.\n- 10:30 ')) when 'fr' then concat('# Time\n', replace(text, '. ', '\n* ')) else text end")
     return d.select("doc_id", pg.looks_like_index(md).alias("is_index"))
 
 
-@case("reject_page", r"""
-SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'empty' WHEN 1 THEN 'json_error' WHEN 2 THEN 'raw_html' WHEN 3 THEN 'block_page' WHEN 4 THEN 'navigation' END AS reason FROM pages""")
+# The text of every page, with damage by its length: what error bodies, blocked and list pages have beside it.
+DAMAGE = (
+    (1, "'{\"code\":451} '", "''"), (2, "'<!DOCTYPE html> '", "''"), (3, "''", "' Access Denied for you'"), (4, "'@@ab TOKEN@@token '", "''"), (5, "'Archivos. Time Archives '", "''"),
+)  # head and tail by length(md) % 8
+
+
+def damaged(column: str) -> str:
+    part = lambda i: f"CASE length({column}) % 8 " + " ".join(f"WHEN {d[0]} THEN {d[i]}" for d in DAMAGE) + " ELSE '' END"
+    return f"concat({part(1)}, {column}, {part(2)})"
+
+
+REASON = f"""
+whole_fx AS (SELECT page_id, url || '/a' AS url, string_agg(b.md, chr(10) || chr(10) ORDER BY pos) AS plain FROM blocks_fx b JOIN pages USING (page_id) GROUP BY page_id, url),
+dmg2_fx AS (SELECT page_id, url, plain, {damaged("plain")} AS md FROM whole_fx),
+{shape_sql("dmg2_fx", "page_id").strip()},
+reason_fx AS (SELECT page_id, md, CASE WHEN md = '' THEN 'empty' WHEN regexp_matches(md, '(@@|＠＠)[a-z]*token', 'i') THEN 'placeholder'
+  WHEN regexp_matches(substring(md, 1, 2200), '^[{{\\[]') AND {any_of("lower(substring(md, 1, 2200))", pg.JSON_ERRORS)} THEN 'json_error'
+  WHEN regexp_matches(md, '^(<!doctype\\s+html|<html|<\\?xml)', 'i') THEN 'raw_html' WHEN {any_of("lower(md)", pg.BLOCK_WORDS)} THEN 'block_page' WHEN {INDEX_SQL} THEN 'index' END AS reason FROM shape_fx)""".replace("\\\\", "\\")
+
+
+def damaged_pages(spark, sf):
+    whole = pg.page_to_markdown(pg.main_content(pages(spark, sf))).select("page_id", F.col("md").alias("plain"))
+    return pages(spark, sf).select("page_id", F.concat("url", F.lit("/a")).alias("url")).join(whole, "page_id").withColumn("md", F.expr(damaged("plain")))
+
+
+@case("reject_page", with_ctes(ARTICLE, MD, REASON, body="SELECT page_id, reason FROM reason_fx"))
 def _(spark, sf):
-    nav = "concat_ws('\\n', transform(sequence(1, 15), i -> concat('- [n](https://n.example/', i, ')')), 'contact')"
-    md = f"""case page_id % 6 when 0 then ' ' when 1 then '{{"code":451}} x' when 2 then '<!DOCTYPE html> x' when 3 then 'Access Denied for you' when 4 then {nav} else 'A plain sentence.' end"""
-    return pages(spark, sf).select("page_id", pg.reject_page(F.expr(md), F.concat(F.col("url"), F.lit("/a"))).alias("reason"))
+    return damaged_pages(spark, sf).select("page_id", pg.reject_page(F.col("md"), F.col("url")).alias("reason"))
 
 
-@case("best_extraction", r"""
-SELECT page_id, CASE page_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 END AS priority, CASE page_id % 3 WHEN 0 THEN 'first ' || page_id WHEN 1 THEN 'second ' || page_id END AS md, CASE WHEN page_id % 3 = 2 THEN 451 END AS failed_status FROM pages""")
+# First the damaged text, then the plain one of pages of an even length, then a robot check.
+@case("best_extraction", with_ctes(ARTICLE, MD, REASON, body="""
+SELECT page_id, CASE WHEN reason IS NULL THEN 1 WHEN even THEN 2 END AS priority, CASE WHEN reason IS NULL THEN md WHEN even THEN plain END AS md,
+  CASE WHEN reason IS NOT NULL AND NOT even THEN 451 END AS failed_status
+FROM reason_fx JOIN (SELECT page_id, plain, length(plain) // 8 % 2 = 0 AS even FROM whole_fx) USING (page_id)"""))
 def _(spark, sf):
-    tries = pages(spark, sf).select("page_id", F.concat("url", F.lit("/a")).alias("url"), F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])).alias("priority"))
-    md = "case when priority = 1 and page_id % 3 = 0 then concat('first ', page_id) when priority = 2 and page_id % 3 < 2 then concat('second ', page_id) when priority = 3 then 'captcha' else '' end"
-    t = tries.withColumn("md", F.expr(md)).withColumn("status", F.expr("case priority when 2 then 451 when 3 then 200 end"))
-    return pg.best_extraction(t)
+    t = damaged_pages(spark, sf).withColumn("even", F.expr("length(plain) div 8 % 2 = 0"))
+    tries = t.select(
+        "page_id", "url",
+        F.explode(F.expr("array(struct(1 as priority, md, cast(null as int) as status), struct(2 as priority, if(even, plain, null) as md, 451 as status), struct(3 as priority, 'captcha' as md, 200 as status))")).alias("x"),
+    ).select("page_id", "url", "x.*")
+    return pg.best_extraction(tries)
 
 
 @case("mark_cacheable", r"""
