@@ -35,6 +35,16 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id is not among `ids` (one column doc_id); rows without doc_id stay."""
-    return docs.join(ids.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+def by_shuffle(table: DataFrame) -> DataFrame:
+    """A narrow side of a join (keys and a number or two, each key once or nearly so), shuffled and hashed whatever its size.
+
+    In a plan of many joins on growing tables each small one would else be answered through the driver, which keeps
+    the memory that dozens of broadcasts took. A task hashes its share of the table, which more partitions make
+    smaller; the other side is streamed and may be split where a key is hot.
+    """
+    return table.hint("shuffle_hash")
+
+
+def by_merge(table: DataFrame) -> DataFrame:
+    """A wide side of a join, shuffled and merged whatever its size: sorts spill, so no share of it has to fit in memory."""
+    return table.hint("merge")

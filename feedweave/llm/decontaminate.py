@@ -145,6 +145,7 @@ def _seeds(docs: DataFrame, ids: list[int], words: list[np.ndarray]) -> Block:
     counted = docs.select(plain_text("text").alias("text")).mapInArrow(count, "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
     for r in counted.toLocalIterator():  # a row for each gram of the block at most
         times[r.gram] = r.docs
+    every.destroy()
     gram_of = {g: k for k, g in enumerate(zip(block.size.tolist(), block.grams.tolist(), strict=True))}
     chosen, base = set(), 0
     for w in words:

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from feedweave.llm.common import plain_text, stored
 from feedweave.operators.skew import lookup_by_key
@@ -41,11 +42,11 @@ def exact_groups(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
     text = plain_text("text")
     hashes = docs.select("doc_id", F.sha2(text.cast("binary"), 256).alias("text_sha256"), F.xxhash64(text).alias("print"))
     hashes = stored(hashes, "exact-hashes")
-    marked = _look_up(hashes, _repeated_bits(hashes, filter_bits), filter_bits)
-    possible = marked.filter("possible").select("doc_id", "text_sha256")
+    marked = maybe_in(hashes, "print", filter_of(hashes, "print", filter_bits, 2), filter_bits)
+    possible = marked.filter("__maybe").select("doc_id", "text_sha256")
     groups = possible.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     settled = lookup_by_key(possible, groups, "text_sha256", "group_size", "doc_id")
-    alone = marked.filter("not possible").select(
+    alone = marked.filter("not __maybe").select(
         "doc_id", "text_sha256", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")
     )
     return settled.select(alone.columns).unionByName(alone).select(
@@ -53,8 +54,25 @@ def exact_groups(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
     )
 
 
-def _repeated_bits(hashes: DataFrame, filter_bits: int) -> DataFrame:
-    """Rows (block, words): the bits that were set more than once, 1024 a block; blocks without any are left out."""
+def distinct_texts(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of `docs`, all columns as they are, one for each text (null counts as empty).
+
+    Of the rows of a text the one with the largest doc_id stays, of equal ones that with the largest other values;
+    a row without doc_id stays only if no row of the text has one. Texts that share a doc_id are judged each for
+    itself. Rows whose text is surely unique stay where they are; the others meet by SHA-256, reduced to one row a
+    text before they are moved. An empty table gives an empty result.
+    """
+    prints = docs.select(F.xxhash64(plain_text("text")).alias("print"))
+    hashed = docs.withColumn("__print", F.xxhash64(plain_text("text")))
+    marked = maybe_in(hashed, "__print", filter_of(prints, "print", filter_bits, 2), filter_bits)
+    rest = [f.name for f in docs.schema if isinstance(f.dataType, AtomicType) and f.name not in ("doc_id", "text")]
+    row, order = F.struct(*docs.columns), F.struct("doc_id", *rest, F.col("text").isNotNull())
+    again = marked.filter("__maybe").groupBy(F.sha2(plain_text("text").cast("binary"), 256).alias("__sha")).agg(F.max_by(row, order).alias("__row"))
+    return marked.filter("not __maybe").select(*docs.columns).unionByName(again.select("__row.*"))
+
+
+def filter_of(hashes: DataFrame, column: str, filter_bits: int, least: int) -> DataFrame:
+    """Rows (block, words): the bits that were set `least` (1 or 2) times or more, 1024 a block; blocks without any are left out."""
     per_range = filter_bits // RANGES
 
     def bits_of_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +99,7 @@ def _repeated_bits(hashes: DataFrame, filter_bits: int) -> DataFrame:
                 have[at] = np.minimum(have[at] + 1, 2)
                 have[np.frombuffer(more, "<u4") - np.uint32(part * per_range)] = 2
         for part, have in counts.items():
-            words = np.packbits(have.reshape(-1, BLOCK_BITS) == 2, axis=1, bitorder="little").view("<i8")
+            words = np.packbits(have.reshape(-1, BLOCK_BITS) >= least, axis=1, bitorder="little").view("<i8")
             some = np.flatnonzero(words.any(axis=1))
             yield pa.record_batch(
                 {
@@ -90,18 +108,20 @@ def _repeated_bits(hashes: DataFrame, filter_bits: int) -> DataFrame:
                 }
             )
 
-    parts = hashes.select("print").mapInArrow(bits_of_part, "part int, once binary, more binary")
+    parts = hashes.select(column).mapInArrow(bits_of_part, "part int, once binary, more binary")
     return parts.repartition(RANGES, "part").mapInArrow(sums_of_ranges, "block long, words array<bigint>")
 
 
 def bit_positions(prints: np.ndarray, filter_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of each hash, both in one block, as _look_up finds them."""
+    """The two bits of each hash, both in one block, as maybe_in finds them."""
     h = prints.astype(np.int64)
     block = (h & (filter_bits // BLOCK_BITS - 1)) * BLOCK_BITS
     return block + ((h >> 40) & (BLOCK_BITS - 1)), block + ((h >> 52) & (BLOCK_BITS - 1))
 
 
-def _look_up(hashes: DataFrame, blocks: DataFrame, filter_bits: int) -> DataFrame:
-    bit = lambda shift: f"coalesce(shiftright(get(words, cast((shiftright(print, {shift}) & 1023) div 64 as int)), cast(shiftright(print, {shift}) & 63 as int)) & 1, 0) = 1"
-    at = hashes.withColumn("block", F.col("print").bitwiseAND(filter_bits // BLOCK_BITS - 1))
-    return at.join(F.broadcast(blocks), "block", "left").select("doc_id", "text_sha256", F.expr(f"{bit(40)} and {bit(52)}").alias("possible"))
+def maybe_in(rows: DataFrame, column: str, blocks: DataFrame, filter_bits: int) -> DataFrame:
+    """Adds __maybe: whether the hash in `column` has both its bits in the filter; the filter is broadcast, its size is fixed."""
+    bit = lambda shift: f"coalesce(shiftright(get(__words, cast((shiftright({column}, {shift}) & 1023) div 64 as int)), cast(shiftright({column}, {shift}) & 63 as int)) & 1, 0) = 1"
+    at = rows.withColumn("__block", F.col(column).bitwiseAND(filter_bits // BLOCK_BITS - 1))
+    named = blocks.select(F.col("block").alias("__block"), F.col("words").alias("__words"))
+    return at.join(F.broadcast(named), "__block", "left").withColumn("__maybe", F.expr(f"{bit(40)} and {bit(52)}")).drop("__block", "__words")

@@ -229,7 +229,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int
     # At most `rows` rows of two numbers are broadcast, and come back with their features.
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain_text("text").alias("text")).join(F.broadcast(chosen), "doc_id")
     table = found.select("doc_id", "wanted", "text").mapInArrow(measure, schema).orderBy("doc_id", "x").limit(rows).toArrow()
-    x = np.array(table["x"].to_pylist(), float).reshape(-1, len(FEATURES))
+    x = table["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))
     return fit(x, table["wanted"].to_numpy(), settings)
 
 

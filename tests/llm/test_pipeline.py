@@ -3,7 +3,7 @@ from fractions import Fraction
 import corpus_pipeline
 import pyarrow as pa
 
-from feedweave.llm import gam, queries
+from feedweave.llm import gam, near_dedup, queries
 from tests.llm.fixtures import AWKWARD, docs
 from tests.llm.test_decontaminate import plain_matches
 from tests.llm.test_near_dedup import brute
@@ -51,3 +51,21 @@ def test_awkward_rows_pass_every_stage(spark):
         assert out.count() <= frame.count()
         assert stage(spark, frame.limit(0), SF).count() == 0
     assert corpus_pipeline.tokens(spark, frame, SF).filter("not round_trip").count() == 0
+
+
+def test_dedup_stages_judge_rows_by_id_and_text(spark):
+    one, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    edited = one.replace("w39", "x39")
+    rows = [(6, "copied text here"), (6, "unique text kept nowhere else"), (9, "copied text here"), (None, "copied text here"), (None, "two without id"), (None, "two without id"), (5, None), (7, "")]
+    left = lambda stage, given: sorted(((r.doc_id, r.text) for r in stage(spark, docs(spark, given), SF).collect()), key=repr)
+    want = [(6, "unique text kept nowhere else"), (7, ""), (9, "copied text here"), (None, "two without id")]
+    assert left(corpus_pipeline.exact, rows) == sorted(want, key=repr)
+    assert left(corpus_pipeline.exact, [(1, "a"), (1, "a"), (1, "b"), (2, "b")]) == [(1, "a"), (2, "b")]
+    # The other text of document 6 is no copy of anything; the edited one is.
+    near = [(3, one), (6, edited), (6, other), (8, other.replace("v0", "y0")), (None, one + " x"), (2, ""), (2, None)]
+    assert left(corpus_pipeline.near, near) == sorted([(3, one), (6, other), (None, one + " x"), (2, ""), (2, None)], key=repr)
+    # One of two texts of the smallest doc_id stays, and one of texts with equal words.
+    assert len(left(corpus_pipeline.near, [(4, one), (4, edited), (9, edited)])) == 1
+    assert len(left(corpus_pipeline.near, [(4, one), (4, one.upper()), (4, one + " ")])) == 1
+    found = {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(docs(spark, near)).collect()}
+    assert found == {(3, 3), (6, 3), (6, 6), (8, 6), (None, None), (2, 2)}
