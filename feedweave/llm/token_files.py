@@ -49,21 +49,22 @@ class WordTokenizer:
     path: str
     word_end: str = "</w>"
 
-    def load(self) -> tuple[object, np.ndarray]:
+    def load(self) -> tuple[object, np.ndarray, list[bytes]]:
         return _tokenizer(self.path, self.word_end)
 
 
 @functools.lru_cache(maxsize=2)
-def _tokenizer(path: str, word_end: str) -> tuple[object, np.ndarray]:
+def _tokenizer(path: str, word_end: str) -> tuple[object, np.ndarray, list[bytes]]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core already
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
     ends = np.zeros(tokenizer.get_vocab_size(), bool)
     for token, i in tokenizer.get_vocab().items():
         ends[i] = token.endswith(word_end)
-    return tokenizer, ends
+    # As the library does by itself, the strings of special tokens are those tokens in a text too.
+    special = [t.content.lower().encode() for t in tokenizer.get_added_tokens_decoder().values()]
+    return tokenizer, ends, special
 
 
 _caches: dict[tuple[str, str], dict[bytes, bytes]] = {}
@@ -73,7 +74,7 @@ class WordEncoder:
     """The ids of whole texts as `dtype`; each new word goes through the tokenizer once."""
 
     def __init__(self, spec: WordTokenizer, dtype: str):
-        self.tokenizer, self.ends = spec.load()
+        self.tokenizer, self.ends, self.special = spec.load()
         self.dtype, self.code = np.dtype(dtype), {"<u2": "H", "<u4": "I"}[dtype]
         self.known = _caches.setdefault((spec.path, dtype), {})
 
@@ -107,6 +108,9 @@ class WordEncoder:
         """Stops and commas after an ASCII letter, and the case of ASCII letters, change nothing in the rest of a word."""
         whole, parts = set(), {}
         for w in new:
+            if any(token in w.lower() for token in self.special):
+                whole.add(w)  # the case of a special token's string matters
+                continue
             core = w.rstrip(b".,") if w.isascii() else w
             if core and core != w and chr(core[-1]).isalpha():
                 parts[w] = (core.lower(), w[len(core) :])

@@ -34,7 +34,7 @@ def test_exact_groups_crowded_filter_is_still_exact(spark, bits):
 
 def test_every_repeated_hash_is_seen(spark):
     h = spark.range(5000).selectExpr("xxhash64(id % 4000) as print")
-    blocks = {r.block: r.words for r in exact_dedup._repeated_bits(h, 1 << 20).collect()}
+    blocks = {r.block: r.words for r in exact_dedup.filter_of(h, "print", 1 << 20, 2).collect()}
     first, second = exact_dedup.bit_positions(np.array([r[0] for r in spark.range(1000).selectExpr("xxhash64(id)").collect()]), 1 << 20)
     for at in np.concatenate((first, second)).tolist():
         assert blocks[at // 1024][at % 1024 // 64] >> (at % 64) & 1
@@ -100,8 +100,8 @@ def test_bpe_documents(spark):
 
 def test_token_files(spark):
     k = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    k.encode_special_tokens = True
-    rows = AWKWARD + [(100 + i, f"Some, words. here's  {i} Ünïcode İstanbul Σας ﬁ éa no-op,,. A.B.") for i in range(50)]
+    special = ["<|endoftext|>", "a <|startoftext|> b", "<|ENDOFTEXT|>", "x<|endoftext|>y.", "<|endoftext|>,", "<|endoftext", "é<|StartOfText|> <|startoftext|><|endoftext|>"]
+    rows = AWKWARD + [(200 + i, t) for i, t in enumerate(special)] + [(100 + i, f"Some, words. here's  {i} Ünïcode İstanbul Σας ﬁ éa no-op,,. A.B.") for i in range(50)]
     folder, parts = token_files.write_token_files(docs(spark, rows), queries.WORD_BPE, 1)
     got = sorted(token_files.read_token_files(folder, parts).collect(), key=lambda r: r.start)
     start = 0
