@@ -28,6 +28,8 @@ import tiktoken
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
+from feedweave.llm.words import SLICE_BYTES, text_slices
+
 SURE_BORDER = re.compile(r"(?<!\s)[ \n\t]")
 LEAF_CHARS = 8192
 WINDOW_CHARS = 64  # first window of a join; doubled until the tokens stabilise
@@ -154,8 +156,8 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, text: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = TreeEncoder(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for a, b in text_slices(batch.column(len(keep)), SLICE_BYTES):
+                part = batch.slice(a, b - a)
                 ids = [tree.encode(t or "") for t in part.column(len(keep)).to_pylist()]
                 columns = [*part.columns[: len(keep)], pa.array(ids, pa.list_(pa.int32())), pa.array([tree.decode(i) for i in ids], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, "ids", "decoded"])
@@ -163,9 +165,6 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, text: str = "text"
     return docs.select(*keep, text).mapInArrow(run, schema)
 
 
-ROWS = 256  # rows of a batch that are worked on at once
-
-
 def digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: the digests of encode_documents, without moving the ids out of the task."""
 
