@@ -1,5 +1,6 @@
 import math
 import re
+import time
 from html import unescape
 
 from feedweave.llm import site_tree as st
@@ -32,10 +33,34 @@ def test_unnamed_boilerplate_goes_by_entropy(spark):
         assert got[i] == f"{own}\nText & more {own}\nend"
 
 
-def test_small_hosts_are_judged_by_the_common_tree(spark):
-    page = lambda k: f"<body><div class=top>Menu</div><main><p>unique {k}</p></main></body>"
+def test_hosts_of_one_page_keep_all_but_noise_by_role(spark):
+    """Whatever else the table holds."""
+    page = lambda k: f"<body><div class=top>Menu</div><nav>links</nav><main><p>unique {k}</p></main></body>"
     rows = [(k, f"http://h{k}.example/", page(k)) for k in range(30)]
-    assert texts(spark, rows) == {k: f"unique {k}" for k in range(30)}
+    assert texts(spark, rows) == {k: f"Menu\nunique {k}" for k in range(30)}
+    assert texts(spark, rows[:1]) == {0: "Menu\nunique 0"}
+
+
+def test_names_of_the_frame_and_of_what_holds_the_article(spark):
+    """A name with a noise word in it removes no page."""
+    blocks = lambda s: [t for _, t in st.Page(s).blocks]
+    frames = [
+        "<body class='home no-sidebar'><p>{}</p></body>", "<body class=sidebar><p>{}</p></body>", "<div class='content has-comments'><p>{}</p></div>",
+        "<main class='with-menu'><p>{}</p></main>", "<article class='post related-tag-news'><p>{}</p></article>",
+        "<div class=page-with-ads><div class=widget-area><article><p>{}</p></article></div></div>", "<div class=menu><main><p>{}</p></main></div>",
+    ]
+    assert all(blocks(f.format("story")) == ["story"] for f in frames)
+    assert blocks("<div class=comments><article class=comment-body>rude</article></div><div class=site-footer>f</div><div id=cookie-notice>c</div>ok") == ["ok"]
+    assert blocks("<div class=widget-area>before<article><p>story</article>after</div>") == ["before", "story", "after"]
+    rows = [(k, f"http://theme.example/{k}", frames[0].format(f"story {k}")) for k in range(60)]
+    assert texts(spark, rows) == {k: f"story {k}" for k in range(60)}
+
+
+def test_hostile_pages_take_linear_time():
+    for part in ('<p "', "<div>", "<li>", "<ul><li>", "<p '>", "<!", "<!-- ", "</div>", "<table><tr><td>", "<div class='a-b' \"", "<td>"):
+        start = time.perf_counter()
+        st.Page(part * (1_000_000 // len(part)))
+        assert time.perf_counter() - start < 5, part
 
 
 def test_importance_is_the_entropy_of_the_paper(spark):
