@@ -44,7 +44,7 @@ DENSE_PAIRS = SIDE * SIDE // 64
 OPEN_TILES = 32  # dense tiles that a task holds, 2 MB each
 #: Bits of the table of frequent phrases (8 MB); beyond some 100 million phrases it rules out few, and changes nothing else.
 FILTER_BITS = 1 << 26
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 UNKNOWN_LANG = "und"
 
 
@@ -55,7 +55,7 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     separator = _IS_SEPARATOR[data]
     edges = np.flatnonzero(np.diff(separator, prepend=True))
     starts, ends = edges[0::2], edges[1::2]
-    piece = np.cumsum(_IS_BREAK[data])[starts]
+    piece = np.searchsorted(np.flatnonzero(_IS_BREAK[data]), starts)
     offsets = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64)
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[~separator])])
     coded = words.dictionary_encode()
@@ -187,7 +187,8 @@ def count_longer(docs: DataFrame, known: list[Known], size: int) -> DataFrame:
         yield from dense()
 
     parts = docs.select("lang", "text").mapInArrow(run, "lang string, phrase string, times long")
-    return parts.groupBy("lang", "phrase").agg(F.sum("times").alias("times"))
+    # Each slice has summed up its own pairs, and most of a task's are seen once: they are moved as they come.
+    return parts.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("times").alias("times"))
 
 
 def _starts(good: np.ndarray, piece: np.ndarray, k: int) -> np.ndarray:
