@@ -1,10 +1,9 @@
-"""URL columns: canonical form, keys, covers. JVM-side except relative resolution."""
+"""URL columns: canonical form, keys, covers, relative resolution."""
 
 from __future__ import annotations
 
 from urllib.parse import urljoin
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -126,18 +125,55 @@ def join_http(base: str | None, raw: str | None) -> str | None:
     return url if "/" in rest or "?" in rest or "#" in rest else url + "/"
 
 
-@F.pandas_udf(StringType())
-def _resolve(raw: pd.Series, first: pd.Series, second: pd.Series) -> pd.Series:
-    return pd.Series(
-        [join_http(None, r) or join_http(a, r) or join_http(b, r) for r, a, b in zip(raw, first, second)],
-        dtype="object",
-    )
+#: Any address: scheme, host part, path, query, fragment.
+REFERENCE = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+
+
+def _http_or_null(c: Column) -> Column:
+    """The address if it is http(s) with something after `//`; a bare host gets its `/`."""
+    rest = F.regexp_extract(c, r"(?is)^https?://(.+)$", 1)
+    return F.when(rest == "", F.lit(None).cast("string")).when(rest.rlike(r"[/?#]"), c).otherwise(F.concat(c, F.lit("/")))
+
+
+def _without_dots(segments: Column) -> Column:
+    """Path segments with `.` left out and each `..` taking back the one before it: an array folded as a stack."""
+    last = F.element_at(segments, -1)
+
+    def step(stack: Column, segment: Column) -> Column:
+        back = F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))
+        return F.when(segment == "..", back).when(segment == ".", stack).otherwise(F.concat(stack, F.array(segment)))
+
+    done = F.aggregate(segments, F.array().cast("array<string>"), step)
+    return F.when(last.isin(".", ".."), F.concat(done, F.array(F.lit("")))).otherwise(done)
+
+
+def _joined(base: Column, ref: Column) -> Column:
+    """`ref` seen from `base` (RFC 3986, 5.2), before it is asked whether the result is http(s)."""
+    of = lambda c: [F.regexp_extract(c, REFERENCE, k) for k in range(1, 6)]
+    scheme, host, path, query, fragment = of(ref)
+    base_scheme, base_host, base_path, base_query, _ = of(base)
+    other = (scheme != "") & (F.lower(scheme) != F.lower(base_scheme))
+    folder = F.split(base_path, "/")
+    folder = F.when(F.element_at(folder, -1) == "", folder).otherwise(F.slice(folder, F.lit(1), F.size(folder) - 1))
+    both = F.concat(folder, F.split(path, "/"))
+    # Where two paths meet, doubled slashes in the middle are one.
+    met = F.filter(both, lambda s, i: (s != "") | (i == 0) | (i == F.size(both) - 1))
+    merged = F.array_join(_without_dots(F.when(path.startswith("/"), F.split(path, "/")).otherwise(met)), "/")
+    whole = F.when(path == "", base_path).when(merged == "", F.lit("/")).otherwise(merged)
+    with_host = F.when(host != "", path).otherwise(whole)
+    slash = F.when((with_host != "") & ~with_host.startswith("/"), F.concat(F.lit("/"), with_host)).otherwise(with_host)
+    asked = F.when((host == "") & (path == "") & (query == ""), base_query).otherwise(query)
+    tail = F.concat(F.when(asked != "", F.concat(F.lit("?"), asked)).otherwise(F.lit("")), F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(F.lit("")))
+    return F.when(other, ref).otherwise(F.concat(F.lower(base_scheme), F.lit("://"), F.when(host != "", host).otherwise(base_host), slash, tail))
 
 
 def absolute_url(c: Column, first_base: Column, second_base: Column | None = None) -> Column:
-    """Joined in Arrow batches: the address itself if absolute, else against the first base that gives one."""
-    second = F.lit(None).cast("string") if second_base is None else second_base
-    return _resolve(c, first_base, second)
+    """The address itself if it is absolute, else seen from the first base that makes it an http(s) address; null if none does."""
+    text = trim_ws(c)
+    given = lambda b: F.coalesce(trim_ws(b), F.lit(""))
+    seen = lambda b: _http_or_null(F.when(given(b) == "", text).otherwise(_joined(given(b), text)))
+    found = [_http_or_null(text), seen(first_base)] + ([] if second_base is None else [seen(second_base)])
+    return F.when(F.coalesce(text, F.lit("")) != "", F.when(~text.startswith("data:"), F.coalesce(*found)))
 
 
 def best_srcset(c: Column) -> Column:

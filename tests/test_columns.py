@@ -1,6 +1,8 @@
 """Literal expectations of the column functions."""
 
 import datetime
+import random
+from urllib.parse import urljoin
 
 import pytest
 from pyspark.sql import functions as F
@@ -142,3 +144,30 @@ def test_resolve_cover(spark):
 def test_settings_clamp():
     s = config.Settings.from_mapping({"days": "7", "drop_ratio": "2", "history_max": "-1", "enrich_max": "x", "stale_hours": "12.9"})
     assert (s.days, s.drop_ratio, s.history_max, s.enrich_max, s.stale_hours) == (7, 0.15, 0, 0, 12)
+
+
+def test_absolute_url_equals_urljoin(spark):
+    """10,000 pairs of addresses and references, put together from parts."""
+    rnd = random.Random(3)
+    part = lambda: rnd.choice(["a", "b c", "..", ".", "", "x.y", "ü", "c;d=1", "~e"])
+    path = lambda: "/".join(part() for _ in range(rnd.randint(0, 5)))
+    tail = lambda: rnd.choice(["", "", "?q=1&r=/..", "#f", "?#", "?a#b?c"])
+    base = lambda: rnd.choice(["http", "https", "HTTPS"]) + "://" + rnd.choice(["h.example", "H.example:80", "u@h"]) + rnd.choice(["", "/" + path()]) + tail()
+    ref = lambda: rnd.choice([path, path, lambda: "/" + path(), lambda: "//o.example/" + path(), base, lambda: "mailto:x", lambda: "ftp://f/" + path(), lambda: "data:image/gif,x", lambda: " "])() + tail()
+    rows = []
+    while len(rows) < 10_000:
+        b, r = base(), ref()
+        if not r.startswith("///"):  # an empty host
+            rows.append((len(rows), b, r))
+
+    def plain(b, r):
+        r = r.strip()
+        for url in ([] if not r or r.startswith("data:") else [r, urljoin(b, r)]):
+            scheme, sep, rest = url.partition("://")
+            if sep and scheme.lower() in ("http", "https") and rest:
+                return url if any(c in rest for c in "/?#") else url + "/"
+        return None
+
+    got = {r.i: r.u for r in spark.createDataFrame(rows, "i int, b string, r string").select("i", urls.absolute_url(F.col("r"), F.col("b")).alias("u")).collect()}
+    wrong = [(b, r, got[i], plain(b, r)) for i, b, r in rows if got[i] != plain(b, r)]
+    assert not wrong, wrong[:5]
