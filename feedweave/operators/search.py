@@ -12,6 +12,7 @@ from feedweave.functions import dates, scores
 from feedweave.functions.dates import HOUR_MS
 from feedweave.functions.text import WS, category_alias, normalize_text, trim_ws
 from feedweave.operators import boards
+from feedweave.session import checkpoint
 
 
 @dataclass(frozen=True)
@@ -211,30 +212,90 @@ def _pieces(c: Column | str, sizes: tuple[int, ...]) -> Column:
     return F.array_distinct(F.flatten(F.array(*(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes))))
 
 
-def match_words(index: DataFrame, words: DataFrame) -> DataFrame:
-    """Postings (word, id): which distinct words occur in which haystacks, whoever asked for them.
+def _tokens(index: DataFrame) -> DataFrame:
+    """(id, token): the distinct words of each haystack."""
+    return index.filter(F.col("hay") != "").select("id", F.explode(F.array_distinct(F.split("hay", " "))).alias("token"))
+
 
-    A word without blanks occurs in a haystack if it occurs in one of its tokens. So the distinct tokens of all
-    haystacks are searched, by the rarest trigram of the word (or the word itself if shorter), and lead to the ids.
-    A phrase is sought by its longest part, and its candidates are checked on the text.
+def _tokens_with(parts: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(part, token): the distinct tokens that each of `parts` (texts without blanks) occurs in.
+
+    A part is sought by its rarest trigram, or by itself if it is shorter, in the distinct tokens of all haystacks.
     """
-    norm = words.select(normalize_text(F.col("word")).alias("word")).filter(F.col("word") != "").distinct()
-    longest = F.array_max(F.transform(F.split("word", " "), lambda p: F.struct(F.length(p).alias("n"), p.alias("part"))))["part"]
-    norm = norm.select("word", longest.alias("part"))
-    tokens = index.filter(F.col("hay") != "").select("id", F.explode(F.array_distinct(F.split("hay", " "))).alias("token"))
     of_part = F.when(F.length("part") >= 3, _pieces("part", (3,))).otherwise(F.array("part"))
-    pieces = norm.select("part").distinct().select("part", F.explode(of_part).alias("piece"))
+    pieces = parts.select("part").distinct().select("part", F.explode(of_part).alias("piece"))
     seen = tokens.select("token").distinct().select("token", F.explode(_pieces("token", (1, 2, 3))).alias("piece"))
     held = seen.join(pieces.select("piece").distinct(), "piece", "left_semi")
     counts = held.groupBy("piece").agg(F.count(F.lit(1)).alias("tokens"))
-    # Of pieces that no token holds there is no count; their words end without a hit when the token is checked.
+    # Of pieces that no token holds there is no count; their parts end without a hit when the token is checked.
     anchors = pieces.join(counts, "piece").groupBy("part").agg(F.min(F.struct("tokens", "piece"))["piece"].alias("piece"))
-    hits = held.join(anchors, "piece").filter(F.col("token").contains(F.col("part"))).select("part", "token")
+    return held.join(anchors, "piece").filter(F.col("token").contains(F.col("part"))).select("part", "token")
+
+
+def _longest_part(word: Column) -> Column:
+    return F.array_max(F.transform(F.split(word, " "), lambda p: F.struct(F.length(p).alias("n"), p.alias("part"))))["part"]
+
+
+def match_words(index: DataFrame, words: DataFrame) -> DataFrame:
+    """Postings (word, id): which distinct words occur in which haystacks, whoever asked for them.
+
+    A word without blanks occurs in a haystack if it occurs in one of its tokens, so tokens lead to the ids. A
+    phrase is sought by its longest part, and its candidates are checked on the text.
+    """
+    norm = words.select(normalize_text(F.col("word")).alias("word")).filter(F.col("word") != "").distinct()
+    norm = norm.select("word", _longest_part(F.col("word")).alias("part"))
+    tokens = _tokens(index)
+    hits = _tokens_with(norm, tokens)
     found = norm.join(tokens.join(hits, "token").select("part", "id").distinct(), "part")
     phrases = index.select("id", "hay").join(found.filter("word <> part"), "id").filter(F.col("hay").contains(F.col("word")))
     return found.filter("word = part").select("word", "id").unionByName(phrases.select("word", "id"))
 
 
+SALTS = 64  # tasks that share the items for queries that ask for no word and no category
+
+
+def search_many(index: DataFrame, queries: DataFrame, reads: DataFrame | None = None, now: Column | None = None, fresh_hours: float = 6) -> DataFrame:
+    """(query_id, id): the items that each parsed query (parse_query_table) finds, all queries in one job.
+
+    The queries are the index: each stands under its rarest required word, the one whose tokens are found in the fewest
+    items, and items meet queries only there. What is left of a query is checked on the items met. A query that
+    asks for no word stands under its categories; one that asks for neither meets every item, as nearly all are its result.
+    reads: what the reader of all these queries has read.
+    """
+    stored = checkpoint(index)
+    tokens = checkpoint(_tokens(stored))
+    asked = checkpoint(queries)
+    terms = asked.select("query_id", F.explode(F.array_distinct("text")).alias("term")).select("query_id", "term", _longest_part(F.col("term")).alias("part"))
+    hits = checkpoint(_tokens_with(terms, tokens))
+    items = hits.join(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("items")), "token").groupBy("part").agg(F.sum("items").alias("items"))
+    # A query with a word that no token holds finds nothing, and meets nothing as its count is 0 there.
+    rarest = terms.join(items, "part", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("items", F.lit(0)).alias("items"), "part")).alias("r"))
+    under = rarest.filter("r.items > 0").select("query_id", F.col("r.part").alias("part"))
+    postings = tokens.join(hits.join(under.select("part").distinct(), "part", "left_semi"), "token").select("part", "id").distinct()
+    by_word = under.join(postings, "part").select("query_id", "id")
+    wordless = asked.filter(F.size("text") == 0)
+    by_category = wordless.select("query_id", F.explode("categories").alias("category")).distinct().join(stored.select("id", "category"), "category").select("query_id", "id")
+    rest = wordless.filter(F.size("categories") == 0).select("query_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    everywhere = rest.join(stored.select("id", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")), "salt").select("query_id", "id")
+    met = by_word.unionByName(by_category).unionByName(everywhere).join(asked, "query_id")
+    rows = mark_read(stored.select("id", "hay", F.col("tags").alias("item_tags"), "source_name", "source_id_norm", "category", "published_ms"), reads)
+    age = F.unix_millis(F.lit(None).cast("timestamp") if now is None else now) - F.col("published_ms")
+    fresh = F.coalesce((age >= 0) & (age < int(fresh_hours * HOUR_MS)), F.lit(False))
+    in_hay = lambda w: F.col("hay").contains(w)
+    in_tags = lambda w: F.exists("item_tags", lambda t: t.contains(w))
+    in_source = lambda w: F.col("source_name").contains(w) | F.col("source_id_norm").contains(w)
+    asks = lambda flag, value: F.coalesce(F.col(flag) == value, F.lit(True))
+    checks = [
+        F.forall("text", in_hay), ~F.exists("not_text", in_hay), F.forall("tags", in_tags), ~F.exists("not_tags", in_tags),
+        F.forall("sources", in_source), ~F.exists("not_sources", in_source),
+        (F.size("categories") == 0) | F.array_contains("categories", F.col("category")), ~F.array_contains("not_categories", F.col("category")),
+        F.col("after_ms").isNull() | F.coalesce(F.col("published_ms") >= F.col("after_ms"), F.lit(False)),
+        F.col("before_ms").isNull() | F.coalesce(F.col("published_ms") <= F.col("before_ms"), F.lit(False)),
+        asks("is_read", F.col("seen")), asks("is_unread", ~F.col("seen")), asks("is_fresh", fresh),
+    ]
+    return met.join(rows.withColumnRenamed("is_read", "seen"), "id").filter(_every(checks)).select("query_id", "id")
+
+
 TOKEN = rf"\"[^\"]+\"|'[^']+'|[^{WS[1:-1]}]+"
 
 

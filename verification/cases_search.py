@@ -199,6 +199,29 @@ def _(spark, sf):
     return parsed.select("query_id", *[F.array_join(c, "|").alias(c) for c in lists], "after_ms", "before_ms", "is_read", "is_unread", "is_fresh")
 
 
+def _of(name: str) -> str:
+    return f"list_filter(string_split({name}, '|'), lambda w: w <> '')"
+
+
+def _some(name: str, test: str) -> str:
+    return f"len(list_filter({_of(name)}, lambda w: {test})) > 0"
+
+
+IN_TAGS, IN_SOURCE = "len(list_filter(i.tags, lambda t: contains(t, w))) > 0", "(contains(source_name, w) OR contains(source_id_norm, w))"
+
+
+@case("search_many", with_ctes(POSTS, INDEX, PARSED, body=f"""
+SELECT query_id, id FROM (SELECT *, CASE WHEN seen = 'read' THEN NOT seen_neg WHEN seen_neg THEN true END AS is_read,
+  CASE WHEN seen = 'read' THEN CASE WHEN seen_neg THEN true END ELSE NOT seen_neg END AS is_unread, NOT fresh_neg AS is_fresh FROM flags_fx) q
+  JOIN (SELECT *, epoch_ms(TIMESTAMP '{NOW}') - published_ms BETWEEN 0 AND 6 * 3600000 - 1 AS fresh FROM index_fx) i
+  ON NOT {_some("q.text", "NOT contains(hay, w)")} AND NOT {_some("q.not_text", "contains(hay, w)")} AND NOT {_some("q.tags", "NOT (" + IN_TAGS + ")")} AND NOT {_some("q.not_tags", IN_TAGS)}
+  AND NOT {_some("q.sources", "NOT " + IN_SOURCE)} AND NOT {_some("q.not_sources", IN_SOURCE)} AND (q.categories = '' OR {_some("q.categories", "w = i.category")}) AND NOT {_some("q.not_categories", "w = i.category")}
+  AND (after_ms IS NULL OR published_ms >= after_ms) AND (before_ms IS NULL OR published_ms <= before_ms)
+  AND coalesce(NOT is_read, true) AND coalesce(is_unread, true) AND coalesce(is_fresh = fresh, true)"""))
+def _(spark, sf):
+    return s.search_many(index(spark, sf), s.parse_query_table(query_table(spark, sf)), now=a.now())
+
+
 @case("empty_result_suggestions", with_ctes(POSTS, body="""
 SELECT ord, preset, lens, sort FROM (SELECT 1 AS ord, 'is:unread' AS preset, CAST(NULL AS VARCHAR) AS lens, CAST(NULL AS VARCHAR) AS sort
 UNION ALL SELECT * FROM (SELECT 2, 'cat:' || category, NULL, NULL FROM posts_fx GROUP BY category ORDER BY count(*) DESC, list_position(['es', 'de', 'fr', 'en'], category) LIMIT 1)
