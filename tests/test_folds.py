@@ -76,6 +76,30 @@ def test_one_key_holds_all_rows_without_a_pause(spark):
         assert got == sorted(fold(ev, gap, lambda e: 0))
 
 
+def test_neighbouring_tables_compose(spark):
+    """One key, 16 pieces: every level equals the table of the joined pieces, and no group reads more than two tables."""
+    rnd = np.random.default_rng(2)
+    ms = np.unique(rnd.integers(0, 40_000, 1600))
+    for gap in (30, 700):
+        tables = {i: throttle.piece_exits(p, gap) for i, p in enumerate(np.array_split(ms, 16))}
+        begins = {i: int(p[0]) for i, p in enumerate(np.array_split(ms, 16))}
+        level = spark.createDataFrame([("k", i, begins[i], s, e) for i, t in tables.items() for s, e in t], "_k0 string, node long, begin long, start long, leave long")
+        for wide in (8, 4, 2):
+            most = max(r["count"] for r in level.groupBy("node").count().collect())
+            assert max(r["count"] for r in level.groupBy((F.col("node") / 2).cast("long")).count().collect()) <= 2 * most
+            level = throttle.compose_pairs(level, ["_k0"], gap)
+            found = {}
+            for r in level.collect():
+                found.setdefault(r.node, []).append((r.start, r.leave))
+            pieces = np.array_split(np.arange(16), wide)
+            for node, parts in enumerate(pieces):
+                joined = np.concatenate([np.array_split(ms, 16)[i] for i in parts])
+                for anchor in range(int(joined[0]) - gap, int(joined[0]), 7):
+                    want = throttle.kept_in_piece(joined, anchor, gap)
+                    leave = next((e for s, e in sorted(found[node]) if s >= anchor + gap), None)
+                    assert leave == (int(joined[want[-1]]) if len(want) else None)
+
+
 def test_collapse_repeated_errors(spark):
     rnd = random.Random(7)
     at, rows = 0, []
