@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedweave.functions.text import normalize_text
+from feedweave.functions.text import WS, normalize_text
 
 TEXTS = ("title", "title_zh", "title_ja", "summary", "summary_zh", "summary_ja", "preview", "preview_zh", "preview_ja")
 
@@ -44,19 +44,24 @@ def slim_search_posts(posts: DataFrame) -> DataFrame:
     )
 
 
+# A text that is more than white space and marks without width, so that something is left of it when it is normalized.
+SHOWS = rf"[^{WS[1:-1]}\u200b-\u200d]"
+
+
 def repair_rows(index: DataFrame) -> DataFrame:
     """Normalizes stored rows again and drops rows without id or haystack."""
-    rows = index.select(
-        "id", normalize_text(F.coalesce("hay", F.lit(""))).alias("hay"), _clean_tags(F.col("tags")).alias("tags"),
+    rows = index.filter((F.coalesce("id", F.lit("")) != "") & F.col("hay").rlike(SHOWS))
+    return rows.select(
+        "id", normalize_text(F.col("hay")).alias("hay"), _clean_tags(F.col("tags")).alias("tags"),
         normalize_text(F.coalesce("source_name", F.lit(""))).alias("source_name"),
         F.coalesce("source_id", F.lit("")).alias("source_id"),
         normalize_text(F.coalesce("source_id_norm", "source_id", F.lit(""))).alias("source_id_norm"),
         normalize_text(F.coalesce("category", F.lit(""))).alias("category"), "published_ms",
     )
-    return rows.filter((F.coalesce("id", F.lit("")) != "") & (F.col("hay") != ""))
 
 
 def repair_search_index(index: DataFrame, posts: DataFrame) -> DataFrame:
     """The repaired stored rows of the items, and fresh rows for the items that have none."""
-    repaired = repair_rows(index).join(posts.select("id"), "id", "left_semi")
-    return repaired.unionByName(build_search_index(posts.join(repaired.select("id"), "id", "left_anti")))
+    repaired = repair_rows(index)
+    fresh = build_search_index(posts.join(repaired.select("id"), "id", "left_anti"))  # of the stored rows only the ids are read
+    return repaired.join(posts.select("id"), "id", "left_semi").unionByName(fresh)

@@ -15,13 +15,17 @@ NOW = "2024-01-31 00:00:00"
 BEFORE = "2024-01-21 00:00:00"  # clock of the previous snapshot
 
 
+WHOLE_TEXTS = {"documents": "doc_id", "pages": "page_id"}  # tables of long texts, and what their rows are dealt by
+
+
 def now():
     return F.lit(NOW).cast("timestamp")
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A driver table."""
-    return prepare(spark).read.parquet(f"{sf}/{name}.parquet")
+    """A driver table. Whole texts are dealt to all cores: a file of one row group is read by one task, however heavy the work on its rows."""
+    rows = prepare(spark).read.parquet(f"{sf}/{name}.parquet")
+    return rows.repartition(F.col(WHOLE_TEXTS[name])) if name in WHOLE_TEXTS else rows
 
 
 def posts(spark: SparkSession, sf: str) -> DataFrame:

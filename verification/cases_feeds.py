@@ -64,7 +64,8 @@ def bodies(spark, sf):
         t, F.lit("</title><link>"), u, F.lit("</link><description>"), b, F.lit("</description><dc:date>"), iso, F.lit("</dc:date></item></rdf:RDF>"),
     )
     n = F.regexp_extract("source_id", r"(\d+)$", 1).cast("int")
-    return p.select("source_id", F.col("arrival").alias("body_no"), F.when(n < 7, rss).when(n < 13, atom).otherwise(rdf).alias("body"))
+    # Stands for the stored bodies: made once, on all cores, however often and with what filter they are read.
+    return checkpoint(p.select("source_id", F.col("arrival").alias("body_no"), F.when(n < 7, rss).when(n < 13, atom).otherwise(rdf).alias("body")))
 
 
 NUM = "CAST(regexp_extract(source_id, '([0-9]+)$', 1) AS INT)"

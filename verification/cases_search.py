@@ -40,13 +40,18 @@ def index(spark, sf):
     return search_index.build_search_index(a.posts(spark, sf))
 
 
+def stored_index(spark, sf):
+    """The stored search table: built once, on all cores, however often and with what filter it is read."""
+    return checkpoint(index(spark, sf))
+
+
 def reads(spark, sf):
     """What each user viewed."""
     return a.user_items(spark, sf, "view")
 
 
 def readers_rows(spark, sf):
-    i = index(spark, sf)
+    i = stored_index(spark, sf)
     marked = a.user_items(spark, sf, "click").withColumnRenamed("post_id", "id").join(i, "id")
     return i.withColumn("user_id", F.lit(None).cast("long")).unionByName(marked)
 
@@ -65,7 +70,7 @@ def _(spark, sf):
 
 @case("repair_search_index", with_ctes(POSTS, INDEX, body="SELECT id, hay, array_to_string(tags, '|') AS tags FROM index_fx"))
 def _(spark, sf):
-    stored = index(spark, sf).withColumn("hay", F.concat(F.lit("  "), F.replace("hay", F.lit(" "), F.lit(" \t ")), F.lit(" ")))
+    stored = stored_index(spark, sf).withColumn("hay", F.concat(F.lit("  "), F.replace("hay", F.lit(" "), F.lit(" \t ")), F.lit(" ")))
     return search_index.repair_search_index(stored, a.posts(spark, sf)).select("id", "hay", F.array_join("tags", "|").alias("tags"))
 
 
