@@ -251,49 +251,80 @@ def match_words(index: DataFrame, words: DataFrame) -> DataFrame:
     return found.filter("word = part").select("word", "id").unionByName(phrases.select("word", "id"))
 
 
-SALTS = 64  # tasks that share the items for queries that ask for no word and no category
+SLICE = 50_000  # rows of queries that are broadcast to the items at once, at most
+ASKERS = 1000  # queries of the same conditions that one row stands for, at most
+LISTS = tuple(p + k for k in ("text", "tags", "sources", "categories") for p in ("", "not_"))
+CONDITIONS = (*LISTS, "after_ms", "before_ms", "is_read", "is_unread", "is_fresh")
+
+
+def _asked_alike(queries: DataFrame) -> DataFrame:
+    """One row (ask, conditions, query_ids) for each ASKERS queries that ask for the same."""
+    place = F.row_number().over(Window.partitionBy(*CONDITIONS).orderBy("query_id"))
+    dealt = queries.select("query_id", *CONDITIONS, F.floor((place - 1) / ASKERS).alias("_part"))
+    alike = dealt.groupBy(*CONDITIONS, "_part").agg(F.collect_list("query_id").alias("query_ids"))
+    return alike.drop("_part").withColumn("ask", F.monotonically_increasing_id())
 
 
 def search_many(index: DataFrame, queries: DataFrame, reads: DataFrame | None = None, now: Column | None = None, fresh_hours: float = 6) -> DataFrame:
     """(query_id, id): the items that each parsed query (parse_query_table) finds, all queries in one job.
 
-    The queries are the index: each stands under its rarest required word, the one whose tokens are found in the fewest
-    items, and items meet queries only there. What is left of a query is checked on the items met. A query that
-    asks for no word stands under its categories; one that asks for neither meets every item, as nearly all are its result.
+    The queries are the index: those that ask for the same are one, and each stands at a place: its rarest required
+    word, the one whose tokens are found in the fewest items. A query that asks for no word stands at its categories, or at the
+    sources that hold its first source word; one that asks for none of these stands at one place for all items. An
+    item has the places that queries stand at, and meets queries only there. Queries are few and narrow beside the pairs,
+    so they go to the items, SLICE rows at a time in a broadcast of that fixed size: no pair is shuffled.
     reads: what the reader of all these queries has read.
     """
-    stored = checkpoint(index)
-    tokens = checkpoint(_tokens(stored))
-    asked = checkpoint(queries)
-    terms = asked.select("query_id", F.explode(F.array_distinct("text")).alias("term")).select("query_id", "term", _longest_part(F.col("term")).alias("part"))
+    stored = checkpoint(mark_read(index, reads).withColumnRenamed("is_read", "seen").withColumn("item", F.monotonically_increasing_id()))
+    asked = checkpoint(_asked_alike(queries))
+    tokens = _tokens(stored.select(F.col("item").alias("id"), "hay"))
+    terms = asked.select("ask", F.explode(F.array_distinct("text")).alias("term")).select("ask", "term", _longest_part(F.col("term")).alias("part"))
     hits = checkpoint(_tokens_with(terms, tokens))
     items = hits.join(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("items")), "token").groupBy("part").agg(F.sum("items").alias("items"))
     # A query with a word that no token holds finds nothing, and meets nothing as its count is 0 there.
-    rarest = terms.join(items, "part", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("items", F.lit(0)).alias("items"), "part")).alias("r"))
-    under = rarest.filter("r.items > 0").select("query_id", F.col("r.part").alias("part"))
-    postings = tokens.join(hits.join(under.select("part").distinct(), "part", "left_semi"), "token").select("part", "id").distinct()
-    by_word = under.join(postings, "part").select("query_id", "id")
+    rarest = terms.join(items, "part", "left").groupBy("ask").agg(F.min(F.struct(F.coalesce("items", F.lit(0)).alias("items"), "part")).alias("r"))
+    by_word = rarest.filter("r.items > 0").select("ask", F.concat(F.lit("w"), "r.part").alias("place"))
     wordless = asked.filter(F.size("text") == 0)
-    by_category = wordless.select("query_id", F.explode("categories").alias("category")).distinct().join(stored.select("id", "category"), "category").select("query_id", "id")
-    rest = wordless.filter(F.size("categories") == 0).select("query_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    everywhere = rest.join(stored.select("id", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")), "salt").select("query_id", "id")
-    met = by_word.unionByName(by_category).unionByName(everywhere).join(asked, "query_id")
-    rows = mark_read(stored.select("id", "hay", F.col("tags").alias("item_tags"), "source_name", "source_id_norm", "category", "published_ms"), reads)
+    by_category = wordless.filter(F.size("categories") > 0).select("ask", F.explode(F.transform(F.array_distinct("categories"), lambda c: F.concat(F.lit("c"), c))).alias("place"))
+    rest = wordless.filter(F.size("categories") == 0)
+    source = F.concat_ws("\n", "source_name", "source_id_norm")
+    sought = rest.filter(F.size("sources") > 0).select("ask", F.get("sources", F.lit(0)).alias("part"))
+    # Names of sources are matched as tokens are: by pieces of the word.
+    holding = _tokens_with(sought.select(F.explode(F.split("part", " ")).alias("part")).filter("part <> ''"), stored.select(source.alias("token")).distinct())
+    by_source = sought.withColumn("whole", F.col("part")).withColumn("part", _longest_part(F.col("whole"))).join(holding, "part")
+    by_source = by_source.filter(F.col("token").contains(F.col("whole"))).select("ask", F.concat(F.lit("s"), "token").alias("place"))
+    everywhere = rest.filter(F.size("sources") == 0).select("ask", F.lit("e").alias("place"))
+    placed = by_word.unionByName(by_category).unionByName(by_source).unionByName(everywhere).join(asked, "ask")
+    # A word without blanks that a query stands at is known to be in the text.
+    placed = placed.withColumn("text", F.filter("text", lambda w: F.concat(F.lit("w"), w) != F.col("place")))
+    placed = checkpoint(placed)
+    slices = -(-placed.count() // SLICE) or 1
+    placed = placed.withColumn("slice", F.pmod(F.xxhash64("ask", "place"), F.lit(slices)))
+
+    of_words = placed.select(F.substring("place", 2, 1 << 30).alias("part")).filter(F.startswith("place", F.lit("w"))).distinct()
+    held = tokens.join(hits.join(of_words, "part", "left_semi"), "token").groupBy("id").agg(F.collect_set(F.concat(F.lit("w"), "part")).alias("words"))
     age = F.unix_millis(F.lit(None).cast("timestamp") if now is None else now) - F.col("published_ms")
     fresh = F.coalesce((age >= 0) & (age < int(fresh_hours * HOUR_MS)), F.lit(False))
+    rows = stored.join(held.withColumnRenamed("id", "item"), "item", "left").select(
+        "id", "hay", F.col("tags").alias("item_tags"), "source_name", "source_id_norm", "category", "published_ms", "seen", fresh.alias("fresh"),
+        F.explode(F.concat(
+            F.coalesce("words", F.array().cast("array<string>")), F.array(F.concat(F.lit("c"), F.coalesce("category", F.lit(""))), F.concat(F.lit("s"), source), F.lit("e"))
+        )).alias("place"),
+    )
     in_hay = lambda w: F.col("hay").contains(w)
     in_tags = lambda w: F.exists("item_tags", lambda t: t.contains(w))
     in_source = lambda w: F.col("source_name").contains(w) | F.col("source_id_norm").contains(w)
     asks = lambda flag, value: F.coalesce(F.col(flag) == value, F.lit(True))
     checks = [
-        F.forall("text", in_hay), ~F.exists("not_text", in_hay), F.forall("tags", in_tags), ~F.exists("not_tags", in_tags),
-        F.forall("sources", in_source), ~F.exists("not_sources", in_source),
-        (F.size("categories") == 0) | F.array_contains("categories", F.col("category")), ~F.array_contains("not_categories", F.col("category")),
         F.col("after_ms").isNull() | F.coalesce(F.col("published_ms") >= F.col("after_ms"), F.lit(False)),
         F.col("before_ms").isNull() | F.coalesce(F.col("published_ms") <= F.col("before_ms"), F.lit(False)),
-        asks("is_read", F.col("seen")), asks("is_unread", ~F.col("seen")), asks("is_fresh", fresh),
+        asks("is_read", F.col("seen")), asks("is_unread", ~F.col("seen")), asks("is_fresh", F.col("fresh")),
+        (F.size("categories") == 0) | F.array_contains("categories", F.col("category")), ~F.array_contains("not_categories", F.col("category")),
+        F.forall("tags", in_tags), ~F.exists("not_tags", in_tags), F.forall("sources", in_source), ~F.exists("not_sources", in_source),
+        F.forall("text", in_hay), ~F.exists("not_text", in_hay),
     ]
-    return met.join(rows.withColumnRenamed("is_read", "seen"), "id").filter(_every(checks)).select("query_id", "id")
+    found = [rows.join(F.broadcast(placed.filter(F.col("slice") == k)), "place").filter(_every(checks)).select(F.explode("query_ids").alias("query_id"), "id") for k in range(slices)]
+    return reduce(DataFrame.unionByName, found)
 
 
 TOKEN = rf"\"[^\"]+\"|'[^']+'|[^{WS[1:-1]}]+"

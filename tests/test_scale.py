@@ -1,7 +1,9 @@
 """What has to stay small or spread out when the tables grow."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
+from feedweave.operators import page_parse
 from feedweave.operators import search as s
 from feedweave.sources import search_index
 from verification import adapters as a
@@ -39,5 +41,15 @@ def test_queries_that_ask_for_the_same_are_one(spark):
     assert s._asked_alike(queries).count() == 3 + 5
     rows = [("i1", "an apple pie", ["x"], "one", "1", "one", "fruit", 0), ("i2", "pear and apple", [], "two", "2", "two", "fruit", 0), ("i3", "", [], "one", "1", "one", "none", 0)]
     index = spark.createDataFrame(rows, "id string, hay string, tags array<string>, source_name string, source_id string, source_id_norm string, category string, published_ms long")
-    got = {(r.query_id, r.id) for r in s.search_many(index, queries).collect()}
+    found = s.search_many(index, queries)
+    got = {(r.query_id, r.id) for r in found.collect()}
     assert got == {(q, "i1") for q in range(2 * s.ASKERS + 5)} | {(-1, "i1"), (-2, "i1"), (-2, "i3"), (-3, "i3"), (-5, "i1"), (-5, "i2")}
+    assert "Join Inner, (item" not in found._jdf.queryExecution().optimizedPlan().toString()  # no pair goes to its item by a shuffle
+
+
+def test_pages_are_parsed_a_few_at_a_time():
+    n = 3 * page_parse.PAGES + 1
+    pages = pd.DataFrame({"page_id": range(n), "url": "https://a.example/", "html": [f"<p>page {i}" for i in range(n)]})
+    parts = list(page_parse.describe_pages(iter([pages]), "page_id", ("text",)))
+    assert [len(p) for p in parts] == [page_parse.PAGES] * 3 + [1]
+    assert list(pd.concat(parts)["text"]) == [f"page {i}" for i in range(n)]
