@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import ArrayType, DataType, IntegralType, StructField, StructType, TimestampType
 
 from feedweave.config import Settings
 from feedweave.functions import scores
@@ -109,30 +110,62 @@ def throttle_stream(stream: DataFrame, keys: list[str], folder: str, gap_ms: int
 
 
 class _Recent(StatefulProcessor):
-    """Holds the newest n events of a store, and gives the list anew whenever it has changed."""
+    """Holds the newest n events of each store, and gives its list anew whenever it has changed.
 
-    def __init__(self, n: int, schema):
+    The stores of a bucket are one group: a batch costs one call for all of them, and each changed store one read and one write.
+    """
+
+    ROWS = 100_000  # rows of lists that are given out at once, about
+
+    def __init__(self, n: int, schema: StructType):
         self.n, self.schema = n, schema
+        self.at, self.event_id = (schema.names.index(c) for c in ("at", "event_id"))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.newest = handle.getListState("newest", self.schema)
+        self.newest = handle.getMapState("newest", "key string", StructType([StructField("rows", ArrayType(self.schema))]))
+
+    def _order(self, row: tuple) -> tuple:
+        known = row[self.event_id] is not None
+        return row[self.at], known, row[self.event_id] if known else 0
+
+    def _values(self, column: pd.Series, kind: DataType) -> list:
+        made = int if isinstance(kind, IntegralType) else pd.Timestamp.to_pydatetime if isinstance(kind, TimestampType) else lambda v: v
+        return [made(v) if known else None for v, known in zip(column, column.notna())]
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=self.schema.names, dtype="object")
+        return out.assign(**{f.name: pd.to_datetime(out[f.name]) for f in self.schema if isinstance(f.dataType, TimestampType)})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows))[self.schema.names]
-        held = pd.DataFrame([tuple(r) for r in self.newest.get()], columns=batch.columns) if self.newest.exists() else batch.iloc[:0]
-        both = pd.concat([held, batch]) if len(held) else batch
-        both = both.sort_values(["at", "event_id"], ascending=False).head(self.n)
-        self.newest.put([tuple(None if pd.isna(v) else v.to_pydatetime() if isinstance(v, pd.Timestamp) else v for v in r) for r in both.itertuples(index=False)])
-        yield both
+        fresh: dict[str, list[tuple]] = {}
+        for part in rows:
+            columns = [self._values(part[f.name], f.dataType) for f in self.schema]
+            for name, *row in zip(part["state_key"], *columns):
+                fresh.setdefault(name, []).append(tuple(row))
+        lists: list[tuple] = []
+        for name, new in fresh.items():
+            held = self.newest.getValue((name,)) if self.newest.containsKey((name,)) else ([],)
+            newest = sorted(new + [tuple(r) for r in held[0]], key=self._order, reverse=True)[: self.n]
+            self.newest.updateValue((name,), (newest,))
+            lists += newest
+            if len(lists) >= self.ROWS:
+                yield self._frame(lists)
+                lists = []
+        if lists:
+            yield self._frame(lists)
 
     def close(self) -> None:
         pass
 
 
-def recent_stream(stream: DataFrame, store: list[str], folder: str, n: int = 800) -> None:
-    """Keeps the newest n events of each store; each batch writes the lists that it changed to <folder>/recent."""
-    keyed = stream.filter("at is not null").withColumn("state_key", _key(store))
-    lists = keyed.groupBy("state_key").transformWithStateInPandas(_Recent(n, stream.schema), outputStructType=stream.schema, outputMode="Update", timeMode="None")
+def recent_stream(stream: DataFrame, store: list[str], folder: str, n: int = 800, buckets: int = 256) -> None:
+    """Keeps the newest n events of each store; each batch writes the lists that it changed to <folder>/recent.
+
+    Stores are dealt to `buckets` groups of state.
+    """
+    bucket = F.pmod(F.xxhash64("state_key"), F.lit(buckets)).alias("state_bucket")
+    keyed = stream.filter("at is not null").withColumn("state_key", _key(store)).select("*", bucket)
+    lists = keyed.groupBy("state_bucket").transformWithStateInPandas(_Recent(n, stream.schema), outputStructType=stream.schema, outputMode="Update", timeMode="None")
     with _rocks(stream.sparkSession):
         run_available(lists, folder, lambda batch, number: emit(batch, folder, "recent", number), "Update")
 

@@ -3,9 +3,12 @@
 import datetime
 import os
 import tempfile
+import types
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from feedweave.config import Settings
 from feedweave.operators import events, throttle
@@ -75,6 +78,40 @@ def test_recent_stream_equals_batch(spark):
     assert sorted(map(repr, jobs.recent_lists(spark, out, ["session"]).collect())) == sorted(map(repr, events.recent_events(t, ["session"], 4).collect()))
 
 
+class Held(dict):
+    """A map of state; counts what is read and written."""
+
+    asked = 0
+
+    def containsKey(self, key):
+        return key in self
+
+    def getValue(self, key):
+        self.asked += 1
+        return self[key]
+
+    def updateValue(self, key, value):
+        self.asked += 1
+        self[key] = value
+
+
+def test_recent_lists_of_a_bucket_are_one_group():
+    """One call for all stores of a bucket, and one read and write for each store of the batch; values stay as they are."""
+    schema = StructType.fromDDL("event_id bigint, at timestamp, session bigint, value double")
+    held, big, at = Held(), 2**60 + 1, lambda s: datetime.datetime(2026, 1, 1, 0, 0, s)
+    keeper = jobs._Recent(2, schema)
+    keeper.init(types.SimpleNamespace(getMapState=lambda *_: held))
+
+    def batch(*rows):
+        made = pd.DataFrame([(*r, str(r[2])) for r in rows], columns=[*schema.names, "state_key"]).astype({"at": "datetime64[us]"})
+        return {tuple(None if pd.isna(v) else v for v in r) for part in keeper.handleInputRows((0,), iter([made[:2], made[2:]]), None) for r in part.itertuples(index=False)}
+
+    assert batch((1, at(5), 1, 0.5), (2, at(1), 1, 0.5), (3, at(9), 1, 0.5), (big, at(2), 2, None)) == {(3, at(9), 1, 0.5), (1, at(5), 1, 0.5), (big, at(2), 2, None)}
+    assert held.asked == 2
+    assert batch((4, at(7), 1, None), (5, at(2), 3, 1.0)) == {(3, at(9), 1, 0.5), (4, at(7), 1, None), (5, at(2), 3, 1.0)}
+    assert held.asked == 2 + 3 and len(held) == 3
+
+
 def test_vitals_stream_gives_closed_visits(spark):
     e, out, idle = entries(spark, SF), folder(), 48 * HOUR
     jobs.vitals_stream(as_stream(spark, e, "at", 3), out, idle_ms=idle, delay_ms=0, sample_gap_ms=HOUR)
