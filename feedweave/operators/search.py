@@ -207,9 +207,13 @@ def search_facets(found: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def _pieces(c: Column | str, sizes: tuple[int, ...]) -> Column:
-    """The distinct pieces of a text of these lengths."""
-    return F.array_distinct(F.flatten(F.array(*(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes))))
+WINDOW = 3
+
+
+def _windows(c: str) -> Column:
+    """The distinct pieces of WINDOW characters of a text, from each of its characters on; those at the end are shorter."""
+    starts = F.sequence(F.lit(1), F.length(c))
+    return F.array_distinct(F.when(F.length(c) > 0, F.transform(starts, lambda i: F.substring(F.col(c), i, F.lit(WINDOW)))))
 
 
 def _tokens(index: DataFrame) -> DataFrame:
@@ -220,16 +224,20 @@ def _tokens(index: DataFrame) -> DataFrame:
 def _tokens_with(parts: DataFrame, tokens: DataFrame) -> DataFrame:
     """(part, token): the distinct tokens that each of `parts` (texts without blanks) occurs in.
 
-    A part is sought by its rarest trigram, or by itself if it is shorter, in the distinct tokens of all haystacks.
+    A part stands at its rarest window, or at every window that begins with it if it is shorter than one, and is
+    sought in the tokens that have such a window. The windows are few, however many tokens there are.
     """
-    of_part = F.when(F.length("part") >= 3, _pieces("part", (3,))).otherwise(F.array("part"))
-    pieces = parts.select("part").distinct().select("part", F.explode(of_part).alias("piece"))
-    seen = tokens.select("token").distinct().select("token", F.explode(_pieces("token", (1, 2, 3))).alias("piece"))
-    held = seen.join(pieces.select("piece").distinct(), "piece", "left_semi")
-    counts = held.groupBy("piece").agg(F.count(F.lit(1)).alias("tokens"))
-    # Of pieces that no token holds there is no count; their parts end without a hit when the token is checked.
-    anchors = pieces.join(counts, "piece").groupBy("part").agg(F.min(F.struct("tokens", "piece"))["piece"].alias("piece"))
-    return held.join(anchors, "piece").filter(F.col("token").contains(F.col("part"))).select("part", "token")
+    parts, vocabulary = parts.select("part").distinct(), checkpoint(tokens.select("token").distinct())
+    windows = vocabulary.select(F.explode(_windows("token")).alias("window")).groupBy("window").agg(F.count(F.lit(1)).alias("tokens"))
+    cut = F.filter(_windows("part"), lambda w: F.length(w) == WINDOW)
+    # A window that no token has is not counted; its part ends without a hit when the token is checked.
+    of_part = parts.filter(F.length("part") >= WINDOW).select("part", F.explode(cut).alias("window"))
+    rarest = of_part.join(windows, "window").groupBy("part").agg(F.min(F.struct("tokens", "window"))["window"].alias("window"))
+    starts = windows.select("window", F.explode(F.array_distinct(F.array(*(F.substring("window", 1, n) for n in range(1, WINDOW))))).alias("part"))
+    short = parts.filter(F.length("part") < WINDOW).join(starts, "part").select("part", "window")
+    anchors = checkpoint(rarest.unionByName(short))
+    found = vocabulary.select("token", F.explode(_windows("token")).alias("window")).join(anchors, "window")
+    return found.filter(F.col("token").contains(F.col("part"))).select("part", "token").distinct()
 
 
 def _longest_part(word: Column) -> Column:
@@ -242,13 +250,17 @@ def match_words(index: DataFrame, words: DataFrame) -> DataFrame:
     A word without blanks occurs in a haystack if it occurs in one of its tokens, so tokens lead to the ids. A
     phrase is sought by its longest part, and its candidates are checked on the text.
     """
-    norm = words.select(normalize_text(F.col("word")).alias("word")).filter(F.col("word") != "").distinct()
+    # Many ask for the same words: they are made one and stored before they are normalized, as the filter would go below.
+    asked = checkpoint(words.select("word").distinct())
+    norm = asked.select(normalize_text(F.col("word")).alias("word")).filter(F.col("word") != "").distinct()
     norm = norm.select("word", _longest_part(F.col("word")).alias("part"))
     tokens = _tokens(index)
     hits = _tokens_with(norm, tokens)
-    found = norm.join(tokens.join(hits, "token").select("part", "id").distinct(), "part")
-    phrases = index.select("id", "hay").join(found.filter("word <> part"), "id").filter(F.col("hay").contains(F.col("word")))
-    return found.filter("word = part").select("word", "id").unionByName(phrases.select("word", "id"))
+    # Found once for words and phrases.
+    held = checkpoint(tokens.join(hits, "token").select("part", "id").distinct())
+    plain = norm.filter("word = part").join(held, "part").select("word", "id")
+    phrases = index.select("id", "hay").join(norm.filter("word <> part").join(held, "part"), "id").filter(F.col("hay").contains(F.col("word")))
+    return plain.unionByName(phrases.select("word", "id"))
 
 
 SLICE = 50_000  # rows of queries that are broadcast to the items at once, at most

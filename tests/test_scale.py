@@ -3,8 +3,10 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
+from feedweave.functions import text
 from feedweave.operators import page_parse
 from feedweave.operators import search as s
+from feedweave.session import checkpoint
 from feedweave.sources import search_index
 from verification import adapters as a
 from verification import cases_feeds, cases_search
@@ -53,3 +55,24 @@ def test_pages_are_parsed_a_few_at_a_time():
     parts = list(page_parse.describe_pages(iter([pages]), "page_id", ("text",)))
     assert [len(p) for p in parts] == [page_parse.PAGES] * 3 + [1]
     assert list(pd.concat(parts)["text"]) == [f"page {i}" for i in range(n)]
+
+
+def test_words_are_made_one_before_they_are_normalized_and_sought_by_few_windows(spark, monkeypatch):
+    tokens = spark.createDataFrame([("abcab",), ("日本",), ("",)], "token string")
+    assert [r.w for r in tokens.select(s._windows("token").alias("w")).collect()] == [["abc", "bca", "cab", "ab", "b"], ["日本", "本"], None]
+    plans = []
+    kept = lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString().splitlines()), checkpoint(df))[1]
+    monkeypatch.setattr(s, "checkpoint", kept)
+    index = spark.createDataFrame([(1, "abcab 日本語 x"), (2, "ab c"), (3, "")], "id long, hay string")
+    words = spark.range(1000).selectExpr("explode(array('AB', 'ab', 'B', '本', 'bca', 'ab c', 'cabx', 'x ')) as word")
+    assert {tuple(r) for r in s.match_words(index, words).collect()} == {("ab", 1), ("ab", 2), ("b", 1), ("b", 2), ("本", 1), ("bca", 1), ("ab c", 2), ("x", 1)}
+    assert any("Aggregate" in line for line in plans[0]) and not any("regexp_replace" in line for line in plans[0])
+
+
+def test_white_space_is_collapsed_as_its_whole_class_says(spark):
+    marks = [chr(n) for n in (*range(0xD800), *range(0xE000, 0x10000), 0x1F600)]
+    rows = spark.createDataFrame([(i, f"{m} a{m}{m}b \t{m}c ") for i, m in enumerate(marks)], "i long, t string")
+    slow = F.trim(F.regexp_replace("t", f"{text.WS_ODD}{text.WS}*| {text.WS}+", " "))
+    assert rows.filter(~text.collapse(F.col("t")).eqNullSafe(slow)).count() == 0
+    lower = F.regexp_replace(F.regexp_replace(F.lower("t"), "　", " "), r"[​-‍﻿]", "")
+    assert rows.filter(~text.normalize_text(F.col("t")).eqNullSafe(F.trim(F.regexp_replace(lower, f"{text.WS_ODD}{text.WS}*| {text.WS}+", " ")))).count() == 0
