@@ -76,3 +76,4 @@ def test_white_space_is_collapsed_as_its_whole_class_says(spark):
     assert rows.filter(~text.collapse(F.col("t")).eqNullSafe(slow)).count() == 0
     lower = F.regexp_replace(F.regexp_replace(F.lower("t"), "　", " "), r"[​-‍﻿]", "")
     assert rows.filter(~text.normalize_text(F.col("t")).eqNullSafe(F.trim(F.regexp_replace(lower, f"{text.WS_ODD}{text.WS}*| {text.WS}+", " ")))).count() == 0
+    assert str(text.normalize_text(F.col("t"))).count("regexp_replace") == 1  # one pass of a pattern over a whole text
