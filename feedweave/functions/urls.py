@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from feedweave import config
-from feedweave.functions.text import trim_ws
+from feedweave.functions.text import bind, trim_ws
 
 SPLIT = r"^(?i:(https?))://([^/?#\\]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 
@@ -148,32 +148,46 @@ def _without_dots(segments: Column) -> Column:
 
 
 def _joined(base: Column, ref: Column) -> Column:
-    """`ref` seen from `base` (RFC 3986, 5.2), before it is asked whether the result is http(s)."""
-    of = lambda c: [F.regexp_extract(c, REFERENCE, k) for k in range(1, 6)]
-    scheme, host, path, query, fragment = of(ref)
-    base_scheme, base_host, base_path, base_query, _ = of(base)
-    other = (scheme != "") & (F.lower(scheme) != F.lower(base_scheme))
-    folder = F.split(base_path, "/")
-    folder = F.when(F.element_at(folder, -1) == "", folder).otherwise(F.slice(folder, F.lit(1), F.size(folder) - 1))
-    both = F.concat(folder, F.split(path, "/"))
-    # Where two paths meet, doubled slashes in the middle are one.
-    met = F.filter(both, lambda s, i: (s != "") | (i == 0) | (i == F.size(both) - 1))
-    merged = F.array_join(_without_dots(F.when(path.startswith("/"), F.split(path, "/")).otherwise(met)), "/")
-    whole = F.when(path == "", base_path).when(merged == "", F.lit("/")).otherwise(merged)
-    with_host = F.when(host != "", path).otherwise(whole)
-    slash = F.when((with_host != "") & ~with_host.startswith("/"), F.concat(F.lit("/"), with_host)).otherwise(with_host)
-    asked = F.when((host == "") & (path == "") & (query == ""), base_query).otherwise(query)
-    tail = F.concat(F.when(asked != "", F.concat(F.lit("?"), asked)).otherwise(F.lit("")), F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(F.lit("")))
-    return F.when(other, ref).otherwise(F.concat(F.lower(base_scheme), F.lit("://"), F.when(host != "", host).otherwise(base_host), slash, tail))
+    """`ref` seen from `base` (RFC 3986, 5.2), before it is asked whether the result is http(s). Each part is made once."""
+    names = ("scheme", "host", "path", "query", "fragment")
+    of = lambda c: F.struct(*(F.regexp_extract(c, REFERENCE, k).alias(n) for k, n in enumerate(names, 1)))
+
+    def merged(p: Column) -> Column:
+        def with_folder(folder: Column) -> Column:
+            kept = F.when(F.element_at(folder, -1) == "", folder).otherwise(F.slice(folder, F.lit(1), F.size(folder) - 1))
+            # Where two paths meet, doubled slashes in the middle are one.
+            meet = lambda both: F.filter(both, lambda s, i: (s != "") | (i == 0) | (i == F.size(both) - 1))
+            return bind(F.concat(kept, F.split(p["r"]["path"], "/")), meet)
+
+        path = p["r"]["path"]
+        segments = F.when(path.startswith("/"), F.split(path, "/")).otherwise(bind(F.split(p["b"]["path"], "/"), with_folder))
+        whole = bind(F.array_join(bind(segments, _without_dots), "/"), lambda m: F.when(m == "", F.lit("/")).otherwise(m))
+        return F.when(p["r"]["host"] != "", path).when(path == "", p["b"]["path"]).otherwise(whole)
+
+    def join(p: Column) -> Column:
+        r, b = p["r"], p["b"]
+        other = (r["scheme"] != "") & (F.lower(r["scheme"]) != F.lower(b["scheme"]))
+        slash = bind(merged(p), lambda w: F.when((w != "") & ~w.startswith("/"), F.concat(F.lit("/"), w)).otherwise(w))
+        asked = F.when((r["host"] == "") & (r["path"] == "") & (r["query"] == ""), b["query"]).otherwise(r["query"])
+        tail = F.concat(
+            bind(asked, lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit(""))), F.when(r["fragment"] != "", F.concat(F.lit("#"), r["fragment"])).otherwise(F.lit(""))
+        )
+        host = F.when(r["host"] != "", r["host"]).otherwise(b["host"])
+        return F.when(other, p["ref"]).otherwise(F.concat(F.lower(b["scheme"]), F.lit("://"), host, slash, tail))
+
+    return bind(F.struct(ref.alias("ref"), of(ref).alias("r"), of(base).alias("b")), join)
 
 
 def absolute_url(c: Column, first_base: Column, second_base: Column | None = None) -> Column:
     """The address itself if it is absolute, else seen from the first base that makes it an http(s) address; null if none does."""
-    text = trim_ws(c)
-    given = lambda b: F.coalesce(trim_ws(b), F.lit(""))
-    seen = lambda b: _http_or_null(F.when(given(b) == "", text).otherwise(_joined(given(b), text)))
-    found = [_http_or_null(text), seen(first_base)] + ([] if second_base is None else [seen(second_base)])
-    return F.when(F.coalesce(text, F.lit("")) != "", F.when(~text.startswith("data:"), F.coalesce(*found)))
+
+    def found(text: Column) -> Column:
+        near = lambda given: F.when(given == "", text).otherwise(_joined(given, text))
+        seen = lambda b: bind(bind(F.coalesce(trim_ws(b), F.lit("")), near), _http_or_null)
+        tried = [_http_or_null(text), seen(first_base)] + ([] if second_base is None else [seen(second_base)])
+        return F.when(F.coalesce(text, F.lit("")) != "", F.when(~text.startswith("data:"), F.coalesce(*tried)))
+
+    return bind(trim_ws(c), found)
 
 
 def best_srcset(c: Column) -> Column:

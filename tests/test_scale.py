@@ -3,11 +3,11 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
-from feedweave.functions import text
+from feedweave.functions import text, urls
 from feedweave.operators import page_parse
 from feedweave.operators import search as s
 from feedweave.session import checkpoint
-from feedweave.sources import search_index
+from feedweave.sources import feeds, search_index
 from verification import adapters as a
 from verification import cases_feeds, cases_search
 
@@ -77,3 +77,16 @@ def test_white_space_is_collapsed_as_its_whole_class_says(spark):
     lower = F.regexp_replace(F.regexp_replace(F.lower("t"), "　", " "), r"[​-‍﻿]", "")
     assert rows.filter(~text.normalize_text(F.col("t")).eqNullSafe(F.trim(F.regexp_replace(lower, f"{text.WS_ODD}{text.WS}*| {text.WS}+", " ")))).count() == 0
     assert str(text.normalize_text(F.col("t"))).count("regexp_replace") == 1  # one pass of a pattern over a whole text
+
+
+def test_parts_of_an_address_are_made_once(spark):
+    made = str(urls.absolute_url(F.col("c"), F.col("a"), F.col("b")))
+    assert made.count("regexp_extract") <= 2 * (2 * 5) + 3 * 2 and made.count("aggregate(") <= 4  # two bases: five parts of each and of the address
+
+
+def test_summaries_of_items_are_cut_once(spark):
+    items = spark.createDataFrame([("s", "t", "/a", "2024-01-01", "some text", None)], "source_id string, title string, url string, published_raw string, summary_html string, cover_raw string")
+    out = feeds.project_feed_items(items, spark.createDataFrame([("s", "https://a.example/f")], "source_id string, url string"))
+    assert [r.summary for r in out.collect()] == ["some text"]
+    cut = next(line for line in out._jdf.queryExecution().analyzed().toString().splitlines() if "AS summary#" in line)
+    assert cut[: cut.index("AS summary#")].count("rtrim") == 1
