@@ -102,12 +102,12 @@ def project_feed_items(items: DataFrame, sources: DataFrame) -> DataFrame:
     marked = F.when(F.col("summary_html").rlike("[<&]"), F.col("summary_html"))  # plain texts need no parser
     t = t.withColumn("_h", _read_html(marked, F.col("url")))
     plain = F.when(F.col("summary_html").rlike("[<&]"), F.col("_h.text")).otherwise(F.col("summary_html"))
-    short = text.strip_truncate(plain, 220)
+    short = text.bind(text.strip_truncate(plain, 220), lambda s: F.when(s != "", s))
     cover = F.coalesce(urls.absolute_url(F.col("cover_raw"), F.col("url"), F.col("_source_url")), F.col("_h.image"))
     dropped = ("published_raw", "summary_html", "cover_raw", "_source_url", "_h")
     return (
         t.withColumn("title", text.strip_truncate(F.col("title"), 180))
-        .withColumn("summary", F.when(short != "", short)).withColumn("cover", cover).drop(*dropped)
+        .withColumn("summary", short).withColumn("cover", cover).drop(*dropped)
     )
 
 
