@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from feedweave.functions import dates, scores
 from feedweave.functions.dates import HOUR_MS
-from feedweave.functions.text import WS, category_alias, normalize_text, trim_ws
+from feedweave.functions.text import WS, bind, category_alias, normalize_text, trim_ws
 from feedweave.operators import boards
 from feedweave.session import checkpoint
 
@@ -221,22 +221,31 @@ def _tokens(index: DataFrame) -> DataFrame:
     return index.filter(F.col("hay") != "").select("id", F.explode(F.array_distinct(F.split("hay", " "))).alias("token"))
 
 
-def _tokens_with(parts: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(part, token): the distinct tokens that each of `parts` (texts without blanks) occurs in.
+BUCKETS = 1 << 20  # hashes of keys that are broadcast to a table before it is shuffled, at most
+
+
+def _maybe(rows: DataFrame, keys: DataFrame, by: str) -> DataFrame:
+    """Rows whose `by` has the hash of one of the keys, so that the others need not be shuffled; a join on the key itself has to follow."""
+    bucket = F.pmod(F.xxhash64(by), F.lit(BUCKETS)).alias("_bucket")
+    return rows.select("*", bucket).join(F.broadcast(keys.select(bucket).distinct()), "_bucket", "left_semi").drop("_bucket")
+
+
+def _tokens_with(parts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(part, token): which of `vocabulary` (stored distinct tokens) each of `parts` occurs in.
 
     A part stands at its rarest window, or at every window that begins with it if it is shorter than one, and is
     sought in the tokens that have such a window. The windows are few, however many tokens there are.
     """
-    parts, vocabulary = parts.select("part").distinct(), checkpoint(tokens.select("token").distinct())
-    windows = vocabulary.select(F.explode(_windows("token")).alias("window")).groupBy("window").agg(F.count(F.lit(1)).alias("tokens"))
+    parts = parts.select("part").distinct()
+    windows = checkpoint(vocabulary.select(F.explode(_windows("token")).alias("window")).groupBy("window").agg(F.count(F.lit(1)).alias("tokens")))
     cut = F.filter(_windows("part"), lambda w: F.length(w) == WINDOW)
-    # A window that no token has is not counted; its part ends without a hit when the token is checked.
-    of_part = parts.filter(F.length("part") >= WINDOW).select("part", F.explode(cut).alias("window"))
-    rarest = of_part.join(windows, "window").groupBy("part").agg(F.min(F.struct("tokens", "window"))["window"].alias("window"))
+    # A window that no token has is the rarest of all, and its part meets no token.
+    of_part = parts.filter(F.length("part") >= WINDOW).select("part", F.explode(cut).alias("window")).join(windows, "window", "left")
+    rarest = of_part.groupBy("part").agg(F.min(F.struct(F.coalesce("tokens", F.lit(0)).alias("tokens"), "window"))["window"].alias("window"))
     starts = windows.select("window", F.explode(F.array_distinct(F.array(*(F.substring("window", 1, n) for n in range(1, WINDOW))))).alias("part"))
     short = parts.filter(F.length("part") < WINDOW).join(starts, "part").select("part", "window")
     anchors = checkpoint(rarest.unionByName(short))
-    found = vocabulary.select("token", F.explode(_windows("token")).alias("window")).join(anchors, "window")
+    found = _maybe(vocabulary.select("token", F.explode(_windows("token")).alias("window")), anchors, "window").join(anchors, "window")
     return found.filter(F.col("token").contains(F.col("part"))).select("part", "token").distinct()
 
 
@@ -255,7 +264,7 @@ def match_words(index: DataFrame, words: DataFrame) -> DataFrame:
     norm = asked.select(normalize_text(F.col("word")).alias("word")).filter(F.col("word") != "").distinct()
     norm = norm.select("word", _longest_part(F.col("word")).alias("part"))
     tokens = _tokens(index)
-    hits = _tokens_with(norm, tokens)
+    hits = _tokens_with(norm, checkpoint(tokens.select("token").distinct()))
     # Found once for words and phrases.
     held = checkpoint(tokens.join(hits, "token").select("part", "id").distinct())
     plain = norm.filter("word = part").join(held, "part").select("word", "id")
@@ -263,85 +272,216 @@ def match_words(index: DataFrame, words: DataFrame) -> DataFrame:
     return plain.unionByName(phrases.select("word", "id"))
 
 
-SLICE = 50_000  # rows of queries that are broadcast to the items at once, at most
+SLICE = 1_000_000  # query ids and rows of queries that are broadcast to the items at once, at most
 ASKERS = 1000  # queries of the same conditions that one row stands for, at most
+TASK_PAIRS = 10_000_000  # pairs of query and item that a task is to write, about
 LISTS = tuple(p + k for k in ("text", "tags", "sources", "categories") for p in ("", "not_"))
-CONDITIONS = (*LISTS, "after_ms", "before_ms", "is_read", "is_unread", "is_fresh")
+LIMITS = ("after_ms", "before_ms", "is_read", "is_unread", "is_fresh")
+CONDITIONS = (*LISTS, *LIMITS)
+KINDS = {"text": "w", "tags": "t", "sources": "s", "categories": "c"}
 
 
-def _asked_alike(queries: DataFrame) -> DataFrame:
+def _asked_alike(queries: DataFrame, by: tuple = CONDITIONS) -> DataFrame:
     """One row (ask, conditions, query_ids) for each ASKERS queries that ask for the same."""
-    place = F.row_number().over(Window.partitionBy(*CONDITIONS).orderBy("query_id"))
-    dealt = queries.select("query_id", *CONDITIONS, F.floor((place - 1) / ASKERS).alias("_part"))
-    alike = dealt.groupBy(*CONDITIONS, "_part").agg(F.collect_list("query_id").alias("query_ids"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("query_id"))
+    dealt = queries.select("query_id", *by, F.floor((place - 1) / ASKERS).alias("_part"))
+    alike = dealt.groupBy(*by, "_part").agg(F.collect_list("query_id").alias("query_ids"))
     return alike.drop("_part").withColumn("ask", F.monotonically_increasing_id())
 
 
+def _terms(asked: DataFrame, kinds: tuple) -> DataFrame:
+    """(ask, kind, neg, term): what each query asks for (neg: shuts out), of the given kinds of lists."""
+    one = lambda name, neg: F.transform(F.array_distinct(("not_" if neg else "") + name), lambda w: F.struct(
+        F.lit(KINDS[name]).alias("kind"), F.lit(neg).alias("neg"), w.alias("term")
+    ))
+    return asked.select("ask", F.explode(F.concat(*[one(k, neg) for k in kinds for neg in (False, True)])).alias("t")).select("ask", "t.*")
+
+
+def _names(stored: DataFrame) -> DataFrame:
+    """(item, kind, name): the category, the source and the tags of each item."""
+    named = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("name"))
+    own = F.concat(F.array(named("c", F.col("category")), named("s", F.col("source"))), F.transform(F.array_distinct("tags"), lambda t: named("t", t)))
+    return stored.select("item", F.explode(own).alias("n")).select("item", "n.*")
+
+
+def _holders(terms: DataFrame, names: DataFrame) -> DataFrame:
+    """(kind, term, name, items): the tags and sources that hold a term, and the category that is the term.
+
+    Names are matched as tokens are, by pieces of the term.
+    """
+    inner = terms.filter("kind <> 'c'").select("kind", "term").distinct().withColumn("part", _longest_part(F.col("term")))
+    found = _tokens_with(inner, names.filter("kind <> 'c'").select(F.col("name").alias("token")).distinct())
+    inside = inner.join(found, "part").withColumnRenamed("token", "name").join(names, ["kind", "name"]).filter(F.col("name").contains(F.col("term")))
+    same = terms.filter("kind = 'c'").select("kind", "term").distinct().withColumn("name", F.col("term")).join(names, ["kind", "name"])
+    return inside.select("kind", "term", "name", "items").unionByName(same.select("kind", "term", "name", "items"))
+
+
+def _pieces(term: Column) -> Column:
+    """The words of a term, with blanks where words stand beside them: of `a b` the end `a ` of a token and the start ` b` of one."""
+    words = F.split(term, " ")
+    return F.transform(words, lambda w, i: F.concat(F.when(i > 0, " ").otherwise(""), w, F.when(i < F.size(words) - 1, " ").otherwise("")))
+
+
+def _timely(stored: DataFrame) -> Column:
+    """Can a query's dates and its word on freshness hold for any item? Known from the first and last times."""
+    conditions = F.lit(False)
+    at, after, before = F.col("published_ms"), F.col("after_ms"), F.col("before_ms")
+    for fresh, first, last in stored.groupBy("fresh").agg(F.min(at), F.max(at)).collect():  # two rows
+        held = F.col("is_fresh").isNull() | (F.col("is_fresh") == fresh)
+        held &= after.isNull() | F.coalesce(after <= F.lit(last), F.lit(False))
+        held &= before.isNull() | F.coalesce(before >= F.lit(first), F.lit(False))
+        conditions = conditions | held
+    return conditions & F.coalesce(after <= before, F.lit(True))
+
+
+def _stand(alive: DataFrame, known: DataFrame) -> DataFrame:
+    """The queries that can find something, with what they need, what shuts items out, and the condition they stand at.
+
+    known: their terms with `items`, the most items that each can hold in. What no item has shuts nothing out.
+    """
+    need, thing = ~F.col("neg") & (F.col("kind") != "c"), F.concat("kind", "term")
+    told = known.groupBy("ask").agg(
+        F.min(F.when(need, F.col("items"))).alias("least"),
+        F.min(F.when(need & (F.col("kind") != "t"), F.struct("items", "kind", "term"))).alias("rarest"),
+        F.sum(F.when(~F.col("neg") & (F.col("kind") == "c"), F.col("items"))).alias("of_categories"),
+        F.array_sort(F.collect_set(F.when(need, thing))).alias("needs"),
+        F.array_sort(F.collect_set(F.when(F.col("neg") & (F.col("items") > 0), thing))).alias("bars"),
+    )
+    none, asks = F.array().cast("array<string>"), F.size("categories") > 0
+    by_category = F.when(asks, F.struct(F.col("of_categories").alias("items"), F.lit("c").alias("kind"), F.lit("").alias("term")))
+    anywhere = F.struct(F.lit(1 << 62).alias("items"), F.lit("e").alias("kind"), F.lit("").alias("term"))
+    able = alive.join(told, "ask", "left").filter((F.coalesce("least", F.lit(1)) > 0) & (~asks | (F.coalesce("of_categories", F.lit(0)) > 0)))
+    return able.select(
+        F.explode("query_ids").alias("query_id"), F.coalesce("needs", none).alias("needs"), F.coalesce("bars", none).alias("bars"),
+        F.array_sort(F.array_distinct("categories")).alias("categories"), *LIMITS, F.array_min(F.array_compact(F.array("rarest", by_category, anywhere))).alias("at"),
+    )
+
+
+def _placed(asks: DataFrame, holders: DataFrame) -> DataFrame:
+    """The queries at their places; what is known at a place is no longer asked for there."""
+    at, none = F.col("at"), F.array().cast("array<string>")
+    by_word = asks.filter("at.kind = 'w'").withColumn("place", F.concat(F.lit("w"), at["term"]))
+    by_word = by_word.withColumn("needs", F.array_remove("needs", F.col("place")))
+    by_category = asks.filter("at.kind = 'c'").select("*", F.explode("categories").alias("category"))
+    by_category = by_category.withColumn("place", F.concat(F.lit("c"), "category")).drop("category").withColumn("categories", none)
+    sources = holders.filter("kind = 's'").select(F.col("term").alias("sought"), "name")
+    by_source = asks.filter("at.kind = 's'").withColumn("sought", at["term"]).join(sources, "sought").drop("sought")
+    in_name = lambda t: t.startswith("s") & F.col("name").contains(F.substring(t, F.lit(2), F.length(t)))
+    by_source = by_source.filter(~F.exists("bars", in_name)).withColumn("needs", F.filter("needs", lambda t: ~in_name(t)))
+    by_source = by_source.withColumn("place", F.concat(F.lit("s"), "name")).drop("name")
+    everywhere = asks.filter("at.kind = 'e'").withColumn("place", F.lit("e"))
+    return by_word.unionByName(by_category).unionByName(by_source).unionByName(everywhere).drop("at", "ask")
+
+
+def _held(stored: DataFrame, sought: DataFrame, tokens: DataFrame, hits: DataFrame, words: DataFrame, holders: DataFrame) -> DataFrame:
+    """(item, has): which of the things sought (a kind and a term) each item holds.
+
+    words: (term, part): the rarest piece of each word or phrase; hits: the tokens that a piece occurs in. Phrases are checked on the text.
+    """
+    terms = sought.select(F.substring("thing", 1, 1).alias("kind"), F.substring("thing", 2, 1 << 30).alias("term"))
+    asked = checkpoint(terms.filter("kind = 'w'").join(words, "term").select("term", "part"))
+    of_token = checkpoint(hits.join(asked, "part").select(F.trim("token").alias("token"), "term").distinct())
+    maybe = _maybe(tokens, of_token, "token").join(of_token, "token").groupBy("item").agg(F.collect_set("term").alias("terms"))
+    phrase = lambda t: t.contains(" ")
+    plain = maybe.select("item", F.filter("terms", lambda t: ~phrase(t)).alias("terms"))
+    phrases = maybe.select("item", F.filter("terms", phrase).alias("terms")).filter(F.size("terms") > 0).join(stored.select("item", "hay"), "item")
+    phrases = phrases.select("item", F.filter("terms", lambda t: F.col("hay").contains(t)).alias("terms"))
+    text = plain.unionByName(phrases).select("item", F.explode("terms").alias("term")).select("item", F.concat(F.lit("w"), "term").alias("thing"))
+    facets = holders.filter("kind <> 'c'").join(terms, ["kind", "term"]).select("kind", "name", F.concat("kind", "term").alias("thing"))
+    named = _names(stored).join(facets, ["kind", "name"]).select("item", "thing")
+    return text.unionByName(named).groupBy("item").agg(F.collect_set("thing").alias("has"))
+
+
 def search_many(index: DataFrame, queries: DataFrame, reads: DataFrame | None = None, now: Column | None = None, fresh_hours: float = 6) -> DataFrame:
     """(query_id, id): the items that each parsed query (parse_query_table) finds, all queries in one job.
 
-    The queries are the index: those that ask for the same are one, and each stands at a place: its rarest required
-    word, the one whose tokens are found in the fewest items. A query that asks for no word stands at its categories, or at the
-    sources that hold its first source word; one that asks for none of these stands at one place for all items. An
-    item has the places that queries stand at, and meets queries only there. Queries are few and narrow beside the pairs,
-    so they go to the items, SLICE rows at a time in a broadcast of that fixed size: no pair is shuffled.
+    The queries are the index: a query that needs what no item has finds nothing, what no item has shuts nothing out, and those that
+    then ask for the same are one. Each stands at its rarest required word, its categories, or the sources that hold its rarest source
+    word, whichever the fewest items have; one that asks for none of these stands at one place for all items. An item has the places that queries
+    stand at, and meets queries only there. What else a query needs or shuts out is found in the items once, for all queries, and
+    compared as sets. Queries are few and narrow beside the pairs, so they go to the items in broadcasts of a fixed size: no pair is shuffled.
     reads: what the reader of all these queries has read.
     """
-    stored = checkpoint(mark_read(index, reads).withColumnRenamed("is_read", "seen").withColumn("item", F.monotonically_increasing_id()))
-    asked = checkpoint(_asked_alike(queries))
-    tokens = _tokens(stored.select(F.col("item").alias("id"), "hay"))
-    terms = asked.select("ask", F.explode(F.array_distinct("text")).alias("term")).select("ask", "term", _longest_part(F.col("term")).alias("part"))
-    hits = checkpoint(_tokens_with(terms, tokens))
-    items = hits.join(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("items")), "token").groupBy("part").agg(F.sum("items").alias("items"))
-    # A query with a word that no token holds finds nothing, and meets nothing as its count is 0 there.
-    rarest = terms.join(items, "part", "left").groupBy("ask").agg(F.min(F.struct(F.coalesce("items", F.lit(0)).alias("items"), "part")).alias("r"))
-    by_word = rarest.filter("r.items > 0").select("ask", F.concat(F.lit("w"), "r.part").alias("place"))
-    wordless = asked.filter(F.size("text") == 0)
-    by_category = wordless.filter(F.size("categories") > 0).select("ask", F.explode(F.transform(F.array_distinct("categories"), lambda c: F.concat(F.lit("c"), c))).alias("place"))
-    rest = wordless.filter(F.size("categories") == 0)
-    source = F.concat_ws("\n", "source_name", "source_id_norm")
-    sought = rest.filter(F.size("sources") > 0).select("ask", F.get("sources", F.lit(0)).alias("part"))
-    # Names of sources are matched as tokens are: by pieces of the word.
-    holding = _tokens_with(sought.select(F.explode(F.split("part", " ")).alias("part")).filter("part <> ''"), stored.select(source.alias("token")).distinct())
-    by_source = sought.withColumn("whole", F.col("part")).withColumn("part", _longest_part(F.col("whole"))).join(holding, "part")
-    by_source = by_source.filter(F.col("token").contains(F.col("whole"))).select("ask", F.concat(F.lit("s"), "token").alias("place"))
-    everywhere = rest.filter(F.size("sources") == 0).select("ask", F.lit("e").alias("place"))
-    placed = by_word.unionByName(by_category).unionByName(by_source).unionByName(everywhere).join(asked, "ask")
-    # A word without blanks that a query stands at is known to be in the text.
-    placed = placed.withColumn("text", F.filter("text", lambda w: F.concat(F.lit("w"), w) != F.col("place")))
-    placed = checkpoint(placed)
-    slices = -(-placed.count() // SLICE) or 1
-    placed = placed.withColumn("slice", F.pmod(F.xxhash64("ask", "place"), F.lit(slices)))
-
-    of_words = placed.select(F.substring("place", 2, 1 << 30).alias("part")).filter(F.startswith("place", F.lit("w"))).distinct()
-    held = tokens.join(hits.join(of_words, "part", "left_semi"), "token").groupBy("id").agg(F.collect_set(F.concat(F.lit("w"), "part")).alias("words"))
     age = F.unix_millis(F.lit(None).cast("timestamp") if now is None else now) - F.col("published_ms")
     fresh = F.coalesce((age >= 0) & (age < int(fresh_hours * HOUR_MS)), F.lit(False))
-    rows = stored.join(held.withColumnRenamed("id", "item"), "item", "left").select(
-        "id", "hay", F.col("tags").alias("item_tags"), "source_name", "source_id_norm", "category", "published_ms", "seen", fresh.alias("fresh"),
-        F.explode(F.concat(
-            F.coalesce("words", F.array().cast("array<string>")), F.array(F.concat(F.lit("c"), F.coalesce("category", F.lit(""))), F.concat(F.lit("s"), source), F.lit("e"))
-        )).alias("place"),
-    )
-    in_hay = lambda w: F.col("hay").contains(w)
-    in_tags = lambda w: F.exists("item_tags", lambda t: t.contains(w))
-    in_source = lambda w: F.col("source_name").contains(w) | F.col("source_id_norm").contains(w)
-    asks = lambda flag, value: F.coalesce(F.col(flag) == value, F.lit(True))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    stored = checkpoint(mark_read(index, reads).select(
+        F.monotonically_increasing_id().alias("item"), "id", text("hay").alias("hay"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"),
+        F.concat(text("source_name"), F.lit("\n"), text("source_id_norm")).alias("source"), text("category").alias("category"),
+        "published_ms", F.col("is_read").alias("seen"), fresh.alias("fresh"),
+    ))
+    asked = checkpoint(_asked_alike(queries))
+    # Categories, sources, tags and times are few; they rule out queries before any word is sought.
+    terms = _terms(asked, ("tags", "sources", "categories"))
+    names = checkpoint(_names(stored).groupBy("kind", "name").agg(F.count(F.lit(1)).alias("items")))
+    holders = checkpoint(_holders(terms, names))
+    held = holders.groupBy("kind", "term").agg(F.sum("items").alias("items"))
+    wanted = terms.filter("not neg").join(held, ["kind", "term"], "left")
+    lost = wanted.groupBy("ask").agg(F.min(F.when(F.col("kind") != "c", F.coalesce("items", F.lit(0)))).alias("least"), F.max(F.when(F.col("kind") == "c", F.coalesce("items", F.lit(0)))).alias("most"))
+    alive = checkpoint(asked.filter(_timely(stored)).join(lost.filter("least = 0 or most = 0"), "ask", "left_anti"))
+
+    tokens = _tokens(stored.select(F.col("item").alias("id"), "hay")).withColumnRenamed("id", "item")
+    vocabulary = checkpoint(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("items")).withColumn("token", F.concat(F.lit(" "), "token", F.lit(" "))))
+    of_text = _terms(alive, ("text",))
+    pieces = of_text.select("term").distinct().select("term", F.explode(_pieces(F.col("term"))).alias("part"))
+    hits = checkpoint(_tokens_with(pieces, vocabulary.select("token")))
+    of_piece = hits.join(vocabulary, "token").groupBy("part").agg(F.sum("items").alias("items"))
+    words = pieces.join(of_piece, "part", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("items", F.lit(0)).alias("items"), "part")).alias("r"))
+    words = checkpoint(words.filter("r.items > 0").select("term", "r.items", "r.part"))
+    counts = held.unionByName(words.select(F.lit("w").alias("kind"), "term", "items"))
+    known = of_text.unionByName(terms.join(alive.select("ask"), "ask", "left_semi")).join(counts, ["kind", "term"], "left").withColumn("items", F.coalesce("items", F.lit(0)))
+    asks = _asked_alike(_stand(alive, known), ("needs", "bars", "categories", *LIMITS, "at"))
+    placed = checkpoint(_placed(asks, holders))
+
+    sought = placed.select(F.explode(F.concat("needs", "bars", F.array("place"))).alias("thing")).distinct()
+    has = _held(stored, sought, tokens, hits, words, holders)
+    items = stored.drop("hay", "tags").join(has, "item", "left")
+    items = items.withColumn("has", F.concat(F.coalesce("has", F.array().cast("array<string>")), F.array(F.concat(F.lit("c"), "category"))))
+    items = checkpoint(items.repartition(_tasks(placed, words, names, stored), "item"))
+    rows = items.select(
+        "id", "has", "category", "published_ms", "seen", "fresh", F.explode(F.concat("has", F.array(F.concat(F.lit("s"), "source"), F.lit("e")))).alias("place")
+    )
+    asks_for = lambda flag, value: F.coalesce(F.col(flag) == value, F.lit(True))
     checks = [
         F.col("after_ms").isNull() | F.coalesce(F.col("published_ms") >= F.col("after_ms"), F.lit(False)),
         F.col("before_ms").isNull() | F.coalesce(F.col("published_ms") <= F.col("before_ms"), F.lit(False)),
-        asks("is_read", F.col("seen")), asks("is_unread", ~F.col("seen")), asks("is_fresh", F.col("fresh")),
-        (F.size("categories") == 0) | F.array_contains("categories", F.col("category")), ~F.array_contains("not_categories", F.col("category")),
-        F.forall("tags", in_tags), ~F.exists("not_tags", in_tags), F.forall("sources", in_source), ~F.exists("not_sources", in_source),
-        F.forall("text", in_hay), ~F.exists("not_text", in_hay),
+        asks_for("is_read", F.col("seen")), asks_for("is_unread", ~F.col("seen")), asks_for("is_fresh", F.col("fresh")),
+        (F.size("categories") == 0) | F.array_contains("categories", F.col("category")),
+        (F.size("needs") == 0) | (F.size(F.array_except("needs", "has")) == 0), (F.size("bars") == 0) | ~F.arrays_overlap("bars", "has"),
     ]
-    found = [rows.join(F.broadcast(placed.filter(F.col("slice") == k)), "place").filter(_every(checks)).select(F.explode("query_ids").alias("query_id"), "id") for k in range(slices)]
+    slices = -(-(placed.agg(F.sum(F.size("query_ids") + 10)).first()[0] or 0) // SLICE) or 1
+    placed = placed.withColumn("slice", F.pmod(F.xxhash64("place", "query_ids"), F.lit(slices)))
+    found = [rows.join(F.broadcast(placed.filter(F.col("slice") == k).drop("slice")), "place").filter(_every(checks)).select(F.explode("query_ids").alias("query_id"), "id") for k in range(slices)]
     return reduce(DataFrame.unionByName, found)
 
 
+def _tasks(placed: DataFrame, words: DataFrame, names: DataFrame, stored: DataFrame) -> int:
+    """How many tasks the pairs are dealt to: items are narrow, what they are paired with is not, so their bytes do not say."""
+    at = words.select(F.concat(F.lit("w"), "term").alias("place"), "items").unionByName(names.select(F.concat("kind", "name").alias("place"), "items"))
+    at = at.unionByName(stored.agg(F.count(F.lit(1)).alias("items")).select(F.lit("e").alias("place"), "items"))
+    asked = placed.groupBy("place").agg(F.sum(F.size("query_ids")).alias("queries"))
+    pairs = at.join(asked, "place").agg(F.sum(F.col("items").cast("double") * F.col("queries"))).first()[0] or 0
+    return max(placed.sparkSession.sparkContext.defaultParallelism, int(pairs // TASK_PAIRS) + 1)
+
+
 TOKEN = rf"\"[^\"]+\"|'[^']+'|[^{WS[1:-1]}]+"
 
 
+def _prefix(body: Column) -> Column:
+    return F.when(body.contains(":"), normalize_text(F.substring_index(body, ":", 1))).otherwise(F.lit(""))
+
+
+def _value(body: Column) -> Column:
+    return F.when(body.contains(":"), F.regexp_replace(body, r"(?s)^[^:]*:", "")).otherwise(body)
+
+
+def _kind(key: Column) -> Column:
+    kind = F.lit("text")
+    for name, keys in KEYS.items():
+        kind = F.when(key.isin(*keys), F.lit(name)).otherwise(kind)
+    return kind
+
+
 def parse_query_table(queries: DataFrame) -> DataFrame:
     """Splits each query text (query_id, query) into its lists, dates and flags."""
     raw = F.transform(F.regexp_extract_all(trim_ws(F.col("query")), F.lit(TOKEN), F.lit(0)), lambda t: trim_ws(
@@ -350,16 +490,12 @@ def parse_query_table(queries: DataFrame) -> DataFrame:
 
     def piece(token: Column) -> Column:
         negative = token.startswith("-")
-        body = trim_ws(F.when(negative, F.substring(token, F.lit(2), F.length(token))).otherwise(token))
-        has_key = body.contains(":")
-        key = F.when(has_key, normalize_text(F.substring_index(body, ":", 1))).otherwise(F.lit(""))
-        value = F.when(has_key, F.regexp_replace(body, r"(?s)^[^:]*:", "")).otherwise(body)
-        norm = normalize_text(value)
-        kind = F.lit("text")
-        for name, keys in KEYS.items():
-            kind = F.when(key.isin(*keys), F.lit(name)).otherwise(kind)
-        shown = F.when(kind == "categories", category_alias(norm)).otherwise(norm)
-        return F.struct(negative.alias("neg"), kind.alias("kind"), shown.alias("value"), value.alias("raw"))
+        whole = trim_ws(F.when(negative, F.substring(token, F.lit(2), F.length(token))).otherwise(token))
+        # Each step is made once: in a lambda, a step that is mentioned often runs often.
+        return bind(whole, lambda body: bind(_prefix(body), lambda key: bind(_value(body), lambda value: bind(normalize_text(value), lambda norm: F.struct(
+            negative.alias("neg"), _kind(key).alias("kind"),
+            F.when(key.isin(*KEYS["categories"]), category_alias(norm)).otherwise(norm).alias("value"), value.alias("raw"),
+        )))))
 
     parts = F.filter(F.transform(raw, piece), lambda p: p["value"] != "")
     t = queries.select("query_id", parts.alias("p"))

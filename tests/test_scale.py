@@ -49,6 +49,51 @@ def test_queries_that_ask_for_the_same_are_one(spark):
     assert "Join Inner, (item" not in found._jdf.queryExecution().optimizedPlan().toString()  # no pair goes to its item by a shuffle
 
 
+def _finds(q, i, now_ms):
+    """One parsed query against one item, in plain code."""
+    source = lambda w: w in i.source_name or w in i.source_id_norm
+    tag = lambda w: any(w in t for t in i.tags)
+    fresh = i.published_ms is not None and 0 <= now_ms - i.published_ms < 6 * 3_600_000
+    return (
+        all(w in i.hay for w in q.text) and not any(w in i.hay for w in q.not_text) and all(map(tag, q.tags)) and not any(map(tag, q.not_tags))
+        and all(map(source, q.sources)) and not any(map(source, q.not_sources)) and (not q.categories or i.category in q.categories) and i.category not in q.not_categories
+        and (q.after_ms is None or i.published_ms is not None and i.published_ms >= q.after_ms) and (q.before_ms is None or i.published_ms is not None and i.published_ms <= q.before_ms)
+        and q.is_read in (None, i.seen) and q.is_unread in (None, not i.seen) and q.is_fresh in (None, fresh)
+    )
+
+
+def test_pairs_are_met_without_their_texts_and_found_as_in_plain_code(spark):
+    day = 86_400_000
+    rows = [
+        ("i1", "an apple pie with cream", ["x", "hot mail"], "one", "src1", "fruit", 10 * day), ("i2", "pear and apple", ["mail"], "two", "src2", "fruit", 20 * day),
+        ("i3", "", [], "one", "src1", "none", 20 * day - 1000), ("i4", "the apple piece", ["x"], "source one", "src11", "news", None), ("i5", "日本語 の apple", ["日本"], "two b", "src2", "", 20 * day + 1000),
+        ("i6", "pie", ["hot"], "", "src3", "news", 5 * day), ("i7", "grapple pies an apple", [], "one", "src1", "fruit", 19 * day), ("i8", "an an apple apple", ["x", "xy"], "two", "src12", "none", 20 * day - 7 * 3_600_000),
+    ]
+    index = spark.createDataFrame(rows, "id string, hay string, tags array<string>, source_name string, source_id_norm string, category string, published_ms long")
+    parts = ["apple", "-apple", '"apple pie"', "-'apple pie'", '"an apple"', "pie -cream", "p", "ap -pear", "e", "nothing", "-nothing", "-\"the\"", "日", "\"語 の\"", "'le p'", "\"no pie\"", "t:x", "-t:x", "'t:hot mail'", "-t:none", "t:none",
+             "s:src1", "s:one s:src1", "-s:src1", "'s:source one'", "-s:none", "c:fruit", "c:fruit c:news", "-c:news", "c:none -c:none", "c:absent", "is:read", "-is:read", "is:fresh", "-is:fresh", "after:1970-01-15", "before:1970-01-15", "after:1970-01-20 before:1970-01-12", ""]
+    texts = [f"{a} {b}".strip() for a in parts for b in parts]
+    queries = s.parse_query_table(spark.createDataFrame(list(enumerate(texts)), "query_id long, query string"))
+    reads = spark.createDataFrame([("i2",), ("i7",), ("gone",)], "post_id string")
+    found = s.search_many(index, queries, reads, F.timestamp_millis(F.lit(20 * day)))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains" not in plan and "lambda" not in plan and "hay" not in plan, plan  # a pair costs no search in a text
+    items = [r for r in s.mark_read(index, reads).withColumnRenamed("is_read", "seen").collect()]
+    want = sorted((q.query_id, i.id) for q in queries.collect() for i in items if _finds(q, i, 20 * day))
+    assert sorted((r.query_id, r.id) for r in found.collect()) == want and len(want) > len(texts)
+
+
+def test_queries_that_differ_in_what_no_item_has_are_one_and_the_impossible_meet_none(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(s, "checkpoint", lambda df: (kept.append(checkpoint(df)), kept[-1])[1])
+    index = spark.createDataFrame([(f"i{n}", "some text", ["x"], "one", "src1", "news", n) for n in range(3)], "id string, hay string, tags array<string>, source_name string, source_id_norm string, category string, published_ms long")
+    texts = [f"s:src1 -w{n}" for n in range(50)] + [f"text t:w{n}" for n in range(50)] + [f"text c:w{n}" for n in range(50)] + ["text 'w text'", "text after:1990-01-01"]
+    found = s.search_many(index, s.parse_query_table(spark.createDataFrame(list(enumerate(texts)), "query_id long, query string")))
+    assert sorted((r.query_id, r.id) for r in found.collect()) == [(q, f"i{n}") for q in range(50) for n in range(3)]
+    placed = next(df for df in kept if "place" in df.columns)
+    assert [(r.place, len(r.query_ids)) for r in placed.collect()] == [("sone\nsrc1", 50)]
+
+
 def test_pages_are_parsed_a_few_at_a_time():
     n = 3 * page_parse.PAGES + 1
     pages = pd.DataFrame({"page_id": range(n), "url": "https://a.example/", "html": [f"<p>page {i}" for i in range(n)]})
