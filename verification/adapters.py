@@ -22,9 +22,14 @@ def now():
     return F.lit(NOW).cast("timestamp")
 
 
+def stored(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A driver table as it lies in its files."""
+    return prepare(spark).read.parquet(f"{sf}/{name}.parquet")
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A driver table. Whole texts are dealt to all cores: a file of one row group is read by one task, however heavy the work on its rows."""
-    rows = prepare(spark).read.parquet(f"{sf}/{name}.parquet")
+    rows = stored(spark, sf, name)
     return rows.repartition(F.col(WHOLE_TEXTS[name])) if name in WHOLE_TEXTS else rows
 
 

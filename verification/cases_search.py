@@ -190,8 +190,9 @@ FROM value_fx GROUP BY query_id)"""
 
 
 def query_table(spark, sf):
-    d = a.table(spark, sf, "documents").withColumn("w", F.regexp_extract("text", "([A-Za-z]{3,12})", 1))
-    return d.select(F.col("doc_id").alias("query_id"), F.expr(QUERY_SQL).alias("query"))
+    # Of a text only its first word is dealt out.
+    d = a.stored(spark, sf, "documents").select("doc_id", "source", "lang", F.regexp_extract("text", "([A-Za-z]{3,12})", 1).alias("w"))
+    return d.repartition("doc_id").select(F.col("doc_id").alias("query_id"), F.expr(QUERY_SQL).alias("query"))
 
 
 @case("parse_query_table", with_ctes(PARSED, body="""
