@@ -222,12 +222,18 @@ def _tokens(index: DataFrame) -> DataFrame:
 
 
 BUCKETS = 1 << 20  # hashes of keys that are broadcast to a table before it is shuffled, at most
+FEW = 400_000  # short rows that are broadcast as they are
 
 
-def _maybe(rows: DataFrame, keys: DataFrame, by: str) -> DataFrame:
-    """Rows whose `by` has the hash of one of the keys, so that the others need not be shuffled; a join on the key itself has to follow."""
+def _meet(rows: DataFrame, keys: DataFrame, by: str) -> DataFrame:
+    """Inner join on `by` of a large table with stored keys that few of its rows have: the others are not shuffled.
+
+    Up to FEW keys are broadcast; of more, the hashes, and rows that have the hash of a key are joined by a shuffle.
+    """
+    if keys.count() <= FEW:
+        return rows.join(F.broadcast(keys), by)
     bucket = F.pmod(F.xxhash64(by), F.lit(BUCKETS)).alias("_bucket")
-    return rows.select("*", bucket).join(F.broadcast(keys.select(bucket).distinct()), "_bucket", "left_semi").drop("_bucket")
+    return rows.select("*", bucket).join(F.broadcast(keys.select(bucket).distinct()), "_bucket", "left_semi").drop("_bucket").join(keys, by)
 
 
 def _tokens_with(parts: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -239,13 +245,14 @@ def _tokens_with(parts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     parts = parts.select("part").distinct()
     windows = checkpoint(vocabulary.select(F.explode(_windows("token")).alias("window")).groupBy("window").agg(F.count(F.lit(1)).alias("tokens")))
     cut = F.filter(_windows("part"), lambda w: F.length(w) == WINDOW)
-    # A window that no token has is the rarest of all, and its part meets no token.
+    # A window that no token has is the rarest of all, and its part is in no token.
     of_part = parts.filter(F.length("part") >= WINDOW).select("part", F.explode(cut).alias("window")).join(windows, "window", "left")
-    rarest = of_part.groupBy("part").agg(F.min(F.struct(F.coalesce("tokens", F.lit(0)).alias("tokens"), "window"))["window"].alias("window"))
+    rarest = of_part.groupBy("part").agg(F.min(F.struct(F.coalesce("tokens", F.lit(0)).alias("tokens"), "window")).alias("r"))
+    rarest = rarest.filter("r.tokens > 0").select("part", "r.window")
     starts = windows.select("window", F.explode(F.array_distinct(F.array(*(F.substring("window", 1, n) for n in range(1, WINDOW))))).alias("part"))
     short = parts.filter(F.length("part") < WINDOW).join(starts, "part").select("part", "window")
     anchors = checkpoint(rarest.unionByName(short))
-    found = _maybe(vocabulary.select("token", F.explode(_windows("token")).alias("window")), anchors, "window").join(anchors, "window")
+    found = _meet(vocabulary.select("token", F.explode(_windows("token")).alias("window")), anchors, "window")
     return found.filter(F.col("token").contains(F.col("part"))).select("part", "token").distinct()
 
 
@@ -381,12 +388,18 @@ def _held(stored: DataFrame, sought: DataFrame, tokens: DataFrame, hits: DataFra
     terms = sought.select(F.substring("thing", 1, 1).alias("kind"), F.substring("thing", 2, 1 << 30).alias("term"))
     asked = checkpoint(terms.filter("kind = 'w'").join(words, "term").select("term", "part"))
     of_token = checkpoint(hits.join(asked, "part").select(F.trim("token").alias("token"), "term").distinct())
-    maybe = _maybe(tokens, of_token, "token").join(of_token, "token").groupBy("item").agg(F.collect_set("term").alias("terms"))
     phrase = lambda t: t.contains(" ")
-    plain = maybe.select("item", F.filter("terms", lambda t: ~phrase(t)).alias("terms"))
-    phrases = maybe.select("item", F.filter("terms", phrase).alias("terms")).filter(F.size("terms") > 0).join(stored.select("item", "hay"), "item")
-    phrases = phrases.select("item", F.filter("terms", lambda t: F.col("hay").contains(t)).alias("terms"))
-    text = plain.unionByName(phrases).select("item", F.explode("terms").alias("term")).select("item", F.concat(F.lit("w"), "term").alias("thing"))
+    if of_token.count() <= FEW:
+        # Nothing is shuffled before the check, so the text stays beside its tokens.
+        beside = stored.select("item", "hay", F.explode(F.array_distinct(F.split("hay", " "))).alias("token")).join(F.broadcast(of_token), "token")
+        text = beside.filter(~phrase(F.col("term")) | F.col("hay").contains(F.col("term")))
+    else:
+        maybe = _meet(tokens, of_token, "token").groupBy("item").agg(F.collect_set("term").alias("terms"))
+        plain = maybe.select("item", F.filter("terms", lambda t: ~phrase(t)).alias("terms"))
+        phrases = maybe.select("item", F.filter("terms", phrase).alias("terms")).filter(F.size("terms") > 0).join(stored.select("item", "hay"), "item")
+        phrases = phrases.select("item", F.filter("terms", lambda t: F.col("hay").contains(t)).alias("terms"))
+        text = plain.unionByName(phrases).select("item", F.explode("terms").alias("term"))
+    text = text.select("item", F.concat(F.lit("w"), "term").alias("thing"))
     facets = holders.filter("kind <> 'c'").join(terms, ["kind", "term"]).select("kind", "name", F.concat("kind", "term").alias("thing"))
     named = _names(stored).join(facets, ["kind", "name"]).select("item", "thing")
     return text.unionByName(named).groupBy("item").agg(F.collect_set("thing").alias("has"))

@@ -62,7 +62,7 @@ def _finds(q, i, now_ms):
     )
 
 
-def test_pairs_are_met_without_their_texts_and_found_as_in_plain_code(spark):
+def test_pairs_are_met_without_their_texts_and_found_as_in_plain_code(spark, monkeypatch):
     day = 86_400_000
     rows = [
         ("i1", "an apple pie with cream", ["x", "hot mail"], "one", "src1", "fruit", 10 * day), ("i2", "pear and apple", ["mail"], "two", "src2", "fruit", 20 * day),
@@ -81,6 +81,11 @@ def test_pairs_are_met_without_their_texts_and_found_as_in_plain_code(spark):
     items = [r for r in s.mark_read(index, reads).withColumnRenamed("is_read", "seen").collect()]
     want = sorted((q.query_id, i.id) for q in queries.collect() for i in items if _finds(q, i, 20 * day))
     assert sorted((r.query_id, r.id) for r in found.collect()) == want and len(want) > len(texts)
+    monkeypatch.setattr(s, "FEW", 0)  # many words: hashes of them are broadcast, and the rest is shuffled
+    monkeypatch.setattr(s, "BUCKETS", 2)
+    monkeypatch.setattr(s, "SLICE", 5000)
+    many = s.search_many(index, queries, reads, F.timestamp_millis(F.lit(20 * day)))
+    assert sorted((r.query_id, r.id) for r in many.collect()) == want
 
 
 def test_queries_that_differ_in_what_no_item_has_are_one_and_the_impossible_meet_none(spark, monkeypatch):
